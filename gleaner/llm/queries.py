@@ -17,16 +17,34 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), leaves=8)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from gleaner.llm.packing import pack_documents
+
+    return pack_documents(_docs(spark, sf_dir), path("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(_docs(spark, sf_dir))
 
 
+def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from gleaner.llm.bpe import encode_documents
+
+    return encode_documents(_docs(spark, sf_dir), path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_kd_sharding": op2_kd_sharding,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
     }
 
 
