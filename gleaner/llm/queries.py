@@ -25,6 +25,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.language_id import identify_languages
+
+    return identify_languages(_docs(spark, sf_dir))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.url_filter import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.exact_dedup import exact_duplicates
 
@@ -43,6 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_kd_sharding": op2_kd_sharding,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_language_id": op5_language_id,
+        "op6_url_filter": op6_url_filter,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
     }
