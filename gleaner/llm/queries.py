@@ -17,6 +17,12 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), leaves=8)
 
 
+def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.pii import find_personal_data
+
+    return find_personal_data(_docs(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -54,6 +60,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_kd_sharding": op2_kd_sharding,
+        "op3_pii_weak_supervision": op3_pii_weak_supervision,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op6_url_filter": op6_url_filter,
