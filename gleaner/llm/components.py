@@ -1,0 +1,31 @@
+"""Connected components of a link table by min-label propagation with pointer jumping, all distributed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gleaner.llm._common import stored
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """links: columns a, b (long). One row per linked vertex: node, component (the smallest vertex reachable).
+
+    Each round a vertex takes the smallest label among its own, its neighbours' and its label's label; labels only
+    fall, and the rounds needed grow with the logarithm of a component's width. Every round is written to the
+    shared folder, so its lineage is one table. Links of a vertex with very many are summed by partial
+    aggregation; the join that brings labels to links may be split by adaptive execution.
+    """
+    both = links.select("a", "b").where("a != b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a != b")).distinct()
+    both = stored(both, "links")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        lower = stored(lower, "lower")
+        # the label's own label; a label is always a vertex
+        roots = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        after = stored(lower.join(roots, "component").select("node", F.col("root").alias("component"), (F.col("root") != F.col("old")).alias("moved")), "labels")
+        labels = after.select("node", "component")
+        if not after.where("moved").limit(1).collect():
+            return labels

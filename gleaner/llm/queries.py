@@ -43,6 +43,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.ann import search_every
+
+    return search_every(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), width=4, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.exact_dedup import exact_duplicates
 
@@ -64,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op6_url_filter": op6_url_filter,
+        "op7_ivf_pq_search": op7_ivf_pq_search,
+        "op8_circulant_minhash": op8_circulant_minhash,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
     }
@@ -71,6 +85,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_circulant_minhash": """
+            WITH RECURSIVE w AS (
+              SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+            ), s AS (
+              SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w
+            ), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+            c AS (
+              SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k
+              FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+            ), l AS (SELECT x, y FROM c WHERE 100 * k >= 80 * (nx + ny - k)),
+            d AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+            r AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT d.y, r.m FROM r JOIN d ON d.x = r.v),
+            f AS (SELECT v, min(m) AS component_id FROM r GROUP BY v)
+            SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, f.component_id, f.component_id = s.doc_id AS kept
+            FROM s JOIN f ON f.v = s.doc_id
+        """,
         "op9_exact_dedup": """
             WITH t AS (
               SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents
