@@ -11,6 +11,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_docs(spark, sf_dir))
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.sharding import shard_documents
 
@@ -71,6 +77,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprint_index": op1_fingerprint_index,
         "op2_kd_sharding": op2_kd_sharding,
         "op3_pii_weak_supervision": op3_pii_weak_supervision,
         "op4_best_fit_packing": op4_best_fit_packing,
@@ -85,6 +92,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_fingerprint_index": """
+            WITH w AS (
+              SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+            ), v AS (
+              SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13
+            ), g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM v),
+            f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+            r AS (SELECT g.doc_id, list(g.i) AS starts FROM g JOIN f ON g.g = f.g WHERE g.doc_id > f.first GROUP BY g.doc_id),
+            x AS (SELECT doc_id, unnest(starts) AS i FROM r),
+            c AS (SELECT DISTINCT doc_id, i + o AS pos FROM x, (SELECT unnest(range(0, 13)) AS o)),
+            d AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id),
+            k AS (
+              SELECT w.doc_id, len(w.ws) AS n_words, coalesce(len(d.gone), 0) AS n_removed, w.ws, coalesce(d.gone, []) AS gone
+              FROM w LEFT JOIN d ON w.doc_id = d.doc_id
+            ), u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+            q AS (
+              SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.pos) AS kept
+              FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.pos = c.pos WHERE c.pos IS NULL GROUP BY u.doc_id
+            )
+            SELECT k.doc_id, k.n_words::BIGINT AS n_words, k.n_removed::BIGINT AS n_removed, sha256(coalesce(q.kept, '')) AS kept_sha256
+            FROM k LEFT JOIN q ON k.doc_id = q.doc_id
+        """,
         "op8_circulant_minhash": """
             WITH RECURSIVE w AS (
               SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
