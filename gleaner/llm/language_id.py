@@ -29,7 +29,7 @@ from gleaner.llm._common import use_small_arrow_batches
 
 FEATURES = 1 << 15
 #: The bound of the sample that the weights are fitted on, for each label, and of the number of labels.
-SAMPLE_PER_LABEL = 4_000
+SAMPLE_PER_LABEL = 2_000
 MAX_LABELS = 200
 FOLDS = 5
 UNDETERMINED = "und"
@@ -86,6 +86,10 @@ def weighted(cells: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np
     return cells, values / norm if norm > 0 else values
 
 
+def _compact(cells: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return cells.astype(np.int32), values.astype(np.float32)
+
+
 def softmax(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -174,7 +178,9 @@ def fit(docs: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL) -> Model:
     drawn = learned.where(F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("doc_id")), 33) < share * float(1 << 31))
     sample = drawn.mapInArrow(_featurised, "doc_id long, lang string, cells array<int>, counts array<int>").orderBy("doc_id").limit(2 * sample_per_label * len(labels))
     table = sample.toArrow()
-    vectors = [weighted(np.asarray(c, np.int64), np.asarray(n, np.int64), idf) for c, n in zip(table["cells"].to_pylist(), table["counts"].to_pylist(), strict=True)]
+    lists, flat_counts = table["cells"].combine_chunks(), table["counts"].combine_chunks().flatten().to_numpy()
+    flat_cells, edges = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    vectors = [_compact(*weighted(flat_cells[a:b], flat_counts[a:b], idf)) for a, b in zip(edges, edges[1:], strict=False)]
     label = np.array([labels.index(x) for x in table["lang"].to_pylist()], dtype=np.int64)
     usable = np.array([len(c) > 0 for c, _ in vectors], dtype=bool)
     left_out = usable & (np.arange(len(vectors)) % 5 == 0) if usable.sum() >= 20 else np.zeros(len(vectors), bool)
