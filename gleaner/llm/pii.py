@@ -152,9 +152,15 @@ def candidates(text: Column) -> Column:
     sure = F.concat(*[base_of(n, k) for n, k in enumerate(KINDS)])
     extra = F.concat(*[wide_of(n, k) for n, k in enumerate(KINDS)])
     none = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,v0:int,v1:int,v2:int,v3:int,v4:int>>")
-    # overlap with a base span of any kind settles a wide candidate
-    apart = F.when(F.size(extra) == 0, none).otherwise(F.filter(extra, lambda c: ~F.exists(sure, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    return F.concat(sure, apart)
+
+    def merged(both: Column) -> Column:
+        # overlap with a base span of any kind settles a wide candidate
+        apart = F.filter(both["extra"], lambda c: ~F.exists(both["sure"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        return F.concat(both["sure"], apart)
+
+    # bound to a variable, spans are searched once for each text
+    found = F.get(F.transform(F.array(F.struct(sure.alias("sure"), extra.alias("extra"))), merged), 0)
+    return F.when(digit | wide_hints["email"], found).otherwise(none)
 
 
 def _candidate(n: int, kind: str, text: Column, span: Column, base: Column) -> Column:

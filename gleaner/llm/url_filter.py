@@ -78,15 +78,18 @@ def grams(address: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.translate(address, UPPER, LOWER), "[0-9]", "0"), "[^a-z0./-]", "_")
     signs = F.filter(F.split(plain, ""), lambda c: c != "")
     codes = F.concat(F.array_repeat(F.lit(0), ORDER), F.transform(signs, lambda c: F.instr(F.lit(SIGNS), c)), F.array(F.lit(0)))
-    at = F.sequence(F.lit(0), F.size(codes) - 1 - ORDER)
 
-    def number(i: Column) -> Column:
-        out = F.lit(0)
-        for k in range(ORDER + 1):
-            out = out * ALPHABET + F.get(codes, i + k)
-        return out
+    def numbers(c: Column) -> Column:
+        def number(i: Column) -> Column:
+            out = F.get(c, i)
+            for k in range(1, ORDER + 1):
+                out = out * ALPHABET + F.get(c, i + k)
+            return out
 
-    return F.transform(at, number)
+        return F.transform(F.sequence(F.lit(0), F.size(c) - 1 - ORDER), number)
+
+    # bound to a variable, the codes are made once for each URL
+    return F.flatten(F.transform(F.array(codes), numbers))
 
 
 def _model(counts: DataFrame, verdict: str) -> DataFrame:
