@@ -92,38 +92,31 @@ def grams(address: Column) -> Column:
     return F.flatten(F.transform(F.array(codes), numbers))
 
 
-def _model(counts: DataFrame, verdict: str) -> DataFrame:
-    """ln p(last sign | signs before it) for every number of base ALPHABET: columns gram, lp."""
-    spark = counts.sparkSession
-    seen = counts.where(F.col("verdict") == verdict).select("gram", "n")
-    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    table = spark.range(ALPHABET).select(F.col("id").cast("int").alias("gram"))
-    one = seen.groupBy((F.col("gram") % ALPHABET).alias("gram")).agg(F.sum("n").alias("n"))
-    table = table.join(one, "gram", "left").crossJoin(F.broadcast(total))  # one row
-    table = table.select("gram", ((F.coalesce("n", F.lit(0)) + 1.0) / (F.col("total") + ALPHABET)).alias("p"))
-    for k in range(1, ORDER + 1):
-        span = ALPHABET ** (k + 1)
-        some = seen.groupBy((F.col("gram") % span).alias("gram")).agg(F.sum("n").alias("n"))
-        context = F.floor(F.col("gram") / ALPHABET).cast("int")
-        contexts = some.groupBy(context.alias("context")).agg(F.sum("n").alias("nc"), F.count(F.lit(1)).alias("tc"))
-        shorter = table.select(F.col("gram").alias("short"), "p")
-        table = (
-            spark.range(span)
-            .select(F.col("id").cast("int").alias("gram"), (F.col("id") % (span // ALPHABET)).cast("int").alias("short"), F.floor(F.col("id") / ALPHABET).cast("int").alias("context"))
-            .join(shorter, "short")
-            .join(some, "gram", "left")
-            .join(contexts, "context", "left")
-            .select("gram", F.when(F.col("nc").isNull(), F.col("p")).otherwise((F.coalesce("n", F.lit(0)) + F.col("tc") * F.col("p")) / (F.col("nc") + F.col("tc"))).alias("p"))
-        )
-    return table.select("gram", F.ln("p").alias("lp"))
-
-
 def ratio_table(ruled: DataFrame) -> DataFrame:
-    """ln p accepted - ln p rejected for every number of base ALPHABET: columns gram, ratio."""
-    counts = ruled.select("verdict", F.explode(grams(F.col("address"))).alias("gram")).groupBy("verdict", "gram").agg(F.count(F.lit(1)).alias("n"))
-    counts = stored(counts, "grams")
-    good, bad = _model(counts, "allow"), _model(counts, "block")
-    return good.join(bad.withColumnRenamed("lp", "bad"), "gram").select("gram", (F.col("lp") - F.col("bad")).alias("ratio"))
+    """ln p accepted - ln p rejected of the last sign after those before it, for every number of base ALPHABET: gram, ratio."""
+    spark = ruled.sparkSession
+    good, bad = F.count_if(F.col("verdict") == "allow"), F.count_if(F.col("verdict") == "block")
+    seen = ruled.select("verdict", F.explode(grams(F.col("address"))).alias("gram")).groupBy("gram").agg(good.alias("n0"), bad.alias("n1"))
+    seen = stored(seen, "grams")  # ALPHABET ^ (ORDER + 1) rows at most
+    table = None
+    for k in range(ORDER + 1):
+        span = ALPHABET ** (k + 1)
+        some = seen.groupBy((F.col("gram") % span).cast("int").alias("gram")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        grid = spark.range(span).select(F.col("id").cast("int").alias("gram"), F.floor(F.col("id") / ALPHABET).cast("int").alias("context"))
+        grid = grid.join(F.broadcast(some), "gram", "left").na.fill(0, ["n0", "n1"])
+        same = W.partitionBy("context")
+        if table is None:
+            chance = [(F.col(f"n{j}") + 1.0) / (F.sum(f"n{j}").over(same) + ALPHABET) for j in (0, 1)]
+            table = grid.select("gram", *[c.alias(f"p{j}") for j, c in enumerate(chance)])
+            continue
+        shorter = table.select(F.col("gram").alias("short"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+        grid = grid.withColumn("short", F.col("gram") % (span // ALPHABET)).join(F.broadcast(shorter), "short")
+        chance = []
+        for j in (0, 1):
+            met, kinds = F.sum(f"n{j}").over(same), F.count_if(F.col(f"n{j}") > 0).over(same)
+            chance.append(F.when(met == 0, F.col(f"q{j}")).otherwise((F.col(f"n{j}") + kinds * F.col(f"q{j}")) / (met + kinds)))
+        table = grid.select("gram", *[c.alias(f"p{j}") for j, c in enumerate(chance)])
+    return table.select("gram", (F.ln("p0") - F.ln("p1")).alias("ratio"))
 
 
 def scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
