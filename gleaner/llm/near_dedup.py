@@ -4,15 +4,16 @@ A document's set is its distinct word shingles, as 64-bit hashes. One permutatio
 circularly shifted by 0, 1, 2, ..., yields all COORDINATES of the signature. Signatures are cut into BANDS bands of
 ROWS coordinates; a pair at a similarity of 0.8 shares no band with a chance of (1 - 0.8^3)^32 = 1e-10.
 
-Documents with equal sets are one representative first. Members of a band's bucket are then not paired with each
-other but, twice, with one member: the one that meets most others in all its buckets, and the smallest. Those links
-are verified on the full sets, read from whole texts again, and joined to components. Buckets that still span
-several components are searched exhaustively in blocks: members outside the bucket's main component against all
-its members, by signature agreement (six standard errors below the threshold) and set size, what passes is
-verified as well. So no link is lost to a bucket's size, and a bucket of copies costs its size, not its square.
+Documents with equal sets are one representative first. Members of a band's bucket are not paired with each other
+but, twice, with one member: the one that meets most others in all its buckets, and the smallest. Pairs whose set
+sizes and signatures allow a link (six standard errors below the threshold) join representatives to families;
+buckets that span several families are searched exhaustively in blocks, by signature, and what allows a link merges
+families. So a family holds every link of its members. Families are then searched on the full sets, read from whole
+texts again: whole if small, else block by block, and once more members outside the family's largest component
+against all. So no link is lost to a bucket's size, and no stage makes rows for pairs but the joins found.
 
 Nothing unbounded reaches the driver or one task: buckets are counted by partial aggregation, joined through
-`join_on_counted_key`, searched in blocks of BLOCK; a representative with very many links is dealt into salts.
+`join_on_counted_key`, searched in blocks of BLOCK rows.
 
 Defined cases: without words or text the set is empty and linked with nothing; with fewer words than a shingle, the
 whole sequence is the one shingle. A row without doc_id is linked with nothing, has no component and is kept.
@@ -35,8 +36,9 @@ from gleaner.llm.components import connected_components
 
 ROWS, BANDS = 3, 32
 COORDINATES = ROWS * BANDS
-BLOCK = 1024
-SALT_ROWS = 500
+BLOCK = 512
+#: Members of small families that are searched in one group, about.
+PACK = 256
 CACHE_WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,88 +114,142 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS))], names=["bucket", "rep"])
 
 
-def _verified(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            linked = np.zeros(len(a), bool)
-            held, last = None, None
-            for i, (text, other) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
-                if a[i] != last or held is None:
-                    last, held = a[i], (text.as_py(), shingle_set(text.as_py(), width))
-                s, t = held[1], shingle_set(other.as_py(), width)
-                if len(s) and len(t) and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    linked[i] = 100 * both >= percent * (len(s) + len(t) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[linked]), pa.array(np.array(b, np.int64)[linked])], names=["a", "b"])
+def _linked(ids: np.ndarray, family: np.ndarray, component: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links between rows of one family and different components, each asking row against all: a spanning part of them."""
+    out_a, out_b = [], []
+    root = {int(c): int(c) for c in component}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    filled = np.flatnonzero([len(s) > 0 for s in sets])
+    order = filled[np.argsort(family[filled], kind="stable")]
+    for some in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+        if len(some) < 2 or not asks[some].any():
+            continue
+        n = np.array([len(sets[i]) for i in some])
+        _, cell = np.unique(np.concatenate([sets[i] for i in some]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        held = np.zeros(cell.max() + 1, np.int32)
+        for k in np.flatnonzero(asks[some]):
+            own = cell[starts[k] : starts[k + 1]]
+            held[own] = 1
+            both = np.add.reduceat(held[cell], starts[:-1])
+            held[own] = 0
+            near = np.flatnonzero(100 * both >= percent * (n + n[k] - both))
+            for j in near:
+                x, y = find(int(component[some[k]])), find(int(component[some[j]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out_a.append(int(ids[some[k]])), out_b.append(int(ids[some[j]]))
+    return out_a, out_b
+
+
+def _search(width: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sets = [shingle_set(t.as_py(), width) for t in table["text"]]
+        ids, family, component = (table[c].to_numpy() for c in ("rep", "family", "component"))
+        a, b = _linked(ids, family, component, table["asks"].to_numpy(zero_copy_only=False).astype(bool), sets, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. texts: doc_id, text. a may occur very often."""
-    salted = pairs.withColumn("salt", F.lit(0))
-    often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
-    busy = often.where("salts > 1")  # at most pairs / SALT_ROWS
-    salted = pairs.join(busy, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    left = often.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    left = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    right = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long")
+def search(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) on full sets within groups of rows: group, rep, family, component, asks."""
+    held = rows.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    return held.groupBy("group").applyInArrow(_search(width, percent), "a long, b long")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """members: bucket, rep, n (of the bucket), all n >= 2. Every member with two others of its bucket, at most."""
+    """members: bucket, rep, n (of the bucket), all n >= 2. Every member with two others of its bucket, at most.
+
+    These are the one that meets most others in all its buckets, and the smallest.
+    """
     meets = members.groupBy("rep").agg(F.sum("n").alias("meets"))
     known = members.join(meets, "rep")
     heads = known.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("head"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("n"))
     heads = heads.select("bucket", (-F.col("head.minus")).alias("head"), "low", "n")
-    total = members.count()
-    each = join_on_counted_key(members.select("bucket", "rep"), heads, "bucket", "n", total)
-    pairs = each.select(F.explode(F.array("head", "low")).alias("a"), F.col("rep").alias("b")).where("a != b").distinct()
-    return pairs.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).groupBy("lo", "hi").agg(F.max("a").alias("x"), F.min("a").alias("y")).select(
-        # a pair that was met in both directions keeps the smaller one as a
-        F.col("y").alias("a"), F.when(F.col("y") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")
-    )
+    each = join_on_counted_key(members.select("bucket", "rep"), heads, "bucket", "n", members.count())
+    pairs = each.select(F.explode(F.array("head", "low")).alias("x"), F.col("rep").alias("y")).where("x != y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def least_agreement(percent: int) -> int:
+    """Coordinates that a linked pair shares at least, but for a chance of about 1e-9: six standard errors below the mean."""
+    p = percent / 100
+    return int(max(0.0, p - 6 * (p * (1 - p) / COORDINATES) ** 0.5) * COORDINATES)
 
 
-def _exhaustive(percent: int):
-    least = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5) * COORDINATES
+def _agreeing(percent: int):
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("sa", "sb"))
+                keep = pa.array((x == y).sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def near_enough(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose set sizes and signatures allow the similarity."""
+    known = reps.select("rep", "n_shingles", "signature")
+    x = known.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
+    y = known.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
+    sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return sized.select("a", "b", "sa", "sb").mapInArrow(_agreeing(percent), "a long, b long")
+
+
+def _merging(percent: int):
+    least = least_agreement(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        side = np.array(table["side"].to_pylist())
-        rep, comp, n = (table[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        rep, family, n = (table[c].to_numpy() for c in ("rep", "family", "n_shingles"))
+        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(rep), COORDINATES)
-        r, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = [], []
-        for i in r:
-            fit = (comp[m] != comp[i]) & (100 * np.minimum(n[m], n[i]) >= percent * np.maximum(n[m], n[i]))
-            some = m[fit]
-            close = some[(sig[some] == sig[i]).sum(axis=1) >= least]
-            out_a.append(np.full(len(close), rep[i])), out_b.append(rep[close])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        a, b, merged = [], [], family.copy()
+        for i in np.flatnonzero(asks):
+            fit = np.flatnonzero((merged != merged[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            for j in fit[(sig[fit] == sig[i]).sum(axis=1) >= least]:
+                if merged[j] != merged[i]:  # one pair joins two families
+                    a.append(int(rep[i])), b.append(int(rep[j]))
+                    merged[merged == merged[j]] = merged[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def remaining_pairs(members: DataFrame, components: DataFrame, reps: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs of a bucket whose members are in different components and whose signatures are near enough."""
-    placed = members.where("n > 2").join(components, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", F.col("rep")).alias("component"))
-    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    open_buckets = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main")).where("parts > 1")
-    open_buckets = open_buckets.select("bucket", "n", F.col("main.component").alias("main"), (F.col("n") - F.col("main.k")).alias("others"))
-    total = placed.count()
-    rows = join_on_counted_key(placed, open_buckets, "bucket", "n", total, "inner")
-    rows = rows.join(reps.select("rep", "n_shingles", "signature"), "rep")
-    m_blocks, r_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
-    rows = rows.withColumns({"mb": m_blocks, "rb": r_blocks, "deal": F.xxhash64("rep")})
-    shown = ["bucket", "rep", "component", "n_shingles", "signature"]
-    as_member = rows.select(*shown, F.lit(1).alias("side"), F.pmod("deal", "mb").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"))
-    as_other = rows.where("component != main").select(*shown, F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("deal", "rb").cast("int").alias("r"))
-    found = as_member.unionByName(as_other).groupBy("bucket", "m", "r").applyInArrow(_exhaustive(percent), "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+def blocks_of(rows: DataFrame, key: str, part: str) -> DataFrame:
+    """Groups that let every row outside its key's largest part meet all rows of the key, BLOCK rows of each at most.
+
+    Adds group and asks; rows recur in several groups if their key has more than BLOCK rows. Keys of one part go.
+    """
+    parts = rows.groupBy(key, part).agg(F.count(F.lit(1)).alias("k"))
+    many = parts.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", part)).alias("main")).where("parts > 1")
+    many = many.select(key, "n", F.col(f"main.{part}").alias("main"), (F.col("n") - F.col("main.k")).alias("others"))
+    placed = join_on_counted_key(rows, many, key, "n", rows.count(), "inner")
+    placed = placed.withColumns({"mb": F.ceil(F.col("n") / BLOCK).cast("int"), "rb": F.ceil(F.col("others") / BLOCK).cast("int"), "deal": F.xxhash64("rep")})
+    member = placed.select(*rows.columns, F.pmod("deal", "mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("asks"))
+    other = placed.where(F.col(part) != F.col("main")).select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("deal", "rb").alias("r"), F.lit(True).alias("asks"))
+    return member.unionByName(other).withColumn("group", F.xxhash64(key, "m", "r")).drop("m", "r")
+
+
+def families(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """node, component: every two members of a bucket whose signatures allow a link are in one family."""
+    close = stored(near_enough(star_pairs(members), reps, percent), "close")
+    found = connected_components(close)
+    placed = members.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("family"))
+    open_rows = blocks_of(placed, "bucket", "family").join(reps.select("rep", "n_shingles", "signature"), "rep")
+    more = stored(open_rows.groupBy("group").applyInArrow(_merging(percent), "a long, b long"), "more")
+    return connected_components(close.unionByName(more)) if more.limit(1).collect() else found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -210,14 +266,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bands = reps.select("rep", "signature").mapInArrow(_banded, "bucket long, rep long")
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(join_on_counted_key(bands, buckets, "bucket", "n", total, "inner"), "members")
-    pairs = stored(star_pairs(members), "pairs")
-    links = stored(verify(pairs, texts, width, percent), "verified")
+    placed = families(members, reps, percent).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    placed = stored(join_on_counted_key(placed, sizes, "family", "n", total, "inner"), "placed")
+
+    # small families are searched whole, many in one group; large ones block by block, their first member in each
+    packs = max(1, -(-placed.count() // PACK))
+    alone = F.col("rep").alias("component")
+    small = placed.where(F.col("n") <= BLOCK).select("rep", "family", alone, F.pmod(F.xxhash64("family"), F.lit(packs)).alias("group"))
+    large = placed.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    first = F.when(F.col("rep") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    dealt = large.select("rep", "family", alone, F.explode(first).alias("block")).select("rep", "family", "component", F.xxhash64("family", "block").alias("group"))
+    links = stored(search(small.unionByName(dealt).withColumn("asks", F.lit(True)), texts, width, percent), "links")
     components = connected_components(links)
-    more = stored(remaining_pairs(members, components, reps, pairs, percent), "remaining")
-    if more.limit(1).collect():
-        found = stored(verify(more, texts, width, percent), "verified")
-        if found.limit(1).collect():
-            components = connected_components(links.unionByName(found))
+    # what is still apart in a large family
+    apart = large.join(components, F.col("rep") == F.col("node"), "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
+    if apart.limit(1).collect():
+        more = stored(search(blocks_of(apart, "family", "component"), texts, width, percent), "more")
+        if more.limit(1).collect():
+            components = connected_components(links.unionByName(more))
     of_set = reps.join(components, F.col("rep") == F.col("node"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
     named = join_on_counted_key(signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), of_set, "set_key", "copies", total)
     component = F.coalesce("component", "doc_id")
