@@ -5,12 +5,14 @@ windows have equal fingerprints and a document has about one for five words. `Fi
 batch of documents it was given, two immutable tables in the shared folder, bucketed and sorted by fingerprint:
 the postings (fingerprint, doc_id), and a run (fingerprint, documents). A new batch's run is merge-joined with the
 runs there are - bucket by bucket, without a shuffle - which tells the fingerprints that occur before; then runs are
-compacted into one by another merge join. What a fingerprint only suggests is verified: documents that share one
-send the keys of the windows concerned (96 bits over all words of the window, apart from the fingerprint), and a
-window is removed where its key starts in a document with a smaller doc_id.
+compacted into one by another merge join. What a fingerprint only suggests is verified on all words, by keys of 96
+bits apart from the fingerprint. Neighbouring windows of one fingerprint are a segment; documents that share a
+fingerprint send their segments' keys, and all but the first document with a segment lose its windows. Where a
+fingerprint has different segments, the first document of each sends its windows' keys, and a window is removed
+where its key starts in a document with a smaller doc_id.
 
 Documents with equal words are one: the smallest doc_id stands for all, the others lose every word if they have
-WINDOW words or more. Texts are shuffled once (by doc_id); postings once. A fingerprint or key that a third of the
+WINDOW words or more. Texts are shuffled once, into a table bucketed by doc_id; postings once. A fingerprint or key that a third of the
 documents share is counted by partial aggregation and joined through `join_on_counted_key` or in merge joins whose
 other side has one row for it; no task gathers more than one document's windows at a time.
 
@@ -22,6 +24,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -87,16 +90,37 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
     return least
 
 
-def window_keys(h: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """12 bytes for each of the windows that start there."""
-    a = _rolled(h, WINDOW, _P)[at]
-    b = (_rolled(h, WINDOW, _Q)[at] >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros(len(at), dtype=[("a", "<u8"), ("b", "<u4")])
-    out["a"], out["b"] = a, b
+def _keys(a: np.ndarray, b: np.ndarray) -> list[bytes]:
+    out = np.zeros(len(a), dtype=[("a", "<u8"), ("b", "<u4")])
+    out["a"], out["b"] = a, (b >> np.uint64(32)).astype(np.uint32)
     data = out.tobytes()
     return [data[i : i + 12] for i in range(0, len(data), 12)]
 
 
+class Windows:
+    """A document's windows, and its segments: neighbouring windows of one fingerprint. Keys have 96 bits."""
+
+    def __init__(self, h: np.ndarray):
+        self.fingerprints = fingerprints(h)
+        n = len(self.fingerprints)
+        self.starts = np.flatnonzero(np.concatenate([[True], self.fingerprints[1:] != self.fingerprints[:-1]])) if n else np.zeros(0, np.int64)
+        self.lengths = np.diff(np.concatenate([self.starts, [n]])) if n else np.zeros(0, np.int64)
+        self.a, self.b = (_rolled(h, WINDOW, f) for f in (_P, _Q)) if n else (np.zeros(0, np.uint64),) * 2
+
+    def segment_fingerprints(self) -> np.ndarray:
+        return self.fingerprints[self.starts]
+
+    def segment_keys(self) -> list[bytes]:
+        """From the windows of each segment and their places in it."""
+        if not len(self.starts):
+            return []
+        place = (np.arange(len(self.a)) - np.repeat(self.starts, self.lengths)).astype(np.uint64) * _Q
+        return _keys(*(_scramble(np.add.reduceat(_scramble(x + place), self.starts)) for x in (self.a, self.b)))
+
+    def window_keys(self) -> list[bytes]:
+        return _keys(self.a, self.b)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [words_of(t) for t in batch.column("text").to_pylist()]
@@ -111,35 +135,51 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).astype(np.int64)), pa.array(np.repeat(ids, n), pa.int64())], names=["fingerprint", "doc_id"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys = [], []
+        prints, keys, ids = [], [], []
         for doc_id, text, shared in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("shared"), strict=True):
-            h = _hashes(words_of(text.as_py()))
-            suspects = np.asarray(shared.values.to_numpy(zero_copy_only=False)).astype(np.uint64)
-            own = {*window_keys(h, np.flatnonzero(np.isin(fingerprints(h), suspects)))} if len(h) >= WINDOW else set()
-            ids.append(np.full(len(own), doc_id, np.int64)), keys.extend(own)
+            w = Windows(_hashes(words_of(text.as_py())))
+            own = w.segment_fingerprints()
+            hit = np.flatnonzero(np.isin(own, shared.values.to_numpy(zero_copy_only=False).astype(np.uint64)))
+            if len(hit):
+                every = w.segment_keys()
+                found = {every[i]: int(own[i].astype(np.int64)) for i in hit}
+                keys.extend(found), prints.extend(found.values()), ids.append(np.full(len(found), doc_id, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["fingerprint", "key", "doc_id"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, ids = [], []
+        for doc_id, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
+            w, asked = Windows(_hashes(words_of(text.as_py()))), {*asked}
+            inside = np.repeat([k in asked for k in w.segment_keys()], w.lengths) if len(w.starts) else np.zeros(0, bool)
+            own = {k for k, i in zip(w.window_keys(), inside, strict=True) if i}
+            keys.extend(own), ids.append(np.full(len(own), doc_id, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["key", "doc_id"])
 
 
-def kept_words(words: list[bytes], removed: set[bytes]) -> list[bytes]:
-    """The words that no removed window covers."""
-    h = _hashes(words)
-    if len(h) < WINDOW:
+def kept_words(words: list[bytes], segments: set[bytes], windows: set[bytes]) -> list[bytes]:
+    """The words that no removed segment's windows and no removed window cover."""
+    w = Windows(_hashes(words))
+    if not len(w.starts):
         return words
-    hit = np.array([k in removed for k in window_keys(h, np.arange(len(h) - WINDOW + 1))], dtype=np.int64)
-    edge = np.zeros(len(h) + 1, np.int64)
+    hit = np.repeat([k in segments for k in w.segment_keys()], w.lengths).astype(np.int64)
+    if windows:
+        hit |= np.array([k in windows for k in w.window_keys()], dtype=np.int64)
+    edge = np.zeros(len(words) + 1, np.int64)
     edge[: len(hit)] += hit
     edge[WINDOW : WINDOW + len(hit)] -= hit
-    return [w for w, c in zip(words, np.cumsum(edge), strict=False) if not c]
+    return [x for x, c in zip(words, np.cumsum(edge), strict=False) if not c]
 
 
 def _cut(with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"n_removed": [], "kept": [], "words_sha": []}
-        for text, removed in zip(batch.column("text"), batch.column("removed"), strict=True):
+        for text, segments, windows in zip(batch.column("text"), batch.column("segments").to_pylist(), batch.column("windows").to_pylist(), strict=True):
             words = words_of(text.as_py())
-            kept = kept_words(words, {*removed.as_py()})
+            kept = kept_words(words, {*segments}, {*windows})
             out["n_removed"].append(len(words) - len(kept)), out["kept"].append(b" ".join(kept)), out["words_sha"].append(hashlib.sha256(b" ".join(words)).digest())
         columns = {"doc_id": batch.column("doc_id"), "words_sha": pa.array(out["words_sha"], pa.binary()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in out["kept"]], pa.string())}
         if with_text:
@@ -191,6 +231,12 @@ class FingerprintIndex:
             self._drop(r)
         self.runs = [one]
 
+    def clear(self, hits: list[str]) -> None:
+        """Drop all tables; for a run whose batches are all there is."""
+        for name in [*self.runs, *self.postings, *hits]:
+            self._drop(name)
+        self.runs, self.postings = [], []
+
     def sharing(self, hits: list[str]) -> DataFrame:
         """The documents of all batches with their fingerprints that are among the hits: doc_id, shared."""
         wanted = functools.reduce(DataFrame.union, [self.spark.table(h) for h in hits])
@@ -200,6 +246,19 @@ class FingerprintIndex:
         return functools.reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_list("fingerprint").alias("shared"))
 
 
+def _dealt(df: DataFrame, index: FingerprintIndex) -> DataFrame:
+    """The rows as a table bucketed by doc_id: later joins on it don't shuffle texts."""
+    name = f"gleaner_suspects_{uuid.uuid4().hex}"
+    df.repartition(index.buckets, "doc_id").write.bucketBy(index.buckets, "doc_id").sortBy("doc_id").option("path", f"{index.folder}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256; with_text adds kept_text where words were removed.
 
@@ -220,15 +279,33 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
         of_batch = of_batch.where(F.col("doc_id") > low) if low is not None else of_batch
         hits.append(index.add(of_batch.where(F.col("doc_id") <= high) if high is not None else of_batch))
 
+    # texts are dealt by doc_id once, with the fingerprints that they share; the index is done with then
     alone = originals.select(F.col("original").alias("doc_id")).distinct()
     sharing = stored(index.sharing(hits).join(alone, "doc_id", "left_semi"), "sharing")
-    keys = stored(texts.join(sharing, "doc_id").mapInArrow(_windows, "key binary, doc_id long"), "keys")
+    index.clear(hits)
+    _release(spark)
+    suspects = _dealt(texts.join(sharing, "doc_id"), index)
+    _release(spark)
+
+    # whole segments first: all but the first document with a segment lose its windows
+    segments = stored(suspects.select("doc_id", "text", "shared").mapInArrow(_segments, "fingerprint long, key binary, doc_id long"), "segments")
+    per_segment = stored(segments.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("fingerprint")), "per_segment")
+    total = max(1, segments.count())
+    again = per_segment.where("n > 1").select("key", "first", "n")
+    gone = join_on_counted_key(segments.select("key", "doc_id"), again, "key", "n", total, "inner").where(F.col("doc_id") > F.col("first"))
+    by_segment = gone.groupBy("doc_id").agg(F.collect_set("key").alias("segments"))
+    # then single windows, where a fingerprint has different segments: each segment's first document speaks for all
+    mixed = per_segment.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    asked = join_on_counted_key(per_segment.select("fingerprint", "key", "first"), mixed, "fingerprint", "m", total, "inner")
+    asked = asked.groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("key").alias("asked"))
+    keys = stored(suspects.select("doc_id", "text").join(asked, "doc_id").mapInArrow(_windows, "key binary, doc_id long"), "keys")
     firsts = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    total = max(1, keys.count())
-    repeated = join_on_counted_key(keys, firsts, "key", "n", total, "inner").where(F.col("doc_id") > F.col("first"))
-    removed = stored(repeated.groupBy("doc_id").agg(F.collect_set("key").alias("removed")), "removed")
+    repeated = join_on_counted_key(keys, firsts, "key", "n", max(1, keys.count()), "inner").where(F.col("doc_id") > F.col("first"))
+    by_window = repeated.groupBy("doc_id").agg(F.collect_set("key").alias("windows"))
+    none = F.array().cast("array<binary>")
+    removed = stored(by_segment.join(by_window, "doc_id", "full_outer").select("doc_id", F.coalesce("segments", none).alias("segments"), F.coalesce("windows", none).alias("windows")), "removed")
     schema = "doc_id long, words_sha binary, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    cut = texts.join(removed, "doc_id").mapInArrow(functools.partial(_cut, with_text), schema).dropDuplicates(["doc_id", "words_sha"])
+    cut = suspects.select("doc_id", "text").join(removed, "doc_id").mapInArrow(functools.partial(_cut, with_text), schema).dropDuplicates(["doc_id", "words_sha"])
 
     named = join_on_counted_key(counted, originals, "words_sha", "copies", max(1, whole.n))
     cut = cut.withColumnsRenamed({"doc_id": "__doc_id", "words_sha": "__sha"})
