@@ -603,7 +603,7 @@ def _modelled(spark, sf_dir) -> DataFrame:
 def model_cv_scores(spark, sf_dir):
     from gleaner.plans.training import cross_validate
 
-    return cross_validate(_modelled(spark, sf_dir), ["complement_nb"], repetitions=1, folds=3)
+    return cross_validate(_modelled(spark, sf_dir), ["complement_nb"], repetitions=1, folds=2)
 
 
 @query()
