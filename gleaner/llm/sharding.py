@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm._common import numbered_within, stored
 
-DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
+#: n_chars isn't among them: ordered by length, the document at a cut would be among the largest, and leaves less even.
+DIMENSIONS = ("lang", "source", "doc_id")
 COORDINATE_BITS = 31
 TIE_BITS = 31
 BIN_BITS = 12
