@@ -22,7 +22,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        lower = stored(lower, "lower")
         # the label's own label; a label is always a vertex
         roots = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
         after = stored(lower.join(roots, "component").select("node", F.col("root").alias("component"), (F.col("root") != F.col("old")).alias("moved")), "labels")

@@ -161,8 +161,8 @@ def _search(width: int, percent: int):
 
 
 def search(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) on full sets within groups of rows: group, rep, family, component, asks."""
-    held = rows.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    """Links (a, b) on full sets within groups of rows: group, rep, family, component, asks. texts: rep, text."""
+    held = rows.join(texts.hint("merge"), "rep")
     return held.groupBy("group").applyInArrow(_search(width, percent), "a long, b long")
 
 
@@ -270,6 +270,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     placed = stored(join_on_counted_key(placed, sizes, "family", "n", total, "inner"), "placed")
 
+    # the only shuffle of texts; which plan it takes doesn't hang on the size of either side
+    held = stored(placed.select("rep").join(texts.hint("merge"), F.col("rep") == F.col("doc_id")).select("rep", "text"), "held")
+
     # small families are searched whole, many in one group; large ones block by block, their first member in each
     packs = max(1, -(-placed.count() // PACK))
     alone = F.col("rep").alias("component")
@@ -277,12 +280,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     large = placed.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     first = F.when(F.col("rep") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
     dealt = large.select("rep", "family", alone, F.explode(first).alias("block")).select("rep", "family", "component", F.xxhash64("family", "block").alias("group"))
-    links = stored(search(small.unionByName(dealt).withColumn("asks", F.lit(True)), texts, width, percent), "links")
+    links = stored(search(small.unionByName(dealt).withColumn("asks", F.lit(True)), held, width, percent), "links")
     components = connected_components(links)
     # what is still apart in a large family
     apart = large.join(components, F.col("rep") == F.col("node"), "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
     if apart.limit(1).collect():
-        more = stored(search(blocks_of(apart, "family", "component"), texts, width, percent), "more")
+        more = stored(search(blocks_of(apart, "family", "component"), held, width, percent), "more")
         if more.limit(1).collect():
             components = connected_components(links.unionByName(more))
     of_set = reps.join(components, F.col("rep") == F.col("node"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
