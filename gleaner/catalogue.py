@@ -603,13 +603,12 @@ def _modelled(spark, sf_dir) -> DataFrame:
 def model_cv_scores(spark, sf_dir):
     from gleaner.plans.training import cross_validate
 
-    return cross_validate(_modelled(spark, sf_dir), ["complement_nb"], repetitions=1, folds=2)
+    return cross_validate(_modelled(spark, sf_dir))
 
 
 @query()
 def model_scores(spark, sf_dir):
-    from gleaner.operators.models import fit_candidate, score
+    """Every labelled row, scored by the model that was fitted on the other folds."""
+    from gleaner.plans.training import out_of_fold
 
-    rows = D.hash_folds(_modelled(spark, sf_dir), 5)
-    model = fit_candidate("word_logistic", rows.where("split_fold <> 0"))
-    return score(model, rows.where("split_fold = 0")).select("doc_id", "label", _r(F.col("score")).alias("score"))
+    return out_of_fold(_modelled(spark, sf_dir), "word_logistic").select("doc_id", "label", _r(F.col("score")).alias("score"))
