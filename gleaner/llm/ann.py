@@ -4,8 +4,9 @@ Coarse centroids and the codebooks of the residuals are fitted on at most SAMPLE
 Every row is indexed: it gets the list of its nearest centroid and a code of SUBSPACES bytes for its residual. A
 query visits the lists of its `probes` nearest centroids. Lists are dealt into chunks of about CHUNK rows, so a list
 that holds a third of all rows is many chunks, and a query's copies meet each chunk of a list. Within a chunk the
-query's asymmetric distance tables rank the codes, the best RERANK rows are measured exactly on the original vectors,
-and each chunk gives its nearest rows; these are merged by query.
+query's asymmetric distance tables rank the codes, and the best RERANK rows are measured exactly on the original vectors.
+The k-th of these is a limit; every other row whose rough distance, less the error of its own code, is within the limit
+is measured too. So a chunk gives its true nearest rows, however many rows share a code; these are merged by query.
 
 Bounds: sample, centroids and codebooks have fixed sizes and are broadcast; the number of lists is at most MAX_LISTS.
 Queries are shuffled, not broadcast. A task holds a chunk's rows and goes through its queries in blocks. The cost of
@@ -148,17 +149,29 @@ def _search(held, length: int, k: int, rerank: int):
             vectors = _matrix(rows["vector"], length).astype(np.float64)[order]
             codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             centroid = index.centroids[rows["list"][0].as_py()]
+            decoded = centroid.astype(np.float64) + np.concatenate([book[codes[:, s]] for s, book in enumerate(index.codebooks)], axis=1)
+            extent = max(1e-30, float((decoded**2).sum(axis=1).max()), float((vectors**2).sum(axis=1).max()), float((centroid.astype(np.float64) ** 2).sum()))
+            error = np.sqrt(((vectors - decoded) ** 2).sum(axis=1)) + 1e-5 * np.sqrt(extent)
             asked, wanted = queries["vec_id"].to_numpy(), _matrix(queries["vector"], length).astype(np.float64)
             for a in range(0, len(asked), QUERY_BLOCK):
                 q = wanted[a : a + QUERY_BLOCK]
                 tables = index.tables(q.astype(np.float32) - centroid)
                 rough = sum(t[:, codes[:, s]] for s, t in enumerate(tables))
-                rough[asked[a : a + QUERY_BLOCK, None] == ids[None, :]] = np.inf
+                # no row is nearer than this: its code's distance, less the code's error and what single precision loses
+                lost = 1e-5 * ((q**2).sum(axis=1) + extent)
+                least = np.sqrt(np.maximum(rough - lost[:, None], 0)) - error[None, :]
+                own = asked[a : a + QUERY_BLOCK, None] == ids[None, :]
+                rough[own] = least[own] = np.inf
                 for i in range(len(q)):
-                    # the nearest codes, ties to the smaller vec_id
-                    best = np.argsort(rough[i], kind="stable")[:rerank]
+                    best = np.argpartition(rough[i], rerank - 1)[:rerank] if rerank < len(ids) else np.arange(len(ids))
                     best = best[np.isfinite(rough[i][best])]
                     exact = np.sqrt(((vectors[best] - q[i]) ** 2).sum(axis=1))
+                    limit = np.partition(exact, k - 1)[k - 1] if len(exact) >= k else np.finfo(np.float64).max
+                    more = least[i] <= limit
+                    more[best] = False
+                    more = np.flatnonzero(more)
+                    best = np.concatenate([best, more])
+                    exact = np.concatenate([exact, np.sqrt(((vectors[more] - q[i]) ** 2).sum(axis=1))])
                     first = np.lexsort((ids[best], exact))[:k]
                     out["query_id"] += [int(asked[a + i])] * len(first)
                     out["vec_id"] += ids[best][first].tolist()

@@ -217,6 +217,29 @@ def test_op7_finds_neighbours(spark):
     assert search_every(df.where("vec_id < 0")).count() == 0
 
 
+def test_op7_measures_every_row_that_shares_a_code():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from gleaner.llm import ann
+
+    rng = np.random.default_rng(3)
+    index = ann.fit_index(rng.normal(size=(4000, 32)).astype(np.float32), 1)
+    x = (rng.normal(size=32) + 1e-3 * rng.normal(size=(3000, 32))).astype(np.float32)  # near copies that the fit hasn't seen
+    codes = index.encode(x - index.centroids[0])
+    assert len(np.unique(codes, axis=0)) < 100
+    vectors = pa.array(x.tolist(), pa.list_(pa.float32()))
+    rows = pa.table({"vec_id": pa.array(range(3000), pa.int64()), "vector": vectors, "list": pa.array([0] * 3000, pa.int32()), "code": [c.tobytes() for c in codes]})
+    asked = range(5, 3000, 300)
+    queries = rows.select(["vec_id", "vector"]).take(pa.array(asked))
+    found = ann._search(SimpleNamespace(value=index), 32, 10, ann.RERANK)(queries, rows).to_pandas()
+    for q in asked:
+        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert found[found.query_id == q].vec_id.tolist() == np.lexsort((np.arange(3000), d))[:10].tolist()
+
+
 def plain_components(texts, width):
     sets = []
     for t in texts:
