@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.config import SETTINGS
 from gleaner.functions import text as T
 from gleaner.operators import audit as A
 from gleaner.operators import folds as D
@@ -24,6 +25,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 THRESHOLD = 0.5
+#: The production limit of a text's length.
+MAX_TEXT_CHARS = SETTINGS["max_text_chars"][3]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -160,7 +163,7 @@ def mask_identifier(spark, sf_dir):
 
 @query()
 def prepare_text(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", T.prepare_text(F.col("text"), 20000).alias("p"))
+    rows = _docs(spark, sf_dir).select("doc_id", T.prepare_text(F.col("text"), MAX_TEXT_CHARS).alias("p"))
     return rows.select("doc_id", "p.was_truncated", _digest(F.col("p.text")).alias("digest"))
 
 
@@ -594,7 +597,7 @@ def tfidf_word(spark, sf_dir):
 def _modelled(spark, sf_dir) -> DataFrame:
     docs = _docs(spark, sf_dir)
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    rows = docs.join(labels, "doc_id").select("doc_id", T.prepare_text(F.col("text"), 20000)["text"].alias("text"), "label")
+    rows = docs.join(labels, "doc_id").select("doc_id", T.prepare_text(F.col("text"), MAX_TEXT_CHARS)["text"].alias("text"), "label")
     rows = rows.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string"))).withColumn("similarity_group", F.sha2("text", 256))
     return materialised(rows.withColumn("text_hash", F.col("similarity_group")))
 
