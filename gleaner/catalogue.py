@@ -264,12 +264,16 @@ def near_dup_pairs(spark, sf_dir):
     return G.exact_pairs(G.shingled(_grouped_input(spark, sf_dir))).select("a", "b", "overlap", _r(F.col("similarity")).alias("similarity"))
 
 
-@query()
-def near_dup_groups(spark, sf_dir):
+def _near_groups(spark, sf_dir) -> DataFrame:
     groups, _ = G.near_duplicate_groups(_grouped_input(spark, sf_dir))
     return groups.select(F.col("id").alias("doc_id"), "similarity_group")
 
 
+@query()
+def near_dup_groups(spark, sf_dir):
+    return _near_groups(spark, sf_dir)
+
+
 @query()
 def near_dup_audit(spark, sf_dir):
     return G.near_duplicate_groups(_grouped_input(spark, sf_dir))[1]
@@ -314,6 +318,7 @@ FOLDED = f"""t AS (
 
 
 def _folded(spark, sf_dir) -> DataFrame:
+    """Groups are equal texts here, as in the SQL above; _near_groups has those of near copies."""
     docs = _docs(spark, sf_dir)
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     rows = docs.join(labels, "doc_id").select("doc_id", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")).alias("source"), "label", T.text_hash(T.normalize_text(F.col("text"))).alias("text_hash"))
@@ -341,7 +346,8 @@ def strata_min_groups(spark, sf_dir):
 
 @query()
 def fold_greedy_split(spark, sf_dir):
-    return D.with_splits(_folded(spark, sf_dir)).select("doc_id", F.col("split_fold").cast("int").alias("split_fold"), "split")
+    rows = _folded(spark, sf_dir).drop("similarity_group").join(_near_groups(spark, sf_dir), "doc_id")
+    return D.with_splits(materialised(rows)).select("doc_id", F.col("split_fold").cast("int").alias("split_fold"), "split")
 
 
 @query()
@@ -598,8 +604,8 @@ def _modelled(spark, sf_dir) -> DataFrame:
     docs = _docs(spark, sf_dir)
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     rows = docs.join(labels, "doc_id").select("doc_id", T.prepare_text(F.col("text"), MAX_TEXT_CHARS)["text"].alias("text"), "label")
-    rows = rows.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string"))).withColumn("similarity_group", F.sha2("text", 256))
-    return materialised(rows.withColumn("text_hash", F.col("similarity_group")))
+    rows = rows.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string"))).withColumn("text_hash", F.sha2("text", 256))
+    return materialised(rows.join(_near_groups(spark, sf_dir), "doc_id"))
 
 
 @query()
