@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,27 @@ HOT_SHARE = 0.001
 HOT_ROWS = 2_000
 
 
+#: Rows and bytes of a batch that travels to Python, at most; the same for all operators, as plans run when they are read.
+ARROW_ROWS = 1_024
+ARROW_BYTES = 8 << 20
+
+_local_root: str | None = None
+_folders: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset (tests), a local one is made and set."""
+    """A new folder below spark.checkpoint.dir. Where that is unset (tests in local mode), one below a temporary folder."""
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+        _local_root = _local_root or "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        root = _local_root
+    folder = f"{root.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+    if _folders:
+        _folders[-1].append(folder)
+    return folder
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
@@ -34,9 +47,36 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def use_small_arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts travel to Python in batches of so many rows at most, which bounds a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch folders that were made inside, at the end: results that leave must be `kept`."""
+    _folders.append([])
+    try:
+        yield
+    finally:
+        for folder in _folders.pop():
+            remove_folder(spark, folder)
+
+
+def kept(df: DataFrame, name: str = "result") -> DataFrame:
+    """Like stored, in a folder that outlives the innermost `scratch`; whoever owns spark.checkpoint.dir empties it."""
+    own = _folders.pop() if _folders else None
+    try:
+        return stored(df, name)
+    finally:
+        if own is not None:
+            _folders.append(own)
+
+
+def use_small_arrow_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python in batches of so many rows and bytes at most, which bounds a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def join_on_counted_key(rows: DataFrame, per_key: DataFrame, key: str, n_col: str, total: int, how: str = "left") -> DataFrame:

@@ -3,15 +3,19 @@
 Features: character 1- to 3-grams of the lower-cased letters of a whole text (every other run of characters is one
 blank), hashed into FEATURES cells; weight (1 + ln tf) * idf, scaled to length 1. Document frequencies are counted
 over all training documents by partial aggregation (FEATURES rows at most from each task). The weights are fitted
-by follow-the-regularised-leader with an elastic-net penalty on a sample of at most SAMPLE_PER_LABEL documents of
-each label, which is taken by a hash of doc_id; one part of that sample is left out of the fit and serves to choose
-the temperature by which scores are divided. The model has FEATURES x labels numbers at most, whatever the input,
-and is broadcast; prediction is one narrow stage.
+by follow-the-regularised-leader with an elastic-net penalty on a bounded sample: the first documents in order of a
+hash of doc_id, at most SAMPLE_PER_LABEL of each label and SAMPLE_ROWS of all, until they have SAMPLE_CELLS features.
+One executor task fits them; the driver sees the fitted weights alone. One part of the sample is left out of the fit
+and serves to choose the temperature by which scores are divided. The model has FEATURES x labels numbers at most,
+whatever the input, and is broadcast; prediction is one narrow stage.
 
 Only text and non-null lang of the rows outside the held-out fold (crc32 of doc_id as text, modulo 5, is 0) are
 learned from. Defined cases: `und` with score 0 for a null text, a text without letters, or when nothing was
 learned; one learned label is predicted with score 1. Repeated rows count repeatedly. A null doc_id is in no fold:
-its row isn't learned from and held_out is null. Other columns are ignored.
+its row isn't learned from and held_out is null. A very long text has FEATURES cells at most, and batches are bounded
+by bytes. Of more than MAX_LABELS languages the most frequent ones are learned (ties in order of name). Where too few
+documents were learned from to calibrate scores, `keep_identified` rejects texts without letters alone. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +32,13 @@ from pyspark.sql import functions as F
 from gleaner.llm._common import use_small_arrow_batches
 
 FEATURES = 1 << 15
-#: The bound of the sample that the weights are fitted on, for each label, and of the number of labels.
+#: The bounds of the sample that the weights are fitted on: documents of a label, documents, and their cells.
 SAMPLE_PER_LABEL = 2_000
+SAMPLE_ROWS = 20_000
+SAMPLE_CELLS = 16_000_000
 MAX_LABELS = 200
+#: Left-out documents that a temperature needs.
+CALIBRATION_ROWS = 4
 FOLDS = 5
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -65,6 +73,7 @@ class Model:
     weights: np.ndarray  # FEATURES x labels
     bias: np.ndarray
     temperature: float
+    calibrated: bool = False
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return weighted(*features(text), self.idf)
@@ -152,20 +161,46 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "cells": pa.array([c for c, _ in found], pa.list_(pa.int32())), "counts": pa.array([c for _, c in found], pa.list_(pa.int32()))}
+            {"draw": batch.column("draw"), "tie": batch.column("tie"), "lang": batch.column("lang"), "cells": pa.array([c for c, _ in found], pa.list_(pa.int32())), "counts": pa.array([c for _, c in found], pa.list_(pa.int32()))}
         )
 
 
+def _fitter(labels: list[str], idf: np.ndarray):
+    """Fit the bounded sample in the one task that it comes to: rows (cell, weights); cell -1 is the bias, -2 the temperature, if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {k: i for i, k in enumerate(labels)}
+        vectors, label, held = [], [], 0
+        for batch in batches:
+            for lang, cells, counts in zip(batch.column("lang").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
+                found = cells.values.to_numpy(zero_copy_only=False)
+                if len(found) and held < SAMPLE_CELLS:
+                    vectors.append(_compact(*weighted(found, counts.values.to_numpy(zero_copy_only=False), idf)))
+                    label.append(place[lang])
+                    held += len(found)
+        y, at = np.array(label, dtype=np.int64), np.arange(len(label))
+        left_out = (at % 5 == 0) & (len(label) >= 5 * CALIBRATION_ROWS)
+        fitted = np.flatnonzero(~left_out)
+        weights, bias = fit_ftrl([vectors[i] for i in fitted], y[fitted], len(labels)) if len(fitted) else (np.zeros((FEATURES, len(labels))), np.zeros(len(labels)))
+        used = np.flatnonzero(weights.any(axis=1))
+        cell, out = [*used.tolist(), -1], [*weights[used].tolist(), bias.tolist()]
+        if left_out.any():
+            scores = np.array([vectors[i][1] @ weights[vectors[i][0]] + bias for i in np.flatnonzero(left_out)]).reshape(-1, len(labels))
+            cell.append(-2), out.append([choose_temperature(scores, y[left_out])])
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int32()), "weights": pa.array(out, pa.list_(pa.float64()))})
+
+    return run
+
+
 def fit(docs: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL) -> Model:
     """A model of text -> lang, learned from the rows outside the held-out fold."""
     use_small_arrow_batches(docs.sparkSession)
     learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0))
-    per_label = {r.lang: r.n for r in learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS + 1).collect()}
-    if len(per_label) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
+    per_label = {r.lang: r.n for r in learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS).collect()}
     labels = sorted(per_label)
     if not labels:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
+    learned = learned.where(F.col("lang").isin(labels))
     df = np.zeros(FEATURES, np.int64)
     rows = 0
     for r in learned.select("text").mapInArrow(_document_frequencies, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows at most
@@ -174,20 +209,28 @@ def fit(docs: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL) -> Model:
         else:
             df[r.cell] = r.n
     idf = np.log((1 + rows) / (1 + df)) + 1
-    share = F.create_map(*[F.lit(x) for k, n in per_label.items() for x in (k, min(1.0, sample_per_label / n))])[F.col("lang")]
-    drawn = learned.where(F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("doc_id")), 33) < share * float(1 << 31))
-    sample = drawn.mapInArrow(_featurised, "doc_id long, lang string, cells array<int>, counts array<int>").orderBy("doc_id").limit(2 * sample_per_label * len(labels))
-    table = sample.toArrow()
-    lists, flat_counts = table["cells"].combine_chunks(), table["counts"].combine_chunks().flatten().to_numpy()
-    flat_cells, edges = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    vectors = [_compact(*weighted(flat_cells[a:b], flat_counts[a:b], idf)) for a, b in zip(edges, edges[1:], strict=False)]
-    label = np.array([labels.index(x) for x in table["lang"].to_pylist()], dtype=np.int64)
-    usable = np.array([len(c) > 0 for c, _ in vectors], dtype=bool)
-    left_out = usable & (np.arange(len(vectors)) % 5 == 0) if usable.sum() >= 20 else np.zeros(len(vectors), bool)
-    fitted = np.flatnonzero(usable & ~left_out)
-    weights, bias = fit_ftrl([vectors[i] for i in fitted], label[fitted], len(labels)) if len(fitted) else (np.zeros((FEATURES, len(labels))), np.zeros(len(labels)))
-    scores = np.array([vectors[i][1] @ weights[vectors[i][0]] + bias for i in np.flatnonzero(left_out)]).reshape(-1, len(labels))
-    return Model(labels, idf, weights, bias, choose_temperature(scores, label[left_out]))
+    wanted = min(sample_per_label, SAMPLE_ROWS // len(labels))
+    # every cell of a document counts once in df, so their sum tells how many cells so many documents have
+    thin = min(1.0, SAMPLE_CELLS / max(1.0, df.sum() / max(1, rows) * sum(min(wanted, n) for n in per_label.values())))
+    share = F.create_map(*[F.lit(x) for k, n in per_label.items() for x in (k, min(1.0, wanted / n) * thin)])[F.col("lang")]
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("doc_id")), 33)
+    drawn = learned.withColumn("draw", draw).where(F.col("draw") < share * float(1 << 31))
+    # rows of one doc_id draw alike; the digest of their text settles their order
+    featurised = drawn.select("draw", F.xxhash64("text").alias("tie"), "lang", "text").mapInArrow(_featurised, "draw long, tie long, lang string, cells array<int>, counts array<int>")
+    sample = featurised.orderBy("draw", "tie", "lang").limit(SAMPLE_ROWS + SAMPLE_ROWS // 10).select("lang", "cells", "counts")
+    fitted = sample.mapInArrow(_fitter(labels, idf), "cell int, weights array<double>").toArrow()
+    weights, bias, temperature = np.zeros((FEATURES, len(labels))), np.zeros(len(labels)), None
+    flat = fitted["weights"].combine_chunks().flatten().to_numpy()
+    lengths = fitted["weights"].combine_chunks().value_lengths().to_numpy()
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    for cell, a, b in zip(fitted["cell"].to_pylist(), edges, edges[1:], strict=False):
+        if cell >= 0:
+            weights[cell] = flat[a:b]
+        elif cell == -1:
+            bias = flat[a:b].copy()
+        else:
+            temperature = float(flat[a])
+    return Model(labels, idf, weights, bias, temperature or 1.0, temperature is not None)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -209,7 +252,10 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The documents whose language the model tells with at least this score, with all their columns."""
+    """The documents whose language the model tells with at least this score, with all their columns.
+
+    Texts without letters always go; if scores couldn't be calibrated, nothing else does.
+    """
     model = fit(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -217,7 +263,9 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     def told(text):
         import pandas as pd
 
-        found = [held.value.predict(t) for t in text]
-        return pd.Series([label != UNDETERMINED and score >= least_score for label, score in found], dtype=bool)
+        if held.value.calibrated:
+            found = [held.value.predict(t) for t in text]
+            return pd.Series([label != UNDETERMINED and score >= least_score for label, score in found], dtype=bool)
+        return pd.Series([t is not None and any(map(str.isalpha, t)) for t in text], dtype=bool)
 
     return docs.where(told(F.col("text")))
