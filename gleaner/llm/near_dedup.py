@@ -2,22 +2,25 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes. One permutation scatters the set, a second one,
 circularly shifted by 0, 1, 2, ..., yields all COORDINATES of the signature. Signatures are cut into BANDS bands of
-ROWS coordinates; a pair at a similarity of 0.8 shares no band with a chance of (1 - 0.8^3)^32 = 1e-10.
+ROWS coordinates; a pair at a similarity of 0.8 shares no band with a chance of (1 - 0.8^4)^32 = 5e-8.
 
-Documents with equal sets are one representative first. Members of a band's bucket are not paired with each other
-but, twice, with one member: the one that meets most others in all its buckets, and the smallest. Pairs whose set
-sizes and signatures allow a link (six standard errors below the threshold) join representatives to families;
-buckets that span several families are searched exhaustively in blocks, by signature, and what allows a link merges
-families. So a family holds every link of its members. Families are then searched on the full sets, read from whole
-texts again: whole if small, else block by block, and once more members outside the family's largest component
-against all. So no link is lost to a bucket's size, and no stage makes rows for pairs but the joins found.
+Documents with equal sets are one representative first. Its buckets' members are not paired with each other. First
+every member meets HUBS others at most: the heads of its buckets (members that meet most others) that it shares most
+buckets with. Those pairs are verified on full sets, and components of the verified links make families. Then buckets
+that still span several families are searched by signature, every member outside the largest family against all:
+small buckets whole, large ones in blocks, and if many are outside the largest family, first split by further bands of
+their members, as linked pairs share many. Every pair that this search allows (six standard errors below the
+threshold) and whose members are still apart is verified on full sets, in WAVES: a member's likeliest partners first,
+then families anew, so that what is joined in between isn't asked again; the last wave asks all that is left. So no
+link is lost to a bucket's size, and pairs stay near the number of members where links are many.
 
-Nothing unbounded reaches the driver or one task: buckets are counted by partial aggregation, joined through
-`join_on_counted_key`, searched in blocks of BLOCK rows.
+Nothing unbounded reaches the driver or one task: buckets are counted by partial aggregation, a partner that very many
+members ask is dealt in parts, full sets of two rows at a time are intersected by a built-in function.
 
 Defined cases: without words or text the set is empty and linked with nothing; with fewer words than a shingle, the
-whole sequence is the one shingle. A row without doc_id is linked with nothing, has no component and is kept.
-Rows with the same doc_id are one vertex. An empty table gives no rows; other columns are ignored.
+whole sequence is the one shingle; a very long text is one row, its set 8 bytes a shingle. A row without doc_id is
+linked with nothing, has no component and is kept. Rows with the same doc_id are one vertex. An empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +34,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._common import join_on_counted_key, stored, use_small_arrow_batches
+from gleaner.llm._common import join_on_counted_key, kept, scratch, stored, use_small_arrow_batches
 from gleaner.llm.components import connected_components
 
-ROWS, BANDS = 3, 32
+ROWS, BANDS = 4, 32
 COORDINATES = ROWS * BANDS
+#: Members of a bucket that are searched in one group, at most.
 BLOCK = 512
-#: Members of small families that are searched in one group, about.
-PACK = 256
+#: Rows of one search task, about.
+PACK = 4_096
+#: Partners of a member in the first round, and members that meet one copy of a much asked partner.
+HUBS = 2
+PART = 1_024
+#: Partners that a member asks in each wave, the likeliest first; the last wave has no limit.
+WAVES = (4, 64, None)
+#: So often a large bucket is split by further bands before it is searched in blocks.
+SPLITS = 2
 CACHE_WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,81 +114,33 @@ def _signed(width: int):
     return run
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2]).copy()
-        for r in range(ROWS):
-            key = mix64(key * _P + sig[:, :, r])
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS))], names=["bucket", "rep"])
-
-
-def _linked(ids: np.ndarray, family: np.ndarray, component: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Links between rows of one family and different components, each asking row against all: a spanning part of them."""
-    out_a, out_b = [], []
-    root = {int(c): int(c) for c in component}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    filled = np.flatnonzero([len(s) > 0 for s in sets])
-    order = filled[np.argsort(family[filled], kind="stable")]
-    for some in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
-        if len(some) < 2 or not asks[some].any():
-            continue
-        n = np.array([len(sets[i]) for i in some])
-        _, cell = np.unique(np.concatenate([sets[i] for i in some]), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(n)])
-        held = np.zeros(cell.max() + 1, np.int32)
-        for k in np.flatnonzero(asks[some]):
-            own = cell[starts[k] : starts[k + 1]]
-            held[own] = 1
-            both = np.add.reduceat(held[cell], starts[:-1])
-            held[own] = 0
-            near = np.flatnonzero(100 * both >= percent * (n + n[k] - both))
-            for j in near:
-                x, y = find(int(component[some[k]])), find(int(component[some[j]]))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    out_a.append(int(ids[some[k]])), out_b.append(int(ids[some[j]]))
-    return out_a, out_b
-
-
-def _search(width: int, percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        sets = [shingle_set(t.as_py(), width) for t in table["text"]]
-        ids, family, component = (table[c].to_numpy() for c in ("rep", "family", "component"))
-        a, b = _linked(ids, family, component, table["asks"].to_numpy(zero_copy_only=False).astype(bool), sets, percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """For each signature the keys of its bands."""
+    parts = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
+    for r in range(ROWS):
+        key = mix64(key * _P + parts[:, :, r])
+    return key.astype(np.int64)
 
-    return run
 
+def _signatures(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
-def search(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) on full sets within groups of rows: group, rep, family, component, asks. texts: rep, text."""
-    held = rows.join(texts.hint("merge"), "rep")
-    return held.groupBy("group").applyInArrow(_search(width, percent), "a long, b long")
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            key, band = band_keys(_signatures(batch)), np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(band), pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS))], names=["bucket", "band", "rep"])
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """members: bucket, rep, n (of the bucket), all n >= 2. Every member with two others of its bucket, at most.
 
-    These are the one that meets most others in all its buckets, and the smallest.
-    """
-    meets = members.groupBy("rep").agg(F.sum("n").alias("meets"))
-    known = members.join(meets, "rep")
-    heads = known.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("head"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("n"))
-    heads = heads.select("bucket", (-F.col("head.minus")).alias("head"), "low", "n")
-    each = join_on_counted_key(members.select("bucket", "rep"), heads, "bucket", "n", members.count())
-    pairs = each.select(F.explode(F.array("head", "low")).alias("x"), F.col("rep").alias("y")).where("x != y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, width).astype(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+    return run
 
 
 def least_agreement(percent: int) -> int:
@@ -186,13 +149,36 @@ def least_agreement(percent: int) -> int:
     return int(max(0.0, p - 6 * (p * (1 - p) / COORDINATES) ** 0.5) * COORDINATES)
 
 
+def hub_pairs(members: DataFrame, total: int) -> DataFrame:
+    """members: bucket, rep, n (of the bucket). Pairs (a, b): each member with HUBS heads of its buckets, at most."""
+    meets = members.groupBy("rep").agg(F.sum("n").alias("meets"), F.collect_list(F.struct("bucket", "n")).alias("of"))  # BANDS entries at most
+    each = meets.select("rep", "meets", F.explode("of").alias("o")).select("rep", "meets", "o.*")
+    heads = each.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("h"), F.first("n").alias("n")).select("bucket", (-F.col("h.minus")).alias("head"), "n")
+    asked = join_on_counted_key(members.select("bucket", "rep"), heads, "bucket", "n", total).where("head != rep")
+    every = asked.groupBy("rep").agg(F.collect_list("head").alias("heads"))
+    liked = F.array_sort(F.transform(F.array_distinct("heads"), lambda h: F.struct((-F.size(F.filter("heads", lambda x: x == h))).alias("k"), h.alias("h"))))
+    return every.select(F.explode(F.slice(liked, 1, HUBS)).alias("l"), F.col("rep").alias("b")).select(F.col("l.h").alias("a"), "b")
+
+
+def with_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with a's and b's value (va, vb) of a table (rep, value). An a of very many pairs is copied for parts of them.
+
+    A b is expected in few pairs.
+    """
+    often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_asked"))
+    total = pairs.count()
+    dealt = join_on_counted_key(pairs.select("a", "b"), often, "a", "n_asked", max(1, total)).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n_asked") / PART)).cast("int").alias("part"))
+    left = often.join(table, F.col("a") == F.col("rep")).select("a", F.col(value).alias("va"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_asked") / PART).cast("int") - 1)).alias("part"))
+    return dealt.join(left, ["a", "part"]).join(table.select(F.col("rep").alias("b"), F.col(value).alias("vb")), "b").select("a", "b", "va", "vb")
+
+
 def _agreeing(percent: int):
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("sa", "sb"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("va", "vb"))
                 keep = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -200,56 +186,102 @@ def _agreeing(percent: int):
 
 
 def near_enough(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose set sizes and signatures allow the similarity."""
-    known = reps.select("rep", "n_shingles", "signature")
-    x = known.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    y = known.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-    sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.select("a", "b", "sa", "sb").mapInArrow(_agreeing(percent), "a long, b long")
+    """The pairs whose signatures allow the similarity."""
+    return with_sides(pairs, reps, "signature").mapInArrow(_agreeing(percent), "a long, b long")
+
 
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity; sets: rep, shingles."""
+    both = with_sides(pairs, sets, "shingles").withColumn("k", F.size(F.array_intersect("va", "vb")))
+    return both.where(100 * F.col("k") >= percent * (F.size("va") + F.size("vb") - F.col("k"))).select("a", "b").distinct()
 
-def _merging(percent: int):
+
+def _asking(percent: int, wave: int | None):
+    """Pairs (a, b, place) of each group: every asking row b with its likeliest partners a of other families, one more than the wave takes."""
     least = least_agreement(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        rep, family, n = (table[c].to_numpy() for c in ("rep", "family", "n_shingles"))
-        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(rep), COORDINATES)
-        a, b, merged = [], [], family.copy()
-        for i in np.flatnonzero(asks):
-            fit = np.flatnonzero((merged != merged[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            for j in fit[(sig[fit] == sig[i]).sum(axis=1) >= least]:
-                if merged[j] != merged[i]:  # one pair joins two families
-                    a.append(int(rep[i])), b.append(int(rep[j]))
-                    merged[merged == merged[j]] = merged[i]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        rep, family, n, group = (table[c].to_numpy() for c in ("rep", "family", "n_shingles", "group"))
+        asks, sig = table["asks"].to_numpy(zero_copy_only=False).astype(bool), _signatures(table)
+        found: list[tuple[np.ndarray, ...]] = []
+        order = np.argsort(group, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            for i in some[asks[some]]:
+                fit = some[(family[some] != family[i]) & (100 * np.minimum(n[some], n[i]) >= percent * np.maximum(n[some], n[i]))]
+                agree = (sig[fit] == sig[i]).sum(axis=1)
+                fit, agree = fit[agree >= least], agree[agree >= least]
+                fit = fit[np.lexsort((rep[fit], -agree))][: None if wave is None else wave + 1]
+                if len(fit):
+                    found.append((rep[fit], np.full(len(fit), rep[i]), np.arange(len(fit))))
+        a, b, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "place": pa.array(place, pa.int64())})
 
     return run
 
 
-def blocks_of(rows: DataFrame, key: str, part: str) -> DataFrame:
-    """Groups that let every row outside its key's largest part meet all rows of the key, BLOCK rows of each at most.
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets under the keys of all later bands, below their bucket."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = band_keys(_signatures(batch))
+        last, bucket = batch.column("band").to_numpy(), batch.column("bucket").to_numpy().astype(np.uint64)
+        row, band = np.nonzero(np.arange(BANDS)[None, :] > last[:, None])
+        named = mix64(bucket[row] * _P + key[row, band].astype(np.uint64)).astype(np.int64)
+        kept_columns = [batch.column(c).take(pa.array(row)) for c in ("rep", "family", "n_shingles", "signature")]
+        yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(band.astype(np.int32)), *kept_columns], names=["bucket", "band", "rep", "family", "n_shingles", "signature"])
+
+
+def search_groups(rows: DataFrame, splits: int = SPLITS) -> DataFrame:
+    """rows: bucket, band, rep, family, n_shingles, signature. The groups to search: group, asks, rep, family, n_shingles, signature.
 
-    Adds group and asks; rows recur in several groups if their key has more than BLOCK rows. Keys of one part go.
+    Buckets of one family go. Every member outside a bucket's largest family asks all others of the bucket.
     """
-    parts = rows.groupBy(key, part).agg(F.count(F.lit(1)).alias("k"))
-    many = parts.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", part)).alias("main")).where("parts > 1")
-    many = many.select(key, "n", F.col(f"main.{part}").alias("main"), (F.col("n") - F.col("main.k")).alias("others"))
-    placed = join_on_counted_key(rows, many, key, "n", rows.count(), "inner")
-    placed = placed.withColumns({"mb": F.ceil(F.col("n") / BLOCK).cast("int"), "rb": F.ceil(F.col("others") / BLOCK).cast("int"), "deal": F.xxhash64("rep")})
-    member = placed.select(*rows.columns, F.pmod("deal", "mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("asks"))
-    other = placed.where(F.col(part) != F.col("main")).select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("deal", "rb").alias("r"), F.lit(True).alias("asks"))
-    return member.unionByName(other).withColumn("group", F.xxhash64(key, "m", "r")).drop("m", "r")
-
-
-def families(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """node, component: every two members of a bucket whose signatures allow a link are in one family."""
-    close = stored(near_enough(star_pairs(members), reps, percent), "close")
-    found = connected_components(close)
-    placed = members.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("family"))
-    open_rows = blocks_of(placed, "bucket", "family").join(reps.select("rep", "n_shingles", "signature"), "rep")
-    more = stored(open_rows.groupBy("group").applyInArrow(_merging(percent), "a long, b long"), "more")
-    return connected_components(close.unionByName(more)) if more.limit(1).collect() else found
+    parts = rows.groupBy("bucket", "family").agg(F.count(F.lit(1)).alias("k"))
+    many = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "family")).alias("main")).where("parts > 1")
+    many = many.select("bucket", "n", F.col("main.family").alias("main"), (F.col("n") - F.col("main.k")).alias("others"))
+    placed = stored(join_on_counted_key(rows, many, "bucket", "n", max(1, rows.count()), "inner"), "open")
+    names = ["rep", "family", "n_shingles", "signature"]
+    asks = F.col("family") != F.col("main")
+    out = placed.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("group"), asks.alias("asks"), *names)
+    large = placed.where(F.col("n") > BLOCK)
+    wide = F.col("others") > BLOCK
+    if splits and large.where(wide).limit(1).collect():
+        deeper = stored(large.where(wide).select("bucket", "band", *names).mapInArrow(_split, "bucket long, band int, rep long, family long, n_shingles long, signature binary"), "deeper")
+        out = out.unionByName(search_groups(deeper, splits - 1))
+        large = large.where(~wide)
+    # blocks: a member meets all blocks of others, another all blocks of members; others are few here, or couldn't be split
+    large = large.withColumns({"mb": F.ceil(F.col("n") / BLOCK).cast("int"), "rb": F.ceil(F.col("others") / BLOCK).cast("int"), "deal": F.xxhash64("rep")})
+    member = large.select("bucket", *names, F.pmod("deal", "mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("asks"))
+    other = large.where(asks).select("bucket", *names, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("deal", "rb").alias("r"), F.lit(True).alias("asks"))
+    blocks = member.unionByName(other).select(F.xxhash64("bucket", "m", "r").alias("group"), "asks", *names)
+    return out.unionByName(blocks)
+
+
+def verified_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """Links (a, b) that have the same components as all pairs that share a bucket and reach the similarity."""
+    asked = stored(near_enough(hub_pairs(members, total), reps, percent), "asked")
+    links = stored(linked(asked, sets, percent), "links")
+    for wave in WAVES:
+        found = connected_components(links)
+        # a bucket of one family is done; signatures travel for the others alone
+        placed = stored(members.join(found, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("family")), "placed")
+        spans = placed.groupBy("bucket").agg((F.min("family") != F.max("family")).alias("open"), F.first("n").alias("n_of")).where("open").select("bucket", "n_of")
+        opened = stored(join_on_counted_key(placed, spans, "bucket", "n_of", total, "inner").select("bucket", "band", "rep", "family"), "opened")
+        if not opened.limit(1).collect():
+            break
+        rows = opened.join(reps.select("rep", "n_shingles", "signature"), "rep").select("bucket", "band", "rep", "family", "n_shingles", "signature")
+        groups = search_groups(stored(rows, "rows"))
+        packs = max(1, -(-opened.count() // PACK))
+        told = stored(groups.groupBy(F.pmod(F.xxhash64("group"), F.lit(packs))).applyInArrow(_asking(percent, wave), "a long, b long, place long"), "told")
+        new = told if wave is None else told.where(F.col("place") < wave)
+        new = stored(new.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"), "new")
+        if new.limit(1).collect():
+            links = stored(links.unionByName(linked(new, sets, percent)), "links")
+            asked = asked.unionByName(new)
+        if wave is None or not told.where(F.col("place") >= wave).limit(1).collect():
+            break
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -257,41 +289,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     width: words of a shingle; percent: the least similarity of linked documents, in hundredths.
     """
-    use_small_arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    use_small_arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(texts.mapInArrow(_signed(width), "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
-    total = signed.count()
-    having = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(having.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "reps")
-    bands = reps.select("rep", "signature").mapInArrow(_banded, "bucket long, rep long")
-    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(join_on_counted_key(bands, buckets, "bucket", "n", total, "inner"), "members")
-    placed = families(members, reps, percent).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    placed = stored(join_on_counted_key(placed, sizes, "family", "n", total, "inner"), "placed")
-
-    # the only shuffle of texts; which plan it takes doesn't hang on the size of either side
-    held = stored(placed.select("rep").join(texts.hint("merge"), F.col("rep") == F.col("doc_id")).select("rep", "text"), "held")
-
-    # small families are searched whole, many in one group; large ones block by block, their first member in each
-    packs = max(1, -(-placed.count() // PACK))
-    alone = F.col("rep").alias("component")
-    small = placed.where(F.col("n") <= BLOCK).select("rep", "family", alone, F.pmod(F.xxhash64("family"), F.lit(packs)).alias("group"))
-    large = placed.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    first = F.when(F.col("rep") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    dealt = large.select("rep", "family", alone, F.explode(first).alias("block")).select("rep", "family", "component", F.xxhash64("family", "block").alias("group"))
-    links = stored(search(small.unionByName(dealt).withColumn("asks", F.lit(True)), held, width, percent), "links")
-    components = connected_components(links)
-    # what is still apart in a large family
-    apart = large.join(components, F.col("rep") == F.col("node"), "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
-    if apart.limit(1).collect():
-        more = stored(search(blocks_of(apart, "family", "component"), held, width, percent), "more")
-        if more.limit(1).collect():
-            components = connected_components(links.unionByName(more))
-    of_set = reps.join(components, F.col("rep") == F.col("node"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
-    named = join_on_counted_key(signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), of_set, "set_key", "copies", total)
-    component = F.coalesce("component", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with scratch(spark):
+        signed = stored(texts.mapInArrow(_signed(width), "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
+        having = signed.where("n_shingles > 0 and doc_id is not null")
+        reps = stored(having.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "reps")
+        total = max(1, BANDS * reps.count())
+        bands = reps.select("rep", "signature").mapInArrow(_banded, "bucket long, band int, rep long")
+        buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = stored(join_on_counted_key(bands, buckets, "bucket", "n", total, "inner").dropDuplicates(["bucket", "rep"]), "members")
+        # the only shuffle of texts; which plan it takes doesn't hang on the size of either side
+        met = members.select("rep").distinct()
+        held = met.join(texts.hint("merge"), F.col("rep") == F.col("doc_id")).select("rep", "text")
+        sets = stored(held.mapInArrow(_sets(width), "rep long, shingles array<long>"), "sets")
+        components = connected_components(verified_links(members, reps, sets, percent, total))
+        of_set = reps.join(components, F.col("rep") == F.col("node"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
+        named = join_on_counted_key(signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), of_set, "set_key", "copies", max(1, signed.count()))
+        component = F.coalesce("component", "doc_id")
+        return kept(named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near_duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -7,7 +7,9 @@ whatever the input - and expectation-maximisation on that bounded table estimate
 posteriors train a logistic span classifier, whose score is an expression over the votes; candidates that overlap
 no base span and score ADD_AT or more are added.
 
-One narrow stage finds spans and votes; nothing but the pattern counts is shuffled. Offsets are code points.
+One narrow stage finds spans and votes; nothing but the pattern counts is shuffled. Offsets are code points. Matches
+and what is between them come from one search each; offsets are running sums of their lengths, by doubling steps, so
+a text of n signs and m matches takes n + m log m steps, however many matches there are.
 
 Defined cases: a null text is empty and has no spans; very long texts are searched whole, by patterns whose time
 is linear in their length; repeated rows and null ids are searched like all others; an empty table gives an empty
@@ -17,6 +19,7 @@ result; other columns are ignored (`mask_documents` keeps them).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -30,7 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    # whole runs only, and of these only such with 16 to 19 digits
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What may be meant as well: spelt-out addresses, numbers beside other numbers or without a country code.
@@ -53,6 +57,8 @@ BEFORE = {
 AGAINST = "version|ver|isbn|issn|order|invoice|serial|sku|section|chapter|figure|table|doi"
 LABELERS = ("strict", "structure", "gazetteer", "context", "around")
 CONTEXT = 24
+#: Code points of a chunk, from which masked texts are put together.
+CHUNK = 256
 ADD_AT = 0.5
 ROUNDS = 50
 
@@ -95,32 +101,48 @@ def passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """For each element the sum, maximum or the like of all up to it, by doubling steps. values: an array bound to a variable."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(values))
+    return F.aggregate(steps, values, lambda so_far, d: F.transform(so_far, lambda x, i: F.when(i >= d, both(x, F.get(so_far, i - d))).otherwise(x)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def located(text: Column, pattern: str, hint: Column) -> Column:
-    """All matches from left to right: array of (start, end, match), end exclusive, in code points."""
-    matches = F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    between = F.split(text, pattern, -1)
+    """All matches from left to right: array of (start, end, match, before, after), end exclusive, in code points.
+
+    before and after are what lies between this match and its neighbours.
+    """
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
 
-    def step(state: Column, i: Column) -> Column:
-        match = F.get(state["m"], i)
-        start = state["at"] + F.length(F.get(state["b"], i))
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), match.alias("match")))).alias("out"), state["m"].alias("m"), state["b"].alias("b"))
+    def placed(s: Column) -> Column:
+        n = F.size(s["m"])
+        lengths = F.zip_with(s["m"], F.slice(s["b"], F.lit(1), n), lambda m, b: F.length(b) + F.length(m))
+        ends = bound(lengths, lambda x: running(x, lambda p, q: p + q))
+        each = F.zip_with(s["m"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
+        each = F.zip_with(each, F.slice(s["b"], F.lit(1), n), lambda c, b: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), b.alias("before")))
+        return F.zip_with(each, F.slice(s["b"], F.lit(2), n), lambda c, b: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), c["before"].alias("before"), b.alias("after")))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"), matches.alias("m"), between.alias("b"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda s: s["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
+    return F.when(hint, bound(found, lambda s: F.when(F.size(s["m"]) > 0, placed(s)).otherwise(none))).otherwise(none)
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def votes(kind: str, text: Column, span: Column, strict: Column) -> list[Column]:
-    """Each labeler's vote: 1 for, -1 against, 0 none."""
-    match, start = span["match"], span["start"]
+def votes(kind: str, span: Column, strict: Column) -> list[Column]:
+    """Each labeler's vote: 1 for, -1 against, 0 none. The words before a match are those since the last match."""
+    match = span["match"]
     digits = _digits(match)
-    before = F.lower(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))))
-    left, right = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(""), F.substring(text, span["end"] + 1, F.lit(1))
+    before = F.lower(F.right(span["before"], F.lit(CONTEXT)))
+    # a match that follows another one at once is joined to it
+    left = F.when((span["before"] == "") & (span["start"] > 0), "0").otherwise(F.right(span["before"], F.lit(1)))
+    right = F.substring(span["after"], 1, 1)
     if kind == "email":
         structure, listed = match.rlike(r"^[^.].*[^.]\s?(?:@|\(at\)|\[at\])"), match.rlike(f"(?i)(?:\\.|dot[)\\]])\\s?(?:{ENDINGS})$")
     elif kind == "ip":
@@ -137,36 +159,38 @@ def votes(kind: str, text: Column, span: Column, strict: Column) -> list[Column]
 
 
 def candidates(text: Column) -> Column:
-    """Per document: array of (kind, start, end, base, v0 .. v4), base spans first."""
+    """Per document: array of (start, end, kind, base, v0 .. v4), in order of start."""
     at, digit = F.contains(text, F.lit("@")), text.rlike("[0-9]")
     hints = {"email": at, "ip": digit, "card": digit, "phone": digit}
     wide_hints = hints | {"email": at | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]"))}
 
     def base_of(n: int, kind: str) -> Column:
         found = F.filter(located(text, BASE[kind], hints[kind]), lambda s: passes(kind, s["match"]))
-        return F.transform(found, lambda s: _candidate(n, kind, text, s, F.lit(True)))
+        return F.transform(found, lambda s: _candidate(n, kind, s, F.lit(True)))
 
     def wide_of(n: int, kind: str) -> Column:
-        return F.transform(located(text, WIDE[kind], wide_hints[kind]), lambda s: _candidate(n, kind, text, s, F.lit(False)))
+        return F.transform(located(text, WIDE[kind], wide_hints[kind]), lambda s: _candidate(n, kind, s, F.lit(False)))
 
-    sure = F.concat(*[base_of(n, k) for n, k in enumerate(KINDS)])
-    extra = F.concat(*[wide_of(n, k) for n, k in enumerate(KINDS)])
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,v0:int,v1:int,v2:int,v3:int,v4:int>>")
+    every = F.concat(*[base_of(n, k) for n, k in enumerate(KINDS)], *[wide_of(n, k) for n, k in enumerate(KINDS)])
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,v0:int,v1:int,v2:int,v3:int,v4:int>>")
+    found = bound(F.array_sort(every), lambda c: F.when(F.size(c) > 0, _apart(c)).otherwise(none))
+    return F.when(digit | wide_hints["email"], found).otherwise(none)
 
-    def merged(both: Column) -> Column:
-        # overlap with a base span of any kind settles a wide candidate
-        apart = F.filter(both["extra"], lambda c: ~F.exists(both["sure"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        return F.concat(both["sure"], apart)
 
-    # bound to a variable, spans are searched once for each text
-    found = F.get(F.transform(F.array(F.struct(sure.alias("sure"), extra.alias("extra"))), merged), 0)
-    return F.when(digit | wide_hints["email"], found).otherwise(none)
+def _apart(c: Column) -> Column:
+    """All base spans, and the wide candidates that overlap none of them, of any kind. c: candidates in order of start."""
+    far = 1 << 30
+    ended = bound(F.transform(c, lambda x: F.when(x["base"], x["end"]).otherwise(0)), lambda e: running(e, lambda p, q: F.greatest(p, q)))
+    to_come = F.reverse(bound(F.reverse(F.transform(c, lambda x: F.when(x["base"], x["start"]).otherwise(far))), lambda e: running(e, lambda p, q: F.least(p, q))))
+    seen = F.zip_with(c, ended, lambda x, e: F.struct(x.alias("c"), e.alias("ended")))
+    seen = F.zip_with(seen, to_come, lambda x, f: F.struct(x["c"].alias("c"), (x["c"]["base"] | ((x["ended"] <= x["c"]["start"]) & (f >= x["c"]["end"]))).alias("stays")))
+    return F.transform(F.filter(seen, lambda x: x["stays"]), lambda x: x["c"])
 
 
-def _candidate(n: int, kind: str, text: Column, span: Column, base: Column) -> Column:
+def _candidate(n: int, kind: str, span: Column, base: Column) -> Column:
     strict = base if kind == "email" else passes(kind, span["match"]) & (base if kind == "phone" else F.lit(True))
-    v = votes(kind, text, span, strict)
-    return F.struct(F.lit(n).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), base.alias("base"), *[x.cast("int").alias(f"v{i}") for i, x in enumerate(v)])
+    v = votes(kind, span, strict)
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(n).alias("kind"), base.alias("base"), *[x.cast("int").alias(f"v{i}") for i, x in enumerate(v)])
 
 
 @dataclass
@@ -266,18 +290,26 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first stands for all."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """The text with each span replaced by its kind in angle brackets; spans that overlap are one, of the first one's kind."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def piece(t: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(t["chunks"], first + 1, last - first + 1), ""), start % CHUNK + 1, end - start)
+
+    def shown(t: Column) -> Column:
+        heads = F.filter(F.zip_with(t["order"], F.slice(t["ended"], F.lit(1), F.size(t["order"])), lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda x: x["s"]["start"] >= x["e"])
+        told = F.transform(heads, lambda x: F.concat(piece(t, x["e"], x["s"]["start"]), F.get(names, x["s"]["kind"])))
+        return F.concat(F.array_join(told, ""), piece(t, F.element_at(t["ended"], -1), t["n"]))
 
-    def step(state: Column, s: Column) -> Column:
-        new = s["start"] >= state["at"]
-        piece = F.concat(F.substring(state["t"], state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(new, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"), state["t"].alias("t"))
+    def ended(o: Column) -> Column:
+        """Before each span, and at last, where all spans so far have ended."""
+        until = bound(F.transform(o, lambda s: s["end"]), lambda e: running(e, lambda p, q: F.greatest(p, q)))
+        return F.struct(o.alias("order"), F.concat(F.array(F.lit(0)), until).alias("ended"), chunks.alias("chunks"), F.length(text).alias("n"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), text.alias("t"))
-    done = F.aggregate(order, first, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(s["t"], s["at"] + 1, F.length(s["t"]))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, bound(bound(order, ended), shown)).otherwise(text)
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:

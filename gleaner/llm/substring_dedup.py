@@ -1,33 +1,37 @@
 """Substring deduplication with a log-structured fingerprint index.
 
 A window is WINDOW consecutive words. Its fingerprint is the smallest hash among its GRAM-word grams, so equal
-windows have equal fingerprints and a document has about one for five words. `FingerprintIndex` holds, for every
-batch of documents it was given, two immutable tables in the shared folder, bucketed and sorted by fingerprint:
-the postings (fingerprint, doc_id), and a run (fingerprint, documents). A new batch's run is merge-joined with the
-runs there are - bucket by bucket, without a shuffle - which tells the fingerprints that occur before; then runs are
-compacted into one by another merge join. What a fingerprint only suggests is verified on all words, by keys of 96
-bits apart from the fingerprint. Neighbouring windows of one fingerprint are a segment; documents that share a
-fingerprint send their segments' keys, and all but the first document with a segment lose its windows. Where a
-fingerprint has different segments, the first document of each sends its windows' keys, and a window is removed
-where its key starts in a document with a smaller doc_id.
-
-Documents with equal words are one: the smallest doc_id stands for all, the others lose every word if they have
-WINDOW words or more. Texts are shuffled once, into a table bucketed by doc_id; postings once. A fingerprint or key that a third of the
-documents share is counted by partial aggregation and joined through `join_on_counted_key` or in merge joins whose
-other side has one row for it; no task gathers more than one document's windows at a time.
+windows have equal fingerprints and a document has about one for five words. `FingerprintIndex.add` takes in a batch
+of documents: every text is read once, and two immutable tables in the shared folder, bucketed and sorted by
+fingerprint, are written: the postings (fingerprint, doc_id, age) and a run (fingerprint, documents). The new run is
+merge-joined with the live runs of earlier batches - bucket by bucket, without a shuffle - which tells the
+fingerprints that occur before. Beyond MAX_RUNS live runs, they are merged into one before the next batch.
+
+`FingerprintIndex.clean` verifies what fingerprints only suggest, for any batches against all earlier ones, on all
+words, by keys of 96 bits apart from the fingerprint. Neighbouring windows of one fingerprint are a segment. Documents
+that share a fingerprint send their segments' keys and places, and all but the first document with a segment lose it.
+Where a fingerprint has different segments, the first document of each sends its windows' keys, and a window is
+removed where its key starts in an earlier document. Earlier is: in an earlier batch, or in the same one with a
+smaller doc_id. The keys come from 64-bit hashes of words: two words of one hash would count as equal, which among a
+billion different words has a chance of 3 %, and then matters to windows alone that are equal elsewhere.
+
+Documents with equal words are one: the first stands for all, the others lose every word if they have WINDOW words or
+more. Fingerprints in more than HOT_SHARE of a batch's documents (by a part of them; there are few) count as shared
+without being looked up, so their postings, a third of all documents maybe, go to no bucket. Keys that very many
+documents share are counted by partial aggregation and joined through `join_on_counted_key`.
 
 Defined cases: a null text has no words; documents below WINDOW words lose none; a null doc_id is smaller than none,
 its row loses nothing and causes no removal; rows with the same doc_id don't remove each other's words; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; a very long text is one row of a batch bounded by bytes; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +39,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm._common import join_on_counted_key, scratch_dir, stored, use_small_arrow_batches
+from gleaner.llm._common import join_on_counted_key, kept, remove_folder, scratch, scratch_dir, stored, use_small_arrow_batches
 
 WINDOW = 13
 GRAM = 5
-MAX_RUNS = 2
+MAX_RUNS = 4
 BATCHES = 3
-#: Postings of a bucket, about.
+#: Postings of a bucket, about, and bytes of text that give one posting.
 BUCKET_ROWS = 1_000_000
+POSTING_BYTES = 20
+#: A fingerprint is hot beyond this share of a batch's documents; so many are treated so, at most.
+HOT_SHARE = 0.01
+MAX_HOT = 10_000
+HOT_SAMPLE = 16
 CACHE_WORDS = 400_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -63,137 +72,165 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def _rolled(h: np.ndarray, width: int, factor: np.uint64) -> np.ndarray:
-    out = np.zeros(len(h) - width + 1, np.uint64)
-    for k in range(width):
-        out = out * factor + h[k : len(h) - width + 1 + k]
-    return _scramble(out)
+def _next(x: np.ndarray, fx: np.uint64, y: np.ndarray, at: int) -> np.ndarray:
+    """Hashes of runs, from those of their first part x and of their second part y, which begins so many words later."""
+    n = len(y) - at
+    return x[:n] * fx + y[at:]
 
 
-def fingerprints(h: np.ndarray) -> np.ndarray:
-    """One for each window: the smallest of its grams' hashes."""
-    if len(h) < WINDOW:
-        return np.zeros(0, np.uint64)
-    least = grams = _rolled(h, GRAM, _P)
-    for k in range(1, WINDOW - GRAM + 1):
-        least = np.minimum(least[: len(grams) - k], grams[k:])
-    return least
+class Windows:
+    """The windows of several word lists, and their segments: neighbouring windows of one list and fingerprint."""
+
+    def __init__(self, lists: Sequence[list[bytes]], keys: bool = True):
+        sizes = np.array([len(w) for w in lists], np.int64)
+        total = int(sizes.sum())
+        self.lists = len(lists)
+        h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(lists)), np.uint64, total)
+        of = np.repeat(np.arange(len(lists)), sizes)
+        self.position = np.flatnonzero(of[: max(0, total - WINDOW + 1)] == of[WINDOW - 1 :]) if total >= WINDOW else np.zeros(0, np.int64)
+        self.list = of[self.position]
+        self.place = self.position - (np.cumsum(sizes) - sizes)[self.list]  # a window's first word in its list
+        if not len(self.position):
+            self.fingerprint = self.a = self.b = np.zeros(0, np.uint64)
+            self.starts = self.lengths = np.zeros(0, np.int64)
+            return
+        p2, p4 = _P * _P, _P * _P * _P * _P
+        two = _next(h, _P, h, 1)
+        four = _next(two, p2, two, 2)
+        grams = _scramble(_next(four, _P, h, 4))
+        m = np.minimum(grams[:-1], grams[1:])
+        m = np.minimum(m[:-2], m[2:])
+        m = np.minimum(m[:-4], m[4:])
+        self.fingerprint = np.minimum(m[: len(grams) - 8], grams[8:])[self.position]  # the smallest of nine grams
+        change = (self.fingerprint[1:] != self.fingerprint[:-1]) | (self.list[1:] != self.list[:-1])
+        self.starts = np.flatnonzero(np.concatenate([[True], change]))
+        self.lengths = np.diff(np.concatenate([self.starts, [len(self.position)]]))
+        if keys:
+            q2, q4 = _Q * _Q, _Q * _Q * _Q * _Q
+            other = _next(h, _Q, h, 1)
+            other_four = _next(other, q2, other, 2)
+            self.a, self.b = (_scramble(self._thirteen(h, f, x, x4)[self.position]) for f, x, x4 in ((_P, four, p4), (_Q, other_four, q4)))
+
+    @staticmethod
+    def _thirteen(h: np.ndarray, f: np.uint64, four: np.ndarray, f4: np.uint64) -> np.ndarray:
+        eight = _next(four, f4, four, 4)
+        return _next(_next(eight, f4, four, 8), f, h, 12)
+
+    def segment_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of each segment, from its windows and their places in it."""
+        place = (np.arange(len(self.a)) - np.repeat(self.starts, self.lengths)).astype(np.uint64) * _Q
+        a, b = (_scramble(np.add.reduceat(_scramble(x + place), self.starts)) if len(x) else x for x in (self.a, self.b))
+        return a.astype(np.int64), (b >> np.uint64(32)).astype(np.uint32).astype(np.int32)
 
+    def window_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.a.astype(np.int64), (self.b >> np.uint64(32)).astype(np.uint32).astype(np.int32)
 
-def _keys(a: np.ndarray, b: np.ndarray) -> list[bytes]:
-    out = np.zeros(len(a), dtype=[("a", "<u8"), ("b", "<u4")])
-    out["a"], out["b"] = a, (b >> np.uint64(32)).astype(np.uint32)
-    data = out.tobytes()
-    return [data[i : i + 12] for i in range(0, len(data), 12)]
 
+assert WINDOW == 13 and GRAM == 5  # what the sums of Windows are made for
 
-class Windows:
-    """A document's windows, and its segments: neighbouring windows of one fingerprint. Keys have 96 bits."""
-
-    def __init__(self, h: np.ndarray):
-        self.fingerprints = fingerprints(h)
-        n = len(self.fingerprints)
-        self.starts = np.flatnonzero(np.concatenate([[True], self.fingerprints[1:] != self.fingerprints[:-1]])) if n else np.zeros(0, np.int64)
-        self.lengths = np.diff(np.concatenate([self.starts, [n]])) if n else np.zeros(0, np.int64)
-        self.a, self.b = (_rolled(h, WINDOW, f) for f in (_P, _Q)) if n else (np.zeros(0, np.uint64),) * 2
-
-    def segment_fingerprints(self) -> np.ndarray:
-        return self.fingerprints[self.starts]
-
-    def segment_keys(self) -> list[bytes]:
-        """From the windows of each segment and their places in it."""
-        if not len(self.starts):
-            return []
-        place = (np.arange(len(self.a)) - np.repeat(self.starts, self.lengths)).astype(np.uint64) * _Q
-        return _keys(*(_scramble(np.add.reduceat(_scramble(x + place), self.starts)) for x in (self.a, self.b)))
 
-    def window_keys(self) -> list[bytes]:
-        return _keys(self.a, self.b)
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [words_of(t) for t in batch.column("text").to_pylist()]
+        w = Windows(lists, keys=False)
+        of, found = w.list[w.starts], w.fingerprint[w.starts]
+        order = np.lexsort((found, of))
+        of, found = of[order], found[order]
+        once = np.concatenate([[True], (of[1:] != of[:-1]) | (found[1:] != found[:-1])]) if len(of) else np.zeros(0, bool)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(of[once], minlength=len(lists)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(b" ".join(x)).digest() for x in lists], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(found[once].astype(np.int64)))],
+            names=["doc_id", "n_words", "words_sha", "fingerprints"],
+        )
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = [words_of(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())], names=["doc_id", "n_words", "words_sha"])
+PLACE = ["age", "doc_id", "row"]
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [np.unique(fingerprints(_hashes(words_of(t)))) for t in batch.column("text").to_pylist()]
-        n = np.array([len(f) for f in found], np.int64)
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).astype(np.int64)), pa.array(np.repeat(ids, n), pa.int64())], names=["fingerprint", "doc_id"])
+def _mixed(of: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return _scramble(value.astype(np.uint64) + of.astype(np.uint64) * _P)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments whose fingerprint is shared, with their keys and places."""
     for batch in batches:
-        prints, keys, ids = [], [], []
-        for doc_id, text, shared in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("shared"), strict=True):
-            w = Windows(_hashes(words_of(text.as_py())))
-            own = w.segment_fingerprints()
-            hit = np.flatnonzero(np.isin(own, shared.values.to_numpy(zero_copy_only=False).astype(np.uint64)))
-            if len(hit):
-                every = w.segment_keys()
-                found = {every[i]: int(own[i].astype(np.int64)) for i in hit}
-                keys.extend(found), prints.extend(found.values()), ids.append(np.full(len(found), doc_id, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["fingerprint", "key", "doc_id"])
+        w = Windows([words_of(t) for t in batch.column("text").to_pylist()])
+        of, found = w.list[w.starts], w.fingerprint[w.starts]
+        shared = batch.column("shared")
+        asked = _mixed(np.repeat(np.arange(batch.num_rows), shared.value_lengths().to_numpy()), shared.flatten().to_numpy(zero_copy_only=False))
+        hit = np.flatnonzero(np.isin(_mixed(of, found), asked))
+        a, b = w.segment_keys()
+        at = pa.array(of[hit])
+        columns = {c: batch.column(c).take(at) for c in PLACE}
+        columns |= {"fingerprint": pa.array(found[hit].astype(np.int64)), "a": pa.array(a[hit]), "b": pa.array(b[hit]), "start": pa.array(w.place[w.starts[hit]].astype(np.int32)), "len": pa.array(w.lengths[hit].astype(np.int32))}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _ranges(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and lengths of each row of an array of (start, len)."""
+    flat = column.flatten()
+    starts, lengths = flat.field("start").to_numpy(zero_copy_only=False), flat.field("len").to_numpy(zero_copy_only=False)
+    edges = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    for x, y in zip(edges, edges[1:], strict=False):
+        yield starts[x:y], lengths[x:y]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys and places of the windows of the asked segments."""
     for batch in batches:
-        keys, ids = [], []
-        for doc_id, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
-            w, asked = Windows(_hashes(words_of(text.as_py()))), {*asked}
-            inside = np.repeat([k in asked for k in w.segment_keys()], w.lengths) if len(w.starts) else np.zeros(0, bool)
-            own = {k for k, i in zip(w.window_keys(), inside, strict=True) if i}
-            keys.extend(own), ids.append(np.full(len(own), doc_id, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["key", "doc_id"])
-
-
-def kept_words(words: list[bytes], segments: set[bytes], windows: set[bytes]) -> list[bytes]:
-    """The words that no removed segment's windows and no removed window cover."""
-    w = Windows(_hashes(words))
-    if not len(w.starts):
-        return words
-    hit = np.repeat([k in segments for k in w.segment_keys()], w.lengths).astype(np.int64)
-    if windows:
-        hit |= np.array([k in windows for k in w.window_keys()], dtype=np.int64)
+        parts, of, first = [], [], []
+        for k, (text, (starts, lengths)) in enumerate(zip(batch.column("text").to_pylist(), _ranges(batch.column("asked")), strict=True)):
+            words = words_of(text)
+            for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+                parts.append(words[s : s + n + WINDOW - 1]), of.append(k), first.append(s)
+        w = Windows(parts)
+        a, b = w.window_keys()
+        columns = {c: batch.column(c).take(pa.array(np.array(of, np.int64)[w.list])) for c in PLACE}
+        columns |= {"a": pa.array(a), "b": pa.array(b), "start": pa.array((np.array(first, np.int64)[w.list] + w.place).astype(np.int32))}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def kept_words(words: list[bytes], starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The words that none of these ranges of windows covers."""
     edge = np.zeros(len(words) + 1, np.int64)
-    edge[: len(hit)] += hit
-    edge[WINDOW : WINDOW + len(hit)] -= hit
-    return [x for x, c in zip(words, np.cumsum(edge), strict=False) if not c]
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + lengths + WINDOW - 1, -1)
+    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
 
 
 def _cut(with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {"n_removed": [], "kept": [], "words_sha": []}
-        for text, segments, windows in zip(batch.column("text"), batch.column("segments").to_pylist(), batch.column("windows").to_pylist(), strict=True):
-            words = words_of(text.as_py())
-            kept = kept_words(words, {*segments}, {*windows})
-            out["n_removed"].append(len(words) - len(kept)), out["kept"].append(b" ".join(kept)), out["words_sha"].append(hashlib.sha256(b" ".join(words)).digest())
-        columns = {"doc_id": batch.column("doc_id"), "words_sha": pa.array(out["words_sha"], pa.binary()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in out["kept"]], pa.string())}
+        removed, out, sha = [], [], []
+        for text, (starts, lengths) in zip(batch.column("text").to_pylist(), _ranges(batch.column("ranges")), strict=True):
+            words = words_of(text)
+            stay = kept_words(words, starts, lengths)
+            removed.append(len(words) - len(stay)), out.append(b" ".join(stay)), sha.append(hashlib.sha256(b" ".join(words)).digest())
+        columns = {"age": batch.column("age"), "doc_id": batch.column("doc_id"), "words_sha": pa.array(sha, pa.binary()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())}
         if with_text:
-            columns["kept_text"] = pa.array([k.decode("utf-8", "replace") for k in out["kept"]], pa.string())
+            columns["kept_text"] = pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
         yield pa.RecordBatch.from_pydict(columns)
 
 
 class FingerprintIndex:
-    """Runs and postings of all batches so far, in a folder that driver and executors share."""
+    """Runs and postings of all batches so far, in a folder that driver and executors share.
+
+    The documents of the batches are read again to verify matches; they must stay readable.
+    """
 
-    def __init__(self, spark: SparkSession, buckets: int):
+    def __init__(self, spark: SparkSession, buckets: int = 8):
         self.spark, self.buckets, self.folder = spark, buckets, scratch_dir(spark)
         self.runs: list[str] = []
         self.postings: list[str] = []
+        self.hits: list[str] = []  # of each batch, as are the next two
+        self.texts: list[DataFrame] = []
+        self.signed: list[DataFrame] = []
+        self.hot: set[int] = set()
 
     def _write(self, df: DataFrame, kind: str) -> str:
         name = f"gleaner_{kind}_{uuid.uuid4().hex}"
@@ -202,61 +239,135 @@ class FingerprintIndex:
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, f"{self.folder}/{name}")
+
+    def _prints(self, values: set[int]) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame([(v,) for v in sorted(values)], "fingerprint long"))
 
-    def add(self, docs: DataFrame) -> str:
-        """Take in a batch (doc_id, text). The name of a table of its fingerprints that the index or two of its documents have."""
-        posted = docs.select("doc_id", "text").mapInArrow(_posted, "fingerprint long, doc_id long")
-        postings = self._write(posted.repartition(self.buckets, "fingerprint"), "postings")
+    def add(self, docs: DataFrame) -> int:
+        """Take in a batch (doc_id, text); its age, 0 for the first."""
+        use_small_arrow_batches(self.spark)
+        if len(self.runs) >= MAX_RUNS:
+            self.compact()
+        age = len(self.texts)
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        path = f"{self.folder}/signed_{age}"
+        texts.mapInArrow(_signed, "doc_id long, n_words long, words_sha binary, fingerprints array<long>").write.parquet(path)
+        signed = self.spark.read.parquet(path)
+        each = signed.where(F.col("doc_id").isNotNull()).select(F.explode("fingerprints").alias("fingerprint"), "doc_id")
+        part = signed.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(HOT_SAMPLE)) == 0)
+        often = part.select(F.explode("fingerprints").alias("fingerprint")).groupBy("fingerprint").count().where(F.col("count") > max(50, HOT_SHARE * part.count()))
+        hot = {r.fingerprint for r in often.orderBy(F.desc("count"), "fingerprint").limit(MAX_HOT).collect()}
+        cold = each.join(self._prints(hot), "fingerprint", "left_anti") if hot else each
+        postings = self._write(cold.withColumn("age", F.lit(age)).repartition(self.buckets, "fingerprint"), "postings")
         run = self._write(self.spark.table(postings).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("documents")), "run")
         new = self.spark.table(run)
-        before = [new.join(self.spark.table(r).select("fingerprint"), "fingerprint", "left_semi") for r in self.runs]  # merge joins
-        known = [b.select("fingerprint") for b in before] + [new.where("documents > 1").select("fingerprint")]
-        hits = self._write(functools.reduce(DataFrame.union, known).distinct(), "hits")
+        known = [new.join(self.spark.table(r).select("fingerprint"), "fingerprint", "left_semi").select("fingerprint") for r in self.runs]  # merge joins
+        known.append(new.where("documents > 1").select("fingerprint"))
+        if self.hot:
+            known.append(new.join(self._prints(self.hot), "fingerprint", "left_semi").select("fingerprint"))
+        self.hits.append(self._write(functools.reduce(DataFrame.union, known).distinct(), "hits"))
         self.postings.append(postings)
         self.runs.append(run)
-        if len(self.runs) >= MAX_RUNS:
-            self.compact()
-        return hits
+        self.texts.append(texts)
+        self.signed.append(signed)
+        self.hot |= hot
+        return age
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all live runs into one, and their postings."""
         merged = self.spark.table(self.runs[0])
         for r in self.runs[1:]:
             other = self.spark.table(r).withColumnRenamed("documents", "more")
             merged = merged.join(other, "fingerprint", "full_outer").select("fingerprint", (F.coalesce("documents", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("documents"))
-        one = self._write(merged, "run")
-        for r in self.runs:
-            self._drop(r)
-        self.runs = [one]
-
-    def clear(self, hits: list[str]) -> None:
-        """Drop all tables; for a run whose batches are all there is."""
-        for name in [*self.runs, *self.postings, *hits]:
+        run = self._write(merged, "run")
+        postings = self._write(functools.reduce(DataFrame.union, [self.spark.table(p) for p in self.postings]).repartition(self.buckets, "fingerprint"), "postings")
+        for name in [*self.runs, *self.postings]:
             self._drop(name)
-        self.runs, self.postings = [], []
-
-    def sharing(self, hits: list[str]) -> DataFrame:
-        """The documents of all batches with their fingerprints that are among the hits: doc_id, shared."""
-        wanted = functools.reduce(DataFrame.union, [self.spark.table(h) for h in hits])
-        if len(hits) > 1:
-            wanted = self.spark.table(self._write(wanted.distinct(), "wanted"))
-        parts = [self.spark.table(p).join(wanted, "fingerprint", "left_semi") for p in self.postings]
-        return functools.reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_list("fingerprint").alias("shared"))
-
-
-def _dealt(df: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """The rows as a table bucketed by doc_id: later joins on it don't shuffle texts."""
-    name = f"gleaner_suspects_{uuid.uuid4().hex}"
-    df.repartition(index.buckets, "doc_id").write.bucketBy(index.buckets, "doc_id").sortBy("doc_id").option("path", f"{index.folder}/{name}").saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        self.runs, self.postings = [run], [postings]
+
+    def clear(self) -> None:
+        """Drop all tables and files."""
+        for name in [*self.runs, *self.postings, *self.hits]:
+            self.spark.sql(f"DROP TABLE {name}")
+        remove_folder(self.spark, self.folder)
+        self.runs, self.postings, self.hits, self.texts, self.signed = [], [], [], [], []
+
+    def sharing(self, ages: Sequence[int]) -> DataFrame:
+        """The documents of all batches with the fingerprints that they share with these ones: age, doc_id, shared."""
+        wanted = self.spark.table(self.hits[ages[0]])
+        if len(ages) > 1:
+            every = functools.reduce(DataFrame.union, [self.spark.table(self.hits[k]) for k in ages])
+            path = f"{self.folder}/wanted_{uuid.uuid4().hex}"
+            name = f"gleaner_wanted_{uuid.uuid4().hex}"
+            every.distinct().write.bucketBy(self.buckets, "fingerprint").sortBy("fingerprint").option("path", path).saveAsTable(name)
+            wanted = self.spark.table(name)
+            self.spark.sql(f"DROP TABLE {name}")  # its files stay
+        parts = [self.spark.table(p).join(wanted, "fingerprint", "left_semi").select("age", "doc_id", "fingerprint") for p in self.postings]
+        last = max(ages)
+        if self.hot:
+            for age, signed in enumerate(self.signed[: last + 1]):
+                each = signed.where(F.col("doc_id").isNotNull()).select(F.lit(age).alias("age"), "doc_id", F.explode("fingerprints").alias("fingerprint"))
+                parts.append(each.join(self._prints(self.hot), "fingerprint", "left_semi").select("age", "doc_id", "fingerprint"))
+        return functools.reduce(DataFrame.union, parts).where(F.col("age") <= last).groupBy("age", "doc_id").agg(F.collect_set("fingerprint").alias("shared"))
+
+    def clean(self, ages: Sequence[int], with_text: bool = False) -> DataFrame:
+        """One row per document of these batches: doc_id, n_words, n_removed, kept_sha256; with_text adds kept_text where words were removed."""
+        use_small_arrow_batches(self.spark)
+        with scratch(self.spark):
+            return kept(self._cleaned(sorted(ages), with_text), "cleaned")
+
+    def _cleaned(self, ages: list[int], with_text: bool) -> DataFrame:
+        counted = functools.reduce(DataFrame.union, [s.select(F.lit(age).alias("age"), "doc_id", "n_words", "words_sha") for age, s in enumerate(self.signed[: ages[-1] + 1])])
+        texts = functools.reduce(DataFrame.union, [t.select(F.lit(age).alias("age"), "doc_id", "text") for age, t in enumerate(self.texts[: ages[-1] + 1])])
+        when = F.struct("age", "doc_id")
+        originals = stored(counted.where("doc_id is not null").groupBy("words_sha").agg(F.min(when).alias("original"), F.count(F.lit(1)).alias("copies")), "originals")
+
+        # texts with what they share are dealt once; those of copies stay away
+        alone = originals.select(F.col("original.age").alias("age"), F.col("original.doc_id").alias("doc_id")).distinct()
+        sharing = stored(self.sharing(ages).join(alone, ["age", "doc_id"], "left_semi"), "sharing")
+        suspects = stored(texts.hint("merge").join(sharing, ["age", "doc_id"]).withColumn("row", F.xxhash64("text")), "suspects")
+
+        # whole segments first: all but the first document with a segment lose its windows
+        place = "age int, doc_id long, row long"
+        segments = stored(suspects.select(*PLACE, "text", "shared").mapInArrow(_segments, f"{place}, fingerprint long, a long, b int, start int, len int"), "segments")
+        at = F.struct(*PLACE, "start", "len")
+        per_segment = stored(segments.groupBy("a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("fingerprint")), "per_segment")
+        total = max(1, segments.count())
+        asked_of = F.col("age").isin(ages)
+
+        def later(rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+            """The rows of these batches whose key (a, b) is in an earlier document."""
+            named = firsts.where("n > 1").select(F.struct("a", "b").alias("key"), F.col("first.age").alias("first_age"), F.col("first.doc_id").alias("first_id"), "n")
+            found = join_on_counted_key(rows.where(asked_of).select(*PLACE, "start", "len", F.struct("a", "b").alias("key")), named, "key", "n", total, "inner")
+            return found.where(when > F.struct("first_age", "first_id")).select(*PLACE, "start", "len")
+
+        gone = later(segments, per_segment, total)
+        # then single windows, where a fingerprint has different segments: each segment's first document speaks for all
+        mixed = per_segment.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        asked = join_on_counted_key(per_segment.select("fingerprint", "first"), mixed, "fingerprint", "m", total, "inner")
+        asked = asked.select("first.*").groupBy(*PLACE).agg(F.collect_list(F.struct("start", "len")).alias("asked"))
+        keys = suspects.select(*PLACE, "text").hint("merge").join(asked, PLACE).mapInArrow(_windows, f"{place}, a long, b int, start int")
+        keys = stored(keys.withColumn("len", F.lit(1)), "keys")
+        firsts = keys.groupBy("a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+        repeated = later(keys, firsts, max(1, keys.count()))
+        removed = stored(gone.union(repeated).groupBy(*PLACE).agg(F.collect_list(F.struct("start", "len")).alias("ranges")), "removed")
+        schema = "age int, doc_id long, words_sha binary, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+        cut = suspects.select(*PLACE, "text").hint("merge").join(removed, PLACE).mapInArrow(functools.partial(_cut, with_text), schema)
+
+        # a row is found again by its words, which of rows with the same doc_id may differ
+        rows = counted.where(asked_of)
+        named = join_on_counted_key(rows, originals, "words_sha", "copies", max(1, counted.count()))
+        cut = cut.dropDuplicates(["age", "doc_id", "words_sha"]).withColumnsRenamed({"age": "__age", "doc_id": "__id", "words_sha": "__sha"})
+        joined = named.join(cut, (F.col("age") == F.col("__age")) & (F.col("doc_id") == F.col("__id")) & (F.col("words_sha") == F.col("__sha")), "left")
+        is_copy = F.coalesce(F.col("doc_id").isNotNull() & (when > F.col("original")) & (F.col("n_words") >= WINDOW), F.lit(False))
+        return joined.select(
+            "doc_id",
+            "n_words",
+            F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+            F.when(is_copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("words_sha")))).alias("kept_sha256"),
+            *([F.when(is_copy, "").otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
+        )
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
@@ -264,58 +375,13 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
 
     The documents enter the index in batches of rising doc_id, as they would come in over time.
     """
-    spark = docs.sparkSession
-    use_small_arrow_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = stored(texts.mapInArrow(_counted, "doc_id long, n_words long, words_sha binary"), "counted")
-    whole = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("cuts")).first()
-    originals = stored(counted.where("doc_id is not null").groupBy("words_sha").agg(F.min("doc_id").alias("original"), F.count(F.lit(1)).alias("copies")), "originals")
-
-    index = FingerprintIndex(spark, int(max(8, -(-(whole.words or 0) // (GRAM * BUCKET_ROWS)))))
+    whole = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 1000).alias("cuts")).first()
+    index = FingerprintIndex(docs.sparkSession, int(max(8, -(-(whole.bytes or 0) // (POSTING_BYTES * BUCKET_ROWS)))))
     cuts = sorted({*(whole.cuts or [])})
-    hits = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        of_batch = texts.where(F.col("doc_id").isNotNull())
-        of_batch = of_batch.where(F.col("doc_id") > low) if low is not None else of_batch
-        hits.append(index.add(of_batch.where(F.col("doc_id") <= high) if high is not None else of_batch))
-
-    # texts are dealt by doc_id once, with the fingerprints that they share; the index is done with then
-    alone = originals.select(F.col("original").alias("doc_id")).distinct()
-    sharing = stored(index.sharing(hits).join(alone, "doc_id", "left_semi"), "sharing")
-    index.clear(hits)
-    _release(spark)
-    suspects = _dealt(texts.join(sharing, "doc_id"), index)
-    _release(spark)
-
-    # whole segments first: all but the first document with a segment lose its windows
-    segments = stored(suspects.select("doc_id", "text", "shared").mapInArrow(_segments, "fingerprint long, key binary, doc_id long"), "segments")
-    per_segment = stored(segments.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("fingerprint")), "per_segment")
-    total = max(1, segments.count())
-    again = per_segment.where("n > 1").select("key", "first", "n")
-    gone = join_on_counted_key(segments.select("key", "doc_id"), again, "key", "n", total, "inner").where(F.col("doc_id") > F.col("first"))
-    by_segment = gone.groupBy("doc_id").agg(F.collect_set("key").alias("segments"))
-    # then single windows, where a fingerprint has different segments: each segment's first document speaks for all
-    mixed = per_segment.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    asked = join_on_counted_key(per_segment.select("fingerprint", "key", "first"), mixed, "fingerprint", "m", total, "inner")
-    asked = asked.groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("key").alias("asked"))
-    keys = stored(suspects.select("doc_id", "text").join(asked, "doc_id").mapInArrow(_windows, "key binary, doc_id long"), "keys")
-    firsts = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = join_on_counted_key(keys, firsts, "key", "n", max(1, keys.count()), "inner").where(F.col("doc_id") > F.col("first"))
-    by_window = repeated.groupBy("doc_id").agg(F.collect_set("key").alias("windows"))
-    none = F.array().cast("array<binary>")
-    removed = stored(by_segment.join(by_window, "doc_id", "full_outer").select("doc_id", F.coalesce("segments", none).alias("segments"), F.coalesce("windows", none).alias("windows")), "removed")
-    schema = "doc_id long, words_sha binary, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    cut = suspects.select("doc_id", "text").join(removed, "doc_id").mapInArrow(functools.partial(_cut, with_text), schema).dropDuplicates(["doc_id", "words_sha"])
-
-    named = join_on_counted_key(counted, originals, "words_sha", "copies", max(1, whole.n))
-    cut = cut.withColumnsRenamed({"doc_id": "__doc_id", "words_sha": "__sha"})
-    joined = named.join(cut, (F.col("doc_id") == F.col("__doc_id")) & (F.col("words_sha") == F.col("__sha")), "left")
-    is_copy = F.coalesce((F.col("doc_id") > F.col("original")) & (F.col("n_words") >= WINDOW), F.lit(False))
-    out = joined.select(
-        "doc_id",
-        "n_words",
-        F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(is_copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("words_sha")))).alias("kept_sha256"),
-        *([F.when(is_copy, "").otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
-    )
-    return out
+        of_batch = docs.where(F.col("doc_id") > low) if low is not None else docs
+        index.add(of_batch.where((F.col("doc_id") <= high) | F.lit(low is None) & F.col("doc_id").isNull()) if high is not None else of_batch)
+    try:
+        return index.clean(range(len(index.texts)), with_text)
+    finally:
+        index.clear()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -59,6 +60,29 @@ def test_op1_removes_what_starts_earlier(spark, repeated):
     assert remove_repeats(table(spark, [])).count() == 0
 
 
+def test_op1_batches_one_at_a_time_equal_one_go(spark, repeated):
+    from gleaner.llm import substring_dedup as S
+
+    texts = [*repeated, *[" ".join(words(20, 999) + words(15, 700 + k)) for k in range(120)]]  # a passage that very many share
+    df, cuts = table(spark, texts), [-1, 9, 20, 31, 60, len(texts)]
+    whole = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in S.remove_repeats(df).collect()}
+    before, share = S.MAX_RUNS, S.HOT_SHARE
+    S.MAX_RUNS, S.HOT_SHARE = 2, 0.0  # runs are merged twice
+    index, got = S.FingerprintIndex(spark), {}
+    try:
+        for low, high in zip(cuts, cuts[1:]):
+            age = index.add(df.where((F.col("doc_id") > low) & (F.col("doc_id") <= high)))
+            got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.clean([age]).collect()}
+            assert len(index.runs) <= 2
+        assert got == whole
+        again = index.add(df.where("doc_id < 0"))  # an empty batch on a kept index
+        assert index.clean([again]).count() == 0
+    finally:
+        S.MAX_RUNS, S.HOT_SHARE = before, share
+        index.clear()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("gleaner_")]
+
+
 def test_op2_leaves_are_near_equal_and_gapless(spark, repeated):
     from gleaner.llm.sharding import shard_documents
 
@@ -110,6 +134,58 @@ def test_op3_base_spans_stay(spark):
     assert find_personal_data(table(spark, [])).count() == 0
 
 
+def test_op3_is_linear_in_matches(spark):
+    from gleaner.llm.pii import find_personal_data, mask_documents
+
+    texts = ["1a" * 500_000, "1." * 500_000, "+1 2" * 250_000, "555-123-4567 " * 80_000, "a@b.co " * 140_000]
+    df = table(spark, texts)
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in find_personal_data(df).collect()}
+    assert [rows[i].n_ip for i in range(5)] == [0, 125_000, 0, 0, 0] and rows[4].n_email == 140_000
+    shown = {r.doc_id: r.text for r in mask_documents(df).collect()}
+    assert shown[0] == texts[0] and shown[1] == "<IP>." * 125_000 and shown[4] == "<EMAIL> " * 140_000
+    assert time.perf_counter() - began < 150  # 5 MB, searched twice; squares of the matches would take hours
+
+
+def plain_em(counts, rounds):
+    """Expectation-maximisation over single candidates instead of vote patterns."""
+    votes = np.array([v for v, n in counts.items() for _ in range(n)])
+    p = np.array([(1 + (x > 0).sum()) / (2 + (x != 0).sum()) for x in votes])
+    for _ in range(rounds):
+        prior = (p.sum() + 2) / (len(p) + 4)
+        yes = {s: (votes == s).T @ p + (8 if s == 1 else 2) for s in (1, 0, -1)}
+        no = {s: (votes == s).T @ (1 - p) + (8 if s == -1 else 2) for s in (1, 0, -1)}
+        yes_all, no_all = sum(yes.values()), sum(no.values())
+        odds = np.log(prior / (1 - prior))
+        for j in range(votes.shape[1]):
+            odds = odds + np.array([np.log(yes[s][j] / yes_all[j] * no_all[j] / no[s][j]) for s in votes[:, j]])
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return {tuple(v): x for v, x in zip(votes.tolist(), p)}
+
+
+def test_op3_em_and_classifier_equal_plain_versions():
+    from gleaner.llm import pii
+
+    r = random.Random(3)
+    truth = [r.random() < 0.4 for _ in range(500)]
+    right = (0.95, 0.8, 0.7, 0.6, 0.9)
+    votes = [tuple(0 if r.random() < 0.3 else (1 if t == (r.random() < q) else -1) for q in right) for t in truth]
+    counts = {v: votes.count(v) for v in set(votes)}
+    posterior, reliability = pii.fit_em(counts, 20)
+    want = plain_em(counts, 20)
+    assert all(abs(posterior[v] - want[v]) < 1e-9 for v in counts)
+    assert sum((posterior[v] > 0.5) == t for v, t in zip(votes, truth)) / 500 > 0.9
+    assert reliability[0][0][1] > reliability[3][0][1]  # the better labeler is found out
+    w = np.array(pii.fit_classifier(counts, posterior, 400))
+    x = np.array([[1.0] + [float(a == s) for a in v for s in (1, -1)] for v in counts])
+    y, weight = np.array([posterior[v] for v in counts]), np.sqrt([counts[v] for v in counts])
+    plain = np.zeros(x.shape[1])
+    for _ in range(400):
+        plain -= 0.001 * plain + x.T @ ((1 / (1 + np.exp(-np.clip(x @ plain, -30, 30))) - y) * weight / weight.sum())
+    assert np.abs(w - plain).max() < 1e-9
+    assert sum(((x[i] @ w > 0) == (y[i] > 0.5)) * counts[v] for i, v in enumerate(counts)) / 500 > 0.95
+
+
 def test_op4_packs_exact_tokens_without_gaps(spark, repeated):
     from tokenizers import Tokenizer
 
