@@ -4,15 +4,16 @@ A document's set is its distinct word shingles, as 64-bit hashes. One permutatio
 circularly shifted by 0, 1, 2, ..., yields all COORDINATES of the signature. Signatures are cut into BANDS bands of
 ROWS coordinates; a pair at a similarity of 0.8 shares no band with a chance of (1 - 0.8^4)^32 = 5e-8.
 
-Documents with equal sets are one representative first. Its buckets' members are not paired with each other. First
+Documents with equal sets are one representative first. A bucket's members are not paired with each other. First
 every member meets HUBS others at most: the heads of its buckets (members that meet most others) that it shares most
 buckets with. Those pairs are verified on full sets, and components of the verified links make families. Then buckets
 that still span several families are searched by signature, every member outside the largest family against all:
 small buckets whole, large ones in blocks, and if many are outside the largest family, first split by further bands of
-their members, as linked pairs share many. Every pair that this search allows (six standard errors below the
-threshold) and whose members are still apart is verified on full sets, in WAVES: a member's likeliest partners first,
-then families anew, so that what is joined in between isn't asked again; the last wave asks all that is left. So no
-link is lost to a bucket's size, and pairs stay near the number of members where links are many.
+their members, as linked pairs share many. What this search allows (six standard errors below the threshold) and is
+in another family, a member asks: its LIKELIEST partners one by one, on full sets. Where a member has more allowed
+partners than these, the groups are searched once more with the families of then, and whoever is still apart meets
+there, full sets against full sets in one task, in the first band only that both share, without a row for a pair. So
+no link is lost to a bucket's size, and pairs stay near the number of members.
 
 Nothing unbounded reaches the driver or one task: buckets are counted by partial aggregation, a partner that very many
 members ask is dealt in parts, full sets of two rows at a time are intersected by a built-in function.
@@ -41,13 +42,16 @@ ROWS, BANDS = 4, 32
 COORDINATES = ROWS * BANDS
 #: Members of a bucket that are searched in one group, at most.
 BLOCK = 512
-#: Rows of one search task, about.
+#: Rows of one search task by signature, and by full sets, about.
 PACK = 4_096
+SET_PACK = 1_024
 #: Partners of a member in the first round, and members that meet one copy of a much asked partner.
 HUBS = 2
+#: Buckets that a member shares with a hub at least.
+HUB_BUCKETS = 2
 PART = 1_024
-#: Partners that a member asks in each wave, the likeliest first; the last wave has no limit.
-WAVES = (4, 64, None)
+#: Partners that a member asks one by one in each group; if more are allowed, the group is searched again on full sets.
+LIKELIEST = 4
 #: So often a large bucket is split by further bands before it is searched in blocks.
 SPLITS = 2
 CACHE_WORDS = 400_000
@@ -157,7 +161,7 @@ def hub_pairs(members: DataFrame, total: int) -> DataFrame:
     asked = join_on_counted_key(members.select("bucket", "rep"), heads, "bucket", "n", total).where("head != rep")
     every = asked.groupBy("rep").agg(F.collect_list("head").alias("heads"))
     liked = F.array_sort(F.transform(F.array_distinct("heads"), lambda h: F.struct((-F.size(F.filter("heads", lambda x: x == h))).alias("k"), h.alias("h"))))
-    return every.select(F.explode(F.slice(liked, 1, HUBS)).alias("l"), F.col("rep").alias("b")).select(F.col("l.h").alias("a"), "b")
+    return every.select(F.explode(F.slice(liked, 1, HUBS)).alias("l"), F.col("rep").alias("b")).where(F.col("l.k") <= -HUB_BUCKETS).select(F.col("l.h").alias("a"), "b")
 
 
 def with_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -172,49 +176,70 @@ def with_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return dealt.join(left, ["a", "part"]).join(table.select(F.col("rep").alias("b"), F.col(value).alias("vb")), "b").select("a", "b", "va", "vb")
 
 
-def _agreeing(percent: int):
-    least = least_agreement(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("va", "vb"))
-                keep = pa.array((x == y).sum(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return run
-
-
-def near_enough(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose signatures allow the similarity."""
-    return with_sides(pairs, reps, "signature").mapInArrow(_agreeing(percent), "a long, b long")
-
-
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity; sets: rep, shingles."""
     both = with_sides(pairs, sets, "shingles").withColumn("k", F.size(F.array_intersect("va", "vb")))
     return both.where(100 * F.col("k") >= percent * (F.size("va") + F.size("vb") - F.col("k"))).select("a", "b").distinct()
 
 
-def _asking(percent: int, wave: int | None):
-    """Pairs (a, b, place) of each group: every asking row b with its likeliest partners a of other families, one more than the wave takes."""
+def _groups(table: pa.Table) -> Iterator[np.ndarray]:
+    group = table["group"].to_numpy()
+    order = np.argsort(group, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+
+
+def _asking(percent: int):
+    """Of each group: every asking row b with its likeliest partners a of other families; once more, without a, if it has more of them."""
     least = least_agreement(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        rep, family, n, group = (table[c].to_numpy() for c in ("rep", "family", "n_shingles", "group"))
+        rep, family, n = (table[c].to_numpy() for c in ("rep", "family", "n_shingles"))
         asks, sig = table["asks"].to_numpy(zero_copy_only=False).astype(bool), _signatures(table)
-        found: list[tuple[np.ndarray, ...]] = []
-        order = np.argsort(group, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        a, b = [], []
+        for some in _groups(table):
             for i in some[asks[some]]:
                 fit = some[(family[some] != family[i]) & (100 * np.minimum(n[some], n[i]) >= percent * np.maximum(n[some], n[i]))]
                 agree = (sig[fit] == sig[i]).sum(axis=1)
                 fit, agree = fit[agree >= least], agree[agree >= least]
-                fit = fit[np.lexsort((rep[fit], -agree))][: None if wave is None else wave + 1]
-                if len(fit):
-                    found.append((rep[fit], np.full(len(fit), rep[i]), np.arange(len(fit))))
-        a, b, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "place": pa.array(place, pa.int64())})
+                first = rep[fit[np.lexsort((rep[fit], -agree))][:LIKELIEST]].tolist() + [None] * (len(fit) > LIKELIEST)
+                a += first
+                b += [int(rep[i])] * len(first)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _meeting(percent: int):
+    """Links on full sets of each group's asking rows with rows of other families, where one of both has more to ask: a spanning part of them."""
+    least = least_agreement(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, family, band = (table[c].to_numpy() for c in ("rep", "family", "band"))
+        asks, more = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "more"))
+        sig, shingles = _signatures(table), table["shingles"].combine_chunks()
+        n = shingles.value_lengths().to_numpy().astype(np.int64)  # rows with the same doc_id differ in it
+        cells, starts = shingles.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
+        a, b = [], []
+        for some in _groups(table):
+            merged = family.copy()
+            for i in some[asks[some]]:
+                fit = some[(merged[some] != merged[i]) & (more[some] | more[i]) & (100 * np.minimum(n[some], n[i]) >= percent * np.maximum(n[some], n[i]))]
+                same = sig[fit] == sig[i]
+                enough = same.sum(axis=1) >= least
+                if band[i] >= 0:  # a pair meets in the first band only that it shares
+                    enough &= same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]
+                fit = fit[enough]
+                if not len(fit):
+                    continue
+                own = np.sort(cells[starts[i] : starts[i + 1]])
+                theirs = np.concatenate([cells[starts[j] : starts[j + 1]] for j in fit])
+                hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n[fit])[:-1]]))
+                for j in fit[100 * both >= percent * (n[fit] + n[i] - both)]:
+                    if merged[j] != merged[i]:
+                        a.append(int(rep[j])), b.append(int(rep[i]))
+                        merged[some[merged[some] == merged[j]]] = merged[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -233,7 +258,9 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search_groups(rows: DataFrame, splits: int = SPLITS) -> DataFrame:
-    """rows: bucket, band, rep, family, n_shingles, signature. The groups to search: group, asks, rep, family, n_shingles, signature.
+    """rows: bucket, band, rep, family, n_shingles, signature. The groups to search: group, band, asks, rep, family, n_shingles, signature.
+
+    band is -1 where a bucket was split.
 
     Buckets of one family go. Every member outside a bucket's largest family asks all others of the bucket.
     """
@@ -242,8 +269,9 @@ def search_groups(rows: DataFrame, splits: int = SPLITS) -> DataFrame:
     many = many.select("bucket", "n", F.col("main.family").alias("main"), (F.col("n") - F.col("main.k")).alias("others"))
     placed = stored(join_on_counted_key(rows, many, "bucket", "n", max(1, rows.count()), "inner"), "open")
     names = ["rep", "family", "n_shingles", "signature"]
+    of = F.when(F.lit(splits == SPLITS), F.col("band")).otherwise(-1).cast("int").alias("band")
     asks = F.col("family") != F.col("main")
-    out = placed.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("group"), asks.alias("asks"), *names)
+    out = placed.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("group"), of, asks.alias("asks"), *names)
     large = placed.where(F.col("n") > BLOCK)
     wide = F.col("others") > BLOCK
     if splits and large.where(wide).limit(1).collect():
@@ -252,36 +280,40 @@ def search_groups(rows: DataFrame, splits: int = SPLITS) -> DataFrame:
         large = large.where(~wide)
     # blocks: a member meets all blocks of others, another all blocks of members; others are few here, or couldn't be split
     large = large.withColumns({"mb": F.ceil(F.col("n") / BLOCK).cast("int"), "rb": F.ceil(F.col("others") / BLOCK).cast("int"), "deal": F.xxhash64("rep")})
-    member = large.select("bucket", *names, F.pmod("deal", "mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("asks"))
-    other = large.where(asks).select("bucket", *names, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("deal", "rb").alias("r"), F.lit(True).alias("asks"))
-    blocks = member.unionByName(other).select(F.xxhash64("bucket", "m", "r").alias("group"), "asks", *names)
+    member = large.select("bucket", of, *names, F.pmod("deal", "mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("asks"))
+    other = large.where(asks).select("bucket", of, *names, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("deal", "rb").alias("r"), F.lit(True).alias("asks"))
+    blocks = member.unionByName(other).select(F.xxhash64("bucket", "m", "r").alias("group"), "band", "asks", *names)
     return out.unionByName(blocks)
 
 
 def verified_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
     """Links (a, b) that have the same components as all pairs that share a bucket and reach the similarity."""
-    asked = stored(near_enough(hub_pairs(members, total), reps, percent), "asked")
-    links = stored(linked(asked, sets, percent), "links")
-    for wave in WAVES:
+
+    def open_groups(links: DataFrame) -> DataFrame:
         found = connected_components(links)
         # a bucket of one family is done; signatures travel for the others alone
         placed = stored(members.join(found, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("family")), "placed")
         spans = placed.groupBy("bucket").agg((F.min("family") != F.max("family")).alias("open"), F.first("n").alias("n_of")).where("open").select("bucket", "n_of")
-        opened = stored(join_on_counted_key(placed, spans, "bucket", "n_of", total, "inner").select("bucket", "band", "rep", "family"), "opened")
-        if not opened.limit(1).collect():
-            break
+        opened = join_on_counted_key(placed, spans, "bucket", "n_of", total, "inner").select("bucket", "band", "rep", "family")
         rows = opened.join(reps.select("rep", "n_shingles", "signature"), "rep").select("bucket", "band", "rep", "family", "n_shingles", "signature")
-        groups = search_groups(stored(rows, "rows"))
-        packs = max(1, -(-opened.count() // PACK))
-        told = stored(groups.groupBy(F.pmod(F.xxhash64("group"), F.lit(packs))).applyInArrow(_asking(percent, wave), "a long, b long, place long"), "told")
-        new = told if wave is None else told.where(F.col("place") < wave)
-        new = stored(new.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"), "new")
-        if new.limit(1).collect():
-            links = stored(links.unionByName(linked(new, sets, percent)), "links")
-            asked = asked.unionByName(new)
-        if wave is None or not told.where(F.col("place") >= wave).limit(1).collect():
-            break
-    return links
+        return stored(search_groups(stored(rows, "rows")), "groups")
+
+    def in_packs(groups: DataFrame, rows: int):
+        return groups.groupBy(F.pmod(F.xxhash64("group"), F.lit(max(1, -(-groups.count() // rows)))))
+
+    links = stored(linked(hub_pairs(members, total), sets, percent), "links")
+    groups = open_groups(links)
+    told = stored(in_packs(groups, PACK).applyInArrow(_asking(percent), "a long, b long"), "told")
+    pairs = stored(told.where("a IS NOT NULL").distinct(), "pairs")
+    links = stored(links.unionByName(linked(pairs, sets, percent)), "links")
+    unsure = stored(told.where("a IS NULL").select(F.col("b").alias("rep")).distinct(), "unsure")
+    if not unsure.limit(1).collect():
+        return links
+    groups = open_groups(links).join(unsure.withColumn("more", F.lit(True)), "rep", "left").withColumn("more", F.coalesce("more", F.lit(False)))
+    wanted = groups.where("more").groupBy("group").agg(F.count(F.lit(1)).alias("n_more"))
+    groups = stored(join_on_counted_key(groups, wanted, "group", "n_more", max(1, groups.count()), "inner").drop("n_more"), "unsure_groups")
+    met = in_packs(stored(groups.join(sets, "rep"), "with_sets"), SET_PACK).applyInArrow(_meeting(percent), "a long, b long")
+    return stored(links.unionByName(met), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -303,7 +335,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         # the only shuffle of texts; which plan it takes doesn't hang on the size of either side
         met = members.select("rep").distinct()
         held = met.join(texts.hint("merge"), F.col("rep") == F.col("doc_id")).select("rep", "text")
-        sets = stored(held.mapInArrow(_sets(width), "rep long, shingles array<long>"), "sets")
+        sets = stored(held.mapInArrow(_sets(width), "rep long, shingles array<long>").where(F.size("shingles") > 0), "sets")
         components = connected_components(verified_links(members, reps, sets, percent, total))
         of_set = reps.join(components, F.col("rep") == F.col("node"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
         named = join_on_counted_key(signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), of_set, "set_key", "copies", max(1, signed.count()))
