@@ -49,13 +49,18 @@ def audit_report(rows, audit, counts) -> dict:
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="gleaner")
     commands = parser.add_subparsers(dest="command", required=True)
+    artifact = ("--artifact", {})
     options = {
         "fetch-data": [("--accept-licenses", {"action": "store_true"}), ("--external", {"action": "store_true"})],
         "audit": [],
-        "train": [("--repetitions", {"type": int}), ("--candidates", {"nargs": "+"})],
-        "predict": [("--file", {"required": True})],
-        "monitor": [("--input", {"required": True}), ("--baseline", {"required": True}), ("--output", {})],
-        "promote": [("--artifact", {}), ("--rollback", {"action": "store_true"})],
+        "train": [("--repetitions", {"type": int}), ("--candidates", {"nargs": "+"}), ("--run", {})],
+        "recover": [("--run", {"required": True})],
+        "predict": [("--file", {"required": True}), artifact],
+        "serve": [artifact, ("--host", {}), ("--port", {"type": int})],
+        "report": [artifact, ("--output", {"default": "docs/images"})],
+        "generalization-report": [artifact, ("--external-path", {})],
+        "monitor": [("--input", {"required": True}), artifact, ("--output", {})],
+        "promote": [artifact, ("--rollback", {"action": "store_true"})],
         "package-release": [("--artifact", {"required": True}), ("--version", {"default": "v1.0.0"}), ("--output", {"default": "release"})],
     }
     for name, own in options.items():
@@ -73,44 +78,84 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-def run(args: argparse.Namespace, config: Config) -> dict:
+def _fetch(spark, args, config) -> dict:
+    from gleaner.plans import files
+
+    return {"datasets": files.fetch_data(config.root, config.root / "config" / "datasets.v1.json", accept_licenses=args.accept_licenses, external=args.external)}
+
+
+def _predict(spark, args, config) -> dict:
+    from gleaner.plans.runs import Predictor
+
+    return Predictor.load(spark, config, args.artifact).predict_mail(Path(args.file).read_bytes())
+
+
+def _serve(spark, args, config) -> dict:
+    from gleaner.plans.runs import Predictor
+    from gleaner.serve import server
+
+    predictor = Predictor.load(spark, config, args.artifact)
+    with server(args.host or config.host, args.port or config.port, predictor.predict_text, predictor.version, config.max_request_bytes) as front:
+        front.serve_forever()
+    return {"status": "stopped"}
+
+
+def _monitor(spark, args, config) -> dict:
+    from gleaner.operators import monitoring as MON
+    from gleaner.plans import files
+    from gleaner.plans.reports import load_json, save_json
+    from gleaner.sources.lines import read_lines
+
+    folder = files.resolve_artifact(config.artifacts_dir, args.artifact, config.root)
+    report = MON.monitor(MON.validated(read_lines(spark, args.input)), MON.Baseline(**load_json(folder / "manifest.json")["monitoring_baseline"]))
+    if args.output:
+        save_json(Path(args.output), report)
+    return report
+
+
+def _release(spark, args, config) -> dict:
     from gleaner.plans import files
-    from gleaner.plans.training import CANDIDATES, run_training, save_json
-
-    if args.command == "fetch-data":
-        return {"datasets": files.fetch_data(config.root, config.root / "config" / "datasets.v1.json", accept_licenses=args.accept_licenses, external=args.external)}
-    spark = build_session("gleaner")
-    if args.command == "predict":
-        from gleaner.sources.mail import message_text
-
-        return {"text": message_text(Path(args.file).read_bytes())}
-    if args.command == "monitor":
-        from gleaner.operators import monitoring as MON
-        from gleaner.sources.lines import read_lines
-
-        baseline = MON.Baseline(**json.loads(Path(args.baseline).read_text(encoding="utf-8")))
-        report = MON.monitor(MON.validated(read_lines(spark, args.input)), baseline)
-        if args.output:
-            save_json(Path(args.output), report)
-        return report
-    if args.command in ("promote", "package-release"):
-        from gleaner.plans.privacy import scan_folder
-
-        where = (config.root, config.artifacts_dir, config.reports_dir, lambda folder: scan_folder(spark, str(folder)))
-        if args.command == "promote":
-            return files.promote(*where, artifact=args.artifact, rollback=args.rollback)
-        return files.package_release(*where, artifact=args.artifact, version=args.version, output=args.output)
-    rows, audit, counts = clean_corpus(spark, config)
+    from gleaner.plans.privacy import scan_folder
+
+    where = (config.root, config.artifacts_dir, config.reports_dir, lambda folder: scan_folder(spark, str(folder)))
+    if args.command == "promote":
+        return files.promote(*where, artifact=args.artifact, rollback=args.rollback)
+    return files.package_release(*where, artifact=args.artifact, version=args.version, output=args.output)
+
+
+def _with_corpus(spark, args, config) -> dict:
+    """The commands that read the corpora."""
+    from gleaner.plans import runs
+    from gleaner.plans.reports import save_json
+
+    rows, found, counts = clean_corpus(spark, config)
+    audit = audit_report(rows, found, counts)
     if args.command == "audit":
-        report = audit_report(rows, audit, counts)
-        save_json(config.reports_dir / "data_audit.json", report)
-        return report
-    result = run_training(
-        rows, config.reports_dir / "run", key="row_id", candidates=args.candidates or CANDIDATES, repetitions=args.repetitions or config.cv_repetitions, folds=config.cv_folds,
-        tolerance=config.selection_tolerance, wanted=config.group_folds, sizes=(config.train_folds, config.validation_folds, config.test_folds), shares=(config.validation_fraction, config.test_fraction), seed=config.random_seed,
-    )
-    result.pop("model")
-    return result
+        save_json(config.reports_dir / "data_audit.json", audit)
+        return audit
+    if args.command == "train":
+        from gleaner.plans.training import CANDIDATES
+
+        return runs.train(spark, config, rows, audit, candidates=args.candidates or CANDIDATES, repetitions=args.repetitions, run=args.run)
+    if args.command == "recover":
+        return runs.recover(spark, config, args.run, rows, audit)
+    if args.command == "report":
+        return runs.diagnostic_report(spark, config, rows, artifact=args.artifact, output=args.output)
+    path, external = None, None
+    if args.external_path:
+        from gleaner.sources.corpora import external_corpus
+
+        path = Path(args.external_path).resolve()
+        external = external_corpus(spark, path.as_uri(), most=config.max_text_chars)
+    return {"report": str(runs.generalization_report(spark, config, rows, audit, artifact=args.artifact, external=external, external_path=path))}
+
+
+COMMANDS = {"fetch-data": _fetch, "predict": _predict, "serve": _serve, "monitor": _monitor, "promote": _release, "package-release": _release}
+
+
+def run(args: argparse.Namespace, config: Config) -> dict:
+    spark = None if args.command == "fetch-data" else build_session("gleaner")
+    return COMMANDS.get(args.command, _with_corpus)(spark, args, config)
 
 
 if __name__ == "__main__":

@@ -6,17 +6,25 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Write the rows below spark.checkpoint.dir and read them back, so that several uses compute them once."""
+_local_root: str | None = None
+
+
+def materialised(df: DataFrame, read_as: StructType | None = None) -> DataFrame:
+    """Write the rows below spark.checkpoint.dir and read them back, so that several uses compute them once.
+
+    read_as: the schema to read them with, if it isn't that of the rows.
+    """
+    global _local_root
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_root = _local_root or "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        root = _local_root
     path = f"{root.rstrip('/')}/plan-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(read_as or df.schema).parquet(path)

@@ -105,7 +105,7 @@ def artifact(root, name):
     hashes = {n: files.file_sha256(r / n) for n in files.REQUIRED_REPORTS}
     files.lock_external(r, {"artifact": name, "report_sha256": hashes["generalization_report.json"], "external_sha256": "e"})
     record = {
-        "schema_version": 2, "model_version": name, "backend": "classical", "model_sha256": sha(b"model"), "report_hashes": hashes, "external_evaluation": {"dataset_sha256": "e", "used_for_selection": False},
+        "schema_version": 2, "model_version": name, "model_file": "model.joblib", "backend": "classical", "model_sha256": sha(b"model"), "report_hashes": hashes, "external_evaluation": {"dataset_sha256": "e", "used_for_selection": False},
         "dataset_manifest": {"sha256": sha(b"{}")}, "dependency_lock": {"sha256": sha(b"x==1")},
     }
     (a / "manifest.json").write_text(json.dumps(record))
@@ -121,7 +121,7 @@ def test_promotion_rollback_and_release(spark, tmp_path):
     assert files.promote(*where, rollback=True)["artifact"] == "one" and files.resolve_artifact(tmp_path / "artifacts").name == "one"
     out = files.package_release(*where, artifact="one")
     with zipfile.ZipFile(out["archive"]) as z:
-        assert "spam-phishing-model-v1.0.0/SHA256SUMS" in z.namelist() and z.namelist() == sorted(z.namelist())
+        assert f"{files.RELEASE_NAME}-v1.0.0/SHA256SUMS" in z.namelist() and z.namelist() == sorted(z.namelist())
     with pytest.raises(files.ReleaseError):
         files.lock_external(tmp_path / "reports" / "one", {})
     (tmp_path / "reports/one/metrics.json").write_text("changed")
