@@ -42,9 +42,17 @@ def scratch_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write the rows to the shared scratch folder and read them back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = scratch_dir(spark)
+    df.write.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.scratch_folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for t in tables:
+        remove_folder(t.sparkSession, t.scratch_folder)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -73,6 +74,7 @@ class ForcedBoundaryTokenizer:
 
         self.merge = tiktoken.Encoding("file", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.find_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.mark = os.path.commonprefix([*self.special])  # of all special tokens; a text without it has none
         self.name = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self.cache: dict[bytes, tuple[bytes, bytes]] = {}  # by word
         self.units: dict[str, tuple[bytes, bytes]] = {}
@@ -122,7 +124,7 @@ class ForcedBoundaryTokenizer:
 
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
         """A whole text's ids as little-endian numbers, and the text that they decode to."""
-        if self.find_special is not None and "<|" in text and (sections := self.find_special.split(text))[1:]:
+        if self.find_special is not None and self.mark in text and (sections := self.find_special.split(text))[1:]:
             units = [(array("I", [self.special[s]]).tobytes(), s.encode()) if k % 2 else self.packed(self.words(s)) for k, s in enumerate(sections)]
         elif SAFE.fullmatch(text) is None:
             units = [self.packed(self.words(text))]

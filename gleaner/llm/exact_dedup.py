@@ -4,20 +4,22 @@ Pass one reads every text once and stores (doc_id, digest). A filter of saturati
 each digest whose counters all reached two: every repeated digest is marked, and a few others. Only marked rows
 are shuffled and grouped by their full digest; all others pass straight through as groups of one.
 
-Bounds. The filter has FILTER_BITS_PER_ROW slots a row up to MAX_FILTER_SLOTS; it is broadcast, so its size has
-that fixed bound. Beyond MAX_FILTER_SLOTS / FILTER_BITS_PER_ROW rows more unique rows are marked and shuffled
-(as narrow digests, never texts) while results stay exact. A group of any size is counted by partial aggregation
-and joined back through `join_on_counted_key`, so no task holds a whole group.
+Bounds. A filter has FILTER_BITS_PER_ROW slots a row up to MAX_FILTER_SLOTS; it is broadcast, so its size has that
+fixed bound. Of more rows than one filter serves, the digests are written in ranges of their hash, without a shuffle,
+and each range has a filter of its own, one after the other: the filters together grow with the rows, one alone
+doesn't. A group of any size is counted by partial aggregation and joined back through `join_on_counted_key`, so no
+task holds a whole group.
 
 Defined cases: a null text counts as empty; all empty texts are equal; rows with equal text and equal doc_id are
 one document listed repeatedly: the first of them (in no stated order) is kept, the rest dropped; a null doc_id
-is larger than every other. Other columns are ignored by `exact_duplicates` and kept by `drop_exact_duplicates`.
+is larger than every other; a very long text is hashed where it is read and doesn't travel. Other columns are ignored by `exact_duplicates` and kept by `drop_exact_duplicates`.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm._common import join_on_counted_key, stored
+from gleaner.llm._common import join_on_counted_key, scratch_dir, stored
 
 FILTER_BITS_PER_ROW = 16
 MAX_FILTER_SLOTS = 1 << 28
 SEGMENT_SLOTS = 1 << 20
 HASHES = 3
-#: So many partial filters at most are merged for a segment.
-MAX_PARTS = 128
 
 
 def normalised(text: Column) -> Column:
@@ -100,19 +100,31 @@ def mark_repeats(digests: DataFrame, total: int) -> DataFrame:
     """Add marked, true for every row whose 32-byte digest occurs more than once, and for a few others."""
     spark = digests.sparkSession
     slots = max(8192, min(MAX_FILTER_SLOTS, 1 << max(0, total * FILTER_BITS_PER_ROW - 1).bit_length()))
-    parts = digests.select("digest").coalesce(MAX_PARTS).mapInArrow(_partial_filters(slots), "segment int, bits binary")
+    parts = digests.select("digest").mapInArrow(_partial_filters(slots), "segment int, bits binary")
     merged = parts.groupBy("segment").applyInArrow(_merge_filters, "segment int, bits binary")
     held = spark.sparkContext.broadcast([(r.segment, bytes(r.bits)) for r in merged.collect()])  # at most MAX_FILTER_SLOTS / 8 bytes
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in digests.schema) + ", marked boolean"
     return digests.mapInArrow(_marker(slots, held), schema)
 
 
+def _in_ranges(digests: DataFrame, ranges: int) -> list[DataFrame]:
+    """The stored rows, in tables of about equal size by a hash of the digest; tasks write their part of each, so nothing is shuffled."""
+    if ranges == 1:
+        return [stored(digests, "digests")]
+    spark = digests.sparkSession
+    path = f"{scratch_dir(spark)}/digests"
+    digests.withColumn("range", F.pmod(F.xxhash64("digest"), F.lit(ranges)).cast("int")).write.partitionBy("range").parquet(path)
+    held = spark.read.schema(digests.schema.add("range", "integer")).parquet(path)
+    return [held.where(F.col("range") == r).drop("range") for r in range(ranges)]
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)).alias("digest"))
-    digests = stored(digests, "digests")
-    total = digests.count()
-    marked = stored(mark_repeats(digests, total), "marked") if total else digests.withColumn("marked", F.lit(False))
+    total = docs.count()
+    ranges = max(1, -(-total * FILTER_BITS_PER_ROW // MAX_FILTER_SLOTS))
+    parts = _in_ranges(digests, ranges)
+    marked = stored(reduce(DataFrame.unionByName, [mark_repeats(p, -(-total // ranges)) for p in parts]), "marked") if total else digests.limit(0).withColumn("marked", F.lit(False))
     alone = marked.where(~F.col("marked")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     rows = marked.where(F.col("marked")).select("doc_id", "digest")
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -7,34 +7,74 @@ the median until it is one key. A key is the row's coordinate in the node's dime
 it, so a value that a third of the rows share is split as well, and sibling nodes differ by a document's size
 or so. Nothing but histograms of at most MAX_CELLS rows reaches the driver.
 
-Coordinates are 31-bit: numbers are scaled between the smallest and largest value, strings are hashed (equal
-values stay neighbours). Null coordinates are 0. An empty table gives an empty result. Rows with equal doc_id and
-text share a key and fall into the same leaf. Columns beside the stated ones are ignored.
+Coordinates are 31-bit ranks, approximate and in order of the values, so that widths of different dimensions compare:
+RANKS quantiles, and the place between two of them. Strings count as the number that their first STRING_BYTES bytes
+after the prefix that all have make. Null coordinates are 0. Each level is a stored table; a row finds its node's
+axis and cut in a broadcast table of the level's nodes, of which there are fewer than leaves. An empty table gives an
+empty result. Rows with equal doc_id and text share a key and fall into the same leaf. A very long text is one row
+of its size. Columns beside the stated ones are ignored.
 """
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._common import numbered_within, stored
+from gleaner.llm._common import discard, numbered_within, stored
 
-#: n_chars isn't among them: ordered by length, the document at a cut would be among the largest, and leaves less even.
-DIMENSIONS = ("lang", "source", "doc_id")
+#: In a tie of widths the first is split.
+DIMENSIONS = ("doc_id", "source", "lang", "n_chars")
 COORDINATE_BITS = 31
 TIE_BITS = 31
 BIN_BITS = 12
 MAX_CELLS = 1 << 18
-
-
-def _coordinate(df: DataFrame, column: str, low: float | None, high: float | None) -> Column:
-    if dict(df.dtypes)[column] == "string":
-        scaled = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - COORDINATE_BITS)
-    elif low is None or high is None or high <= low:
-        scaled = F.lit(0)
-    else:
-        scaled = F.floor((F.col(column).cast("double") - F.lit(float(low))) / F.lit(float(high - low)) * F.lit(float((1 << COORDINATE_BITS) - 1)))
-    return F.when(F.col(column).isNull(), F.lit(0)).otherwise(scaled).cast("long")
+RANKS = 32
+STRING_BYTES = 6
+
+
+def _numbers(rows: DataFrame, dimensions: list[str]) -> list[Column]:
+    """The dimensions as numbers in the order of their values."""
+    strings = [d for d in dimensions if dict(rows.dtypes)[d] == "string"]
+    ends = rows.agg(*[f(F.col(d)).alias(f"{n}_{d}") for d in strings for n, f in (("lo", F.min), ("hi", F.max))]).first() if strings else None
+    out = []
+    for d in dimensions:
+        if d in strings:
+            same = len(os.path.commonprefix([(ends[f"{n}_{d}"] or "").encode() for n in ("lo", "hi")]))
+            shown = F.rpad(F.hex(F.substring(F.encode(F.col(d), "UTF-8"), same + 1, STRING_BYTES)), 2 * STRING_BYTES, "0")
+            out.append(F.conv(shown, 16, 10).cast("double"))
+        else:
+            out.append(F.col(d).cast("double"))
+    return out
+
+
+def _coordinates(rows: DataFrame, dimensions: list[str]) -> list[Column]:
+    numbers = _numbers(rows, dimensions)
+    shares = [i / RANKS for i in range(RANKS + 1)]
+    found = rows.agg(*[F.percentile_approx(x, shares, 1000).alias(f"c{i}") for i, x in enumerate(numbers)]).first()
+    out = []
+    for i, x in enumerate(numbers):
+        cuts = sorted({float(c) for c in found[f"c{i}"] or []})
+        if len(cuts) < 2:
+            out.append(F.lit(0).cast("long"))
+            continue
+        # the place among the quantiles, of which equal ones are one, and between two of them
+        below = reduce(lambda a, b: a + b, [(x >= c).cast("int") for c in cuts[1:-1]], F.lit(0))
+        held = F.array(*[F.lit(c) for c in cuts])
+        low, high = F.get(held, below), F.get(held, below + 1)
+        place = below + F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+        scaled = F.floor(place / (len(cuts) - 1) * float((1 << COORDINATE_BITS) - 1)).cast("long")
+        out.append(F.coalesce(scaled, F.lit(0).cast("long")))
+    return out
+
+
+def _of_nodes(rows: DataFrame, values: dict[int, tuple[int, ...]], names: str) -> DataFrame:
+    """Rows with their node's values; rows of other nodes have nulls."""
+    columns = [f"{n} long" for n in names.split()]
+    table = rows.sparkSession.createDataFrame([(n, *v) for n, v in values.items()], ", ".join(["__node int", *columns]))
+    return rows.join(F.broadcast(table), F.col("node") == F.col("__node"), "left").drop("__node")
 
 
 def _split_keys(rows: DataFrame, nodes: dict[int, tuple[int, float]]) -> dict[int, int]:
@@ -50,8 +90,7 @@ def _split_keys(rows: DataFrame, nodes: dict[int, tuple[int, float]]) -> dict[in
     before = {n: 0 for n in nodes}  # bytes of keys below the prefix
     while width > 0:
         take = min(bin_bits, width)
-        prefix = F.create_map(*[F.lit(x) for n in nodes for x in (n, low[n])])[F.col("node")]
-        inside = rows.where(F.shiftright(F.col("key"), width) == prefix)
+        inside = _of_nodes(rows, {n: (x,) for n, x in low.items()}, "prefix").where(F.shiftright("key", width) == F.col("prefix"))
         cells = inside.groupBy("node", F.shiftright("key", width - take).alias("cell")).agg(F.sum("size").alias("b")).collect()
         width -= take
         by_node: dict[int, list[tuple[int, int]]] = {n: [] for n in nodes}
@@ -66,7 +105,8 @@ def _split_keys(rows: DataFrame, nodes: dict[int, tuple[int, float]]) -> dict[in
                     break
                 before[n] += b
     # the last key goes to the side that it leaves nearer to the goal
-    sizes = {r.node: r.b for r in rows.where(F.col("key") == F.create_map(*[F.lit(x) for n in nodes for x in (n, low[n])])[F.col("node")]).groupBy("node").agg(F.sum("size").alias("b")).collect()}
+    last = _of_nodes(rows, {n: (x,) for n, x in low.items()}, "cut").where(F.col("key") == F.col("cut"))
+    sizes = {r.node: r.b for r in last.groupBy("node").agg(F.sum("size").alias("b")).collect()}
     return {n: low[n] if nodes[n][0] * nodes[n][1] - before[n] >= sizes.get(n, 0) / 2 else low[n] - 1 for n in nodes}
 
 
@@ -76,38 +116,37 @@ def kd_shards(rows: DataFrame, dimensions: list[str], leaves: int) -> DataFrame:
     A node of k leaves is split into ceil(k/2) and floor(k/2) leaves at that share of its bytes, so any number
     of leaves works.
     """
-    numeric = [d for d in dimensions if dict(rows.dtypes)[d] != "string"]
-    ends = rows.agg(*[f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in numeric for n, f in (("lo", F.min), ("hi", F.max))]).first() if numeric else None
+    size = len(dimensions)
     tree = rows.select(
         "*",
-        *[_coordinate(rows, d, ends[f"lo_{d}"] if d in numeric else None, ends[f"hi_{d}"] if d in numeric else None).alias(f"__c{i}") for i, d in enumerate(dimensions)],
+        *[c.alias(f"__c{i}") for i, c in enumerate(_coordinates(rows, dimensions))],
         F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col("doc_id")), 64 - TIE_BITS).alias("__tie"),
         F.lit(0).alias("node"),
     )
+    tree = stored(tree, "root")
     plan = {0: (0, leaves)}  # node -> first leaf, leaves
     while any(k > 1 for _, k in plan.values()):
         wide = {n: v for n, v in plan.items() if v[1] > 1}
-        spread = tree.where(F.col("node").isin(list(wide))).groupBy("node").agg(F.sum("size").alias("b"), *[(F.max(f"__c{i}") - F.min(f"__c{i}")).alias(f"s{i}") for i in range(len(dimensions))]).collect()
-        widest = {r.node: max(range(len(dimensions)), key=lambda i, r=r: (r[f"s{i}"], -i)) for r in spread}
+        spread = _of_nodes(tree, {n: (1,) for n in wide}, "wide").where("wide = 1").groupBy("node").agg(F.sum("size").alias("b"), *[(F.max(f"__c{i}") - F.min(f"__c{i}")).alias(f"s{i}") for i in range(size)]).collect()
+        widest = {r.node: max(range(size), key=lambda i, r=r: (r[f"s{i}"] >> (COORDINATE_BITS - 5), -i)) for r in spread}  # widths within a thirtieth tie
         totals = {r.node: (r.b, -(-wide[r.node][1] // 2) / wide[r.node][1]) for r in spread}
         plan = {n: v if n not in wide else (v[0], 1) for n, v in plan.items()}  # a node without rows stays a leaf
         if not totals:
             break
-        axis = F.create_map(*[F.lit(x) for n, i in widest.items() for x in (n, i)])[F.col("node")]
-        chosen = F.coalesce(*[F.when(axis == i, F.col(f"__c{i}")) for i in range(len(dimensions))])
-        keyed = tree.withColumn("key", F.shiftleft(chosen, TIE_BITS).bitwiseOR(F.col("__tie")))
-        cuts = _split_keys(keyed.where(F.col("node").isin(list(totals))).select("node", "key", "size"), totals)
+        chosen = F.coalesce(*[F.when(F.col("axis") == i, F.col(f"__c{i}")) for i in range(size)])
+        keyed = _of_nodes(tree, {n: (i,) for n, i in widest.items()}, "axis").withColumn("key", F.shiftleft(chosen, TIE_BITS).bitwiseOR(F.col("__tie"))).drop("axis")
+        cuts = _split_keys(keyed.where(F.col("key").isNotNull()).select("node", "key", "size"), totals)
         last, right = max(plan) + 1, {}
         for k, n in enumerate(sorted(totals)):
             left_leaves = -(-wide[n][1] // 2)
             right[n] = last + k
             plan[n] = (wide[n][0], left_leaves)
             plan[last + k] = (wide[n][0] + left_leaves, wide[n][1] - left_leaves)
-        cut = F.create_map(*[F.lit(x) for n, c in cuts.items() for x in (n, c)])[F.col("node")]
-        to = F.create_map(*[F.lit(x) for n, r in right.items() for x in (n, r)])[F.col("node")]
-        tree = keyed.withColumn("node", F.when(cut.isNotNull() & (F.col("key") > cut), to).otherwise(F.col("node"))).drop("key")
-    shard = F.create_map(*[F.lit(x) for n, (first, _) in plan.items() for x in (n, first)])[F.col("node")]
-    return tree.withColumn("shard", shard.cast("int")).drop("node", "__tie", *[f"__c{i}" for i in range(len(dimensions))])
+        placed = _of_nodes(keyed, {n: (c, right[n]) for n, c in cuts.items()}, "cut right")
+        below, tree = tree, stored(placed.withColumn("node", F.when(F.col("key") > F.col("cut"), F.col("right")).otherwise(F.col("node")).cast("int")).drop("key", "cut", "right"), "level")
+        discard(below)
+    out = _of_nodes(tree, {n: (first,) for n, (first, _) in plan.items()}, "shard").withColumn("shard", F.col("shard").cast("int"))
+    return out.drop("node", "__tie", *[f"__c{i}" for i in range(size)])
 
 
 def shard_documents(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -129,6 +168,7 @@ def shard_documents(docs: DataFrame, leaves: int | None = None, target_bytes: in
 
 
 def write_shards(docs: DataFrame, path: str, leaves: int | None = None, target_bytes: int | None = None) -> None:
-    """Write the documents below path, one folder shard=N for each leaf. doc_id must be unique."""
-    placed = shard_documents(docs, leaves, target_bytes).select(F.col("doc_id").alias("__id"), "shard")
-    docs.join(placed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).write.partitionBy("shard").parquet(path)
+    """Write the documents below path, one folder shard=N for each leaf. Equal rows of one doc_id stay together."""
+    crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
+    placed = shard_documents(docs, leaves, target_bytes).groupBy(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc")).agg(F.min("shard").alias("shard"))
+    docs.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")) & (crc == F.col("__crc"))).drop("__id", "__crc").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).write.partitionBy("shard").parquet(path)

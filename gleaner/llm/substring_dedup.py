@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm._common import join_on_counted_key, kept, remove_folder, scratch, scratch_dir, stored, use_small_arrow_batches
+from gleaner.llm._common import discard, join_on_counted_key, kept, remove_folder, scratch, scratch_dir, stored, use_small_arrow_batches
 
 WINDOW = 13
 GRAM = 5
@@ -150,7 +150,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-PLACE = ["age", "doc_id", "row"]
+#: Where a text is: its document, and its batch with 32 bits of the text, which tell rows with the same doc_id apart.
+PLACE = ["doc_id", "tag"]
+
+
+def _packed(high: np.ndarray, low: np.ndarray) -> pa.Array:
+    """Two numbers of 31 bits in one; spans are packed so, first window and number of windows."""
+    return pa.array(high.astype(np.int64) << 32 | low.astype(np.int64))
 
 
 def _mixed(of: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -168,17 +174,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = w.segment_keys()
         at = pa.array(of[hit])
         columns = {c: batch.column(c).take(at) for c in PLACE}
-        columns |= {"fingerprint": pa.array(found[hit].astype(np.int64)), "a": pa.array(a[hit]), "b": pa.array(b[hit]), "start": pa.array(w.place[w.starts[hit]].astype(np.int32)), "len": pa.array(w.lengths[hit].astype(np.int32))}
+        columns |= {"fingerprint": pa.array(found[hit].astype(np.int64)), "a": pa.array(a[hit]), "b": pa.array(b[hit]), "span": _packed(w.place[w.starts[hit]], w.lengths[hit])}
         yield pa.RecordBatch.from_pydict(columns)
 
 
 def _ranges(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Starts and lengths of each row of an array of (start, len)."""
-    flat = column.flatten()
-    starts, lengths = flat.field("start").to_numpy(zero_copy_only=False), flat.field("len").to_numpy(zero_copy_only=False)
+    """Starts and lengths of each row of an array of spans."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     edges = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
     for x, y in zip(edges, edges[1:], strict=False):
-        yield starts[x:y], lengths[x:y]
+        yield flat[x:y] >> 32, flat[x:y] & 0xFFFFFFFF
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +197,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows(parts)
         a, b = w.window_keys()
         columns = {c: batch.column(c).take(pa.array(np.array(of, np.int64)[w.list])) for c in PLACE}
-        columns |= {"a": pa.array(a), "b": pa.array(b), "start": pa.array((np.array(first, np.int64)[w.list] + w.place).astype(np.int32))}
+        columns |= {"a": pa.array(a), "b": pa.array(b), "span": _packed(np.array(first, np.int64)[w.list] + w.place, np.ones(len(w.list), np.int64))}
         yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -211,7 +216,7 @@ def _cut(with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             words = words_of(text)
             stay = kept_words(words, starts, lengths)
             removed.append(len(words) - len(stay)), out.append(b" ".join(stay)), sha.append(hashlib.sha256(b" ".join(words)).digest())
-        columns = {"age": batch.column("age"), "doc_id": batch.column("doc_id"), "words_sha": pa.array(sha, pa.binary()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())}
+        columns = {c: batch.column(c) for c in PLACE} | {"words_sha": pa.array(sha, pa.binary()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())}
         if with_text:
             columns["kept_text"] = pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
         yield pa.RecordBatch.from_pydict(columns)
@@ -226,7 +231,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, buckets: int = 8):
         self.spark, self.buckets, self.folder = spark, buckets, scratch_dir(spark)
         self.runs: list[str] = []
-        self.postings: list[str] = []
+        self.postings: list[tuple[str, int | None]] = []  # with the batch; merged ones tell it by a column
         self.hits: list[str] = []  # of each batch, as are the next two
         self.texts: list[DataFrame] = []
         self.signed: list[DataFrame] = []
@@ -259,7 +264,7 @@ class FingerprintIndex:
         often = part.select(F.explode("fingerprints").alias("fingerprint")).groupBy("fingerprint").count().where(F.col("count") > max(50, HOT_SHARE * part.count()))
         hot = {r.fingerprint for r in often.orderBy(F.desc("count"), "fingerprint").limit(MAX_HOT).collect()}
         cold = each.join(self._prints(hot), "fingerprint", "left_anti") if hot else each
-        postings = self._write(cold.withColumn("age", F.lit(age)).repartition(self.buckets, "fingerprint"), "postings")
+        postings = self._write(cold.repartition(self.buckets, "fingerprint"), "postings")
         run = self._write(self.spark.table(postings).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("documents")), "run")
         new = self.spark.table(run)
         known = [new.join(self.spark.table(r).select("fingerprint"), "fingerprint", "left_semi").select("fingerprint") for r in self.runs]  # merge joins
@@ -267,7 +272,7 @@ class FingerprintIndex:
         if self.hot:
             known.append(new.join(self._prints(self.hot), "fingerprint", "left_semi").select("fingerprint"))
         self.hits.append(self._write(functools.reduce(DataFrame.union, known).distinct(), "hits"))
-        self.postings.append(postings)
+        self.postings.append((postings, age))
         self.runs.append(run)
         self.texts.append(texts)
         self.signed.append(signed)
@@ -281,14 +286,18 @@ class FingerprintIndex:
             other = self.spark.table(r).withColumnRenamed("documents", "more")
             merged = merged.join(other, "fingerprint", "full_outer").select("fingerprint", (F.coalesce("documents", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("documents"))
         run = self._write(merged, "run")
-        postings = self._write(functools.reduce(DataFrame.union, [self.spark.table(p) for p in self.postings]).repartition(self.buckets, "fingerprint"), "postings")
-        for name in [*self.runs, *self.postings]:
+        postings = self._write(functools.reduce(DataFrame.union, self._posted()).repartition(self.buckets, "fingerprint"), "postings")
+        for name in [*self.runs, *[p for p, _ in self.postings]]:
             self._drop(name)
-        self.runs, self.postings = [run], [postings]
+        self.runs, self.postings = [run], [(postings, None)]
+
+    def _posted(self) -> list[DataFrame]:
+        each = [self.spark.table(p) if age is None else self.spark.table(p).withColumn("age", F.lit(age)) for p, age in self.postings]
+        return [df.select("age", "doc_id", "fingerprint") for df in each]
 
     def clear(self) -> None:
         """Drop all tables and files."""
-        for name in [*self.runs, *self.postings, *self.hits]:
+        for name in [*self.runs, *[p for p, _ in self.postings], *self.hits]:
             self.spark.sql(f"DROP TABLE {name}")
         remove_folder(self.spark, self.folder)
         self.runs, self.postings, self.hits, self.texts, self.signed = [], [], [], [], []
@@ -303,7 +312,7 @@ class FingerprintIndex:
             every.distinct().write.bucketBy(self.buckets, "fingerprint").sortBy("fingerprint").option("path", path).saveAsTable(name)
             wanted = self.spark.table(name)
             self.spark.sql(f"DROP TABLE {name}")  # its files stay
-        parts = [self.spark.table(p).join(wanted, "fingerprint", "left_semi").select("age", "doc_id", "fingerprint") for p in self.postings]
+        parts = [p.join(wanted, "fingerprint", "left_semi").select("age", "doc_id", "fingerprint") for p in self._posted()]
         last = max(ages)
         if self.hot:
             for age, signed in enumerate(self.signed[: last + 1]):
@@ -311,14 +320,17 @@ class FingerprintIndex:
                 parts.append(each.join(self._prints(self.hot), "fingerprint", "left_semi").select("age", "doc_id", "fingerprint"))
         return functools.reduce(DataFrame.union, parts).where(F.col("age") <= last).groupBy("age", "doc_id").agg(F.collect_set("fingerprint").alias("shared"))
 
-    def clean(self, ages: Sequence[int], with_text: bool = False) -> DataFrame:
-        """One row per document of these batches: doc_id, n_words, n_removed, kept_sha256; with_text adds kept_text where words were removed."""
+    def clean(self, ages: Sequence[int], with_text: bool = False, last: bool = False) -> DataFrame:
+        """One row per document of these batches: doc_id, n_words, n_removed, kept_sha256; with_text adds kept_text where words were removed.
+
+        last: the index isn't needed any more; its files go as early as they can.
+        """
         use_small_arrow_batches(self.spark)
         with scratch(self.spark):
-            return kept(self._cleaned(sorted(ages), with_text), "cleaned")
+            return kept(self._cleaned(sorted(ages), with_text, last), "cleaned")
 
-    def _cleaned(self, ages: list[int], with_text: bool) -> DataFrame:
-        counted = functools.reduce(DataFrame.union, [s.select(F.lit(age).alias("age"), "doc_id", "n_words", "words_sha") for age, s in enumerate(self.signed[: ages[-1] + 1])])
+    def _cleaned(self, ages: list[int], with_text: bool, last: bool) -> DataFrame:
+        counted = stored(functools.reduce(DataFrame.union, [s.select(F.lit(age).alias("age"), "doc_id", "n_words", "words_sha") for age, s in enumerate(self.signed[: ages[-1] + 1])]), "counted")
         texts = functools.reduce(DataFrame.union, [t.select(F.lit(age).alias("age"), "doc_id", "text") for age, t in enumerate(self.texts[: ages[-1] + 1])])
         when = F.struct("age", "doc_id")
         originals = stored(counted.where("doc_id is not null").groupBy("words_sha").agg(F.min(when).alias("original"), F.count(F.lit(1)).alias("copies")), "originals")
@@ -326,39 +338,42 @@ class FingerprintIndex:
         # texts with what they share are dealt once; those of copies stay away
         alone = originals.select(F.col("original.age").alias("age"), F.col("original.doc_id").alias("doc_id")).distinct()
         sharing = stored(self.sharing(ages).join(alone, ["age", "doc_id"], "left_semi"), "sharing")
-        suspects = stored(texts.hint("merge").join(sharing, ["age", "doc_id"]).withColumn("row", F.xxhash64("text")), "suspects")
+        if last:
+            self.clear()
+        tag = F.shiftleft(F.col("age").cast("long"), 32) + F.xxhash64("text").bitwiseAND((1 << 32) - 1)
+        suspects = stored(texts.hint("merge").join(sharing, ["age", "doc_id"]).select("doc_id", tag.alias("tag"), "text", "shared"), "suspects")
+        discard(sharing)
 
         # whole segments first: all but the first document with a segment lose its windows
-        place = "age int, doc_id long, row long"
-        segments = stored(suspects.select(*PLACE, "text", "shared").mapInArrow(_segments, f"{place}, fingerprint long, a long, b int, start int, len int"), "segments")
-        at = F.struct(*PLACE, "start", "len")
-        per_segment = stored(segments.groupBy("a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("fingerprint")), "per_segment")
+        segments = stored(suspects.mapInArrow(_segments, "doc_id long, tag long, fingerprint long, a long, b int, span long"), "segments")
+        age = F.shiftright("tag", 32).alias("age")
+        per_segment = stored(segments.groupBy("a", "b").agg(F.min(F.struct(age, "doc_id", "tag", "span")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("fingerprint")), "per_segment")
         total = max(1, segments.count())
-        asked_of = F.col("age").isin(ages)
 
         def later(rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
-            """The rows of these batches whose key (a, b) is in an earlier document."""
+            """The spans of these batches whose key (a, b) is in an earlier document."""
             named = firsts.where("n > 1").select(F.struct("a", "b").alias("key"), F.col("first.age").alias("first_age"), F.col("first.doc_id").alias("first_id"), "n")
-            found = join_on_counted_key(rows.where(asked_of).select(*PLACE, "start", "len", F.struct("a", "b").alias("key")), named, "key", "n", total, "inner")
-            return found.where(when > F.struct("first_age", "first_id")).select(*PLACE, "start", "len")
+            asked = rows.where(age.isin(ages)).select(*PLACE, "span", F.struct("a", "b").alias("key"))
+            return join_on_counted_key(asked, named, "key", "n", total, "inner").where(F.struct(age, "doc_id") > F.struct("first_age", "first_id")).select(*PLACE, "span")
 
-        gone = later(segments, per_segment, total)
+        gone = stored(later(segments, per_segment, total), "gone")
+        discard(segments)
         # then single windows, where a fingerprint has different segments: each segment's first document speaks for all
         mixed = per_segment.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         asked = join_on_counted_key(per_segment.select("fingerprint", "first"), mixed, "fingerprint", "m", total, "inner")
-        asked = asked.select("first.*").groupBy(*PLACE).agg(F.collect_list(F.struct("start", "len")).alias("asked"))
-        keys = suspects.select(*PLACE, "text").hint("merge").join(asked, PLACE).mapInArrow(_windows, f"{place}, a long, b int, start int")
-        keys = stored(keys.withColumn("len", F.lit(1)), "keys")
-        firsts = keys.groupBy("a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+        asked = asked.select("first.*").groupBy(*PLACE).agg(F.collect_list("span").alias("asked"))
+        keys = stored(suspects.select(*PLACE, "text").hint("merge").join(asked, PLACE).mapInArrow(_windows, "doc_id long, tag long, a long, b int, span long"), "keys")
+        discard(per_segment)
+        firsts = keys.groupBy("a", "b").agg(F.min(F.struct(age, "doc_id")).alias("first"), F.count(F.lit(1)).alias("n"))
         repeated = later(keys, firsts, max(1, keys.count()))
-        removed = stored(gone.union(repeated).groupBy(*PLACE).agg(F.collect_list(F.struct("start", "len")).alias("ranges")), "removed")
-        schema = "age int, doc_id long, words_sha binary, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+        removed = stored(gone.union(repeated).groupBy(*PLACE).agg(F.collect_list("span").alias("ranges")), "removed")
+        discard(gone, keys)
+        schema = "doc_id long, tag long, words_sha binary, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
         cut = suspects.select(*PLACE, "text").hint("merge").join(removed, PLACE).mapInArrow(functools.partial(_cut, with_text), schema)
 
-        # a row is found again by its words, which of rows with the same doc_id may differ
-        rows = counted.where(asked_of)
-        named = join_on_counted_key(rows, originals, "words_sha", "copies", max(1, counted.count()))
-        cut = cut.dropDuplicates(["age", "doc_id", "words_sha"]).withColumnsRenamed({"age": "__age", "doc_id": "__id", "words_sha": "__sha"})
+        # a row is found again by its words, in which rows with the same doc_id may differ
+        named = join_on_counted_key(counted.where(F.col("age").isin(ages)), originals, "words_sha", "copies", max(1, counted.count()))
+        cut = cut.withColumn("__age", age).drop("tag").dropDuplicates(["__age", "doc_id", "words_sha"]).withColumnsRenamed({"doc_id": "__id", "words_sha": "__sha"})
         joined = named.join(cut, (F.col("age") == F.col("__age")) & (F.col("doc_id") == F.col("__id")) & (F.col("words_sha") == F.col("__sha")), "left")
         is_copy = F.coalesce(F.col("doc_id").isNotNull() & (when > F.col("original")) & (F.col("n_words") >= WINDOW), F.lit(False))
         return joined.select(
@@ -382,6 +397,6 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
         of_batch = docs.where(F.col("doc_id") > low) if low is not None else docs
         index.add(of_batch.where((F.col("doc_id") <= high) | F.lit(low is None) & F.col("doc_id").isNull()) if high is not None else of_batch)
     try:
-        return index.clean(range(len(index.texts)), with_text)
+        return index.clean(range(len(index.texts)), with_text, last=True)
     finally:
         index.clear()

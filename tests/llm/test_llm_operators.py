@@ -103,6 +103,30 @@ def test_op2_leaves_are_near_equal_and_gapless(spark, repeated):
     assert {r.shard for r in shard_documents(table(spark, ["a", "b"]), target_bytes=2).collect()} == {0, 1}
 
 
+def test_op2_splits_along_the_widest_dimension(spark, tmp_path):
+    from gleaner.llm import sharding
+
+    r = random.Random(7)
+    # of doc_id a node has a part already; lengths differ by order of magnitude
+    texts = ["x" * int(10 ** r.uniform(0, 3)) for _ in range(800)] + [None, "", "x" * 20_000]
+    df = table(spark, texts)
+    rows = {x.doc_id: x for x in sharding.shard_documents(df, leaves=4).collect()}
+    # brute force: the first cut is the weighted median of doc_id, the next ones that of the widest of the rest
+    size = {d: len(t or "") + 1 for d, t in enumerate(texts)}
+    left = {d for d in rows if rows[d].shard < 2}
+    cut, total, so_far = max(left), sum(size.values()), 0
+    assert left == set(range(cut + 1))
+    assert abs(sum(size[d] for d in left) - total / 2) <= max(size.values())
+    for half in (left, set(rows) - left):
+        one = {d for d in half if rows[d].shard == min(rows[x].shard for x in half)}
+        assert abs(sum(size[d] for d in one) - sum(size[d] for d in half) / 2) <= max(size[d] for d in half) / 2 + 1
+        by_source = all({rows[x].shard for x in half if x % 3 == d} for d in range(3))
+        assert by_source
+    sharding.write_shards(df, str(tmp_path / "out"), leaves=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(x.doc_id, x.shard) for x in back.select("doc_id", "shard").collect()} == {(d, rows[d].shard) for d in rows} and back.count() == len(texts)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -372,6 +396,14 @@ def test_op9_keeps_the_smallest_of_equal_texts(spark, repeated):
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "doc_id long, text string")
     assert sorted((x.doc_id, x.group_size, x.kept) for x in exact_duplicates(twice).collect()) == [(1, 3, False), (1, 3, True), (2, 3, False)]
     assert exact_duplicates(table(spark, [])).count() == 0
+    from gleaner.llm import exact_dedup as X
+
+    slots, X.MAX_FILTER_SLOTS = X.MAX_FILTER_SLOTS, 1 << 14  # more rows than one filter serves: several ranges
+    try:
+        again = {x.doc_id: x for x in exact_duplicates(table(spark, texts)).collect()}
+    finally:
+        X.MAX_FILTER_SLOTS = slots
+    assert again == got
 
 
 def test_op10_equals_the_library(spark, repeated):
