@@ -19,6 +19,7 @@ from gleaner.operators import grouping as G
 from gleaner.operators import metrics as M
 from gleaner.operators import monitoring as MON
 from gleaner.plans.scratch import materialised
+from gleaner.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,7 +75,7 @@ corpus AS (
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return docs.join(labels, "doc_id").select(F.col("text").alias("raw_text"), "label", "source", F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("row_id"))
 
@@ -121,7 +122,7 @@ def source_label_rollup(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _digest(c: Column) -> Column:

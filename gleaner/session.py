@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +19,16 @@ def build_session(app: str = "gleaner", master: str | None = None, **conf: str)
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small table that lies in fewer files than there are cores among all of them; any other stays as it is.
+
+    Spark can't split a row group, so a table of one is read in one task, with all the work on its texts. Such a table
+    is below a full split a core, so the shuffle is small; larger tables and tables of many files are never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * split and 0 < len(df.inputFiles()) < cores else df
