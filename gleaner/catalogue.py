@@ -121,6 +121,37 @@ def source_label_rollup(spark, sf_dir):
 # -- text ------------------------------------------------------------------------------------------------------------
 
 
+def _on(sql: str, value: str) -> str:
+    return sql.replace("$x", value)
+
+
+# RE2 has no look-around: a mask's borders are taken along and put back, and identifiers are judged run by run.
+EMAIL_SQL = r"regexp_replace($x, '(?i)(^|[^\pL\pN_.+-])([A-Z0-9._%+-]+)@([A-Z0-9.-]+\.[A-Z]{2,63})($|[^\pL\pN_.-])', '\1<EMAIL_LOCAL>@\3\4', 'g')"
+PHONE_SQL = r"regexp_replace($x, '(^|[^\pL\pN_])(?:\+?[0-9][0-9 .()/-]{7,}[0-9])($|[^\pL\pN_])', '\1<PHONE>\2', 'g')"
+IDENTIFIER_SQL = r"""array_to_string(list_transform(regexp_extract_all($x, '[\pL\pN_-]+|[^\pL\pN_-]+'),
+  lambda run: CASE WHEN regexp_full_match(run, '[A-Za-z0-9-]+') AND regexp_matches(run, '[0-9]') AND length(rtrim(run, '-')) >= 8 THEN '<IDENTIFIER>' ELSE run END), '')"""
+#: A single URL, as in pages: user, port and fragment go, values of the query are masked.
+URL_SQL = r"""lower(regexp_extract($x, '^[^:]+://[^/?#:]*')) || regexp_replace(regexp_extract($x, '^[^:]+://[^/?#]*([^#]*)', 1), '=[^&]+', '=%3CVALUE%3E', 'g')"""
+#: Masks of documents, which hold no URL.
+MASKED_SQL = _on(IDENTIFIER_SQL, _on(PHONE_SQL, EMAIL_SQL))
+LIMITED_SQL = "CASE WHEN length(t) > 100000 THEN substr(t, 1, 74985) || chr(10) || '[...TRUNCATED...]' || chr(10) || right(t, 24996) ELSE t END"
+SIMILAR_SQL = r"regexp_replace(regexp_replace(replace(lower($x), 'ß', 'ss'), '[\pL\pM\pN_.+-]+@[\pL\pM\pN_.-]+\.[a-z]{2,63}', ' <EMAIL> ', 'g'), '(^|[^\pL\pM\pN_])[0-9]+(?:[.,:/-][0-9]+)*\b', '\1 <NUMBER> ', 'g')"
+SHINGLED = f"""masked AS (SELECT doc_id, {_on(MASKED_SQL, NORM)} AS m, sha256(replace(lower({NORM}), 'ß', 'ss')) AS text_hash FROM documents),
+  viewed AS (SELECT doc_id, text_hash, trim(regexp_replace({_on(SIMILAR_SQL, "m")}, '{SPACE_SQL}', ' ', 'g')) AS s FROM masked),
+  tokens AS (SELECT doc_id, text_hash, regexp_extract_all(s, '[\\pL\\pM\\pN_<>]+') AS t FROM viewed),
+  sets AS (SELECT doc_id, text_hash, CASE WHEN len(t) = 0 THEN ['<EMPTY>'] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')))) END AS shingles FROM tokens)"""
+LINKED = f"""{SHINGLED}, members AS (SELECT doc_id, text_hash, shingles, min(doc_id) OVER (PARTITION BY shingles) AS rep FROM sets),
+  each AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM members WHERE doc_id = rep),
+  met AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS overlap FROM each x JOIN each y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+  linked AS (SELECT a, b, overlap, overlap / (na + nb - overlap) AS similarity FROM met WHERE overlap / (na + nb - overlap) >= 0.85
+    UNION ALL SELECT rep, doc_id, len(shingles), 1.0 FROM members WHERE doc_id > rep)"""
+GROUPED = f"""{LINKED}, both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+  reached AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT w.b, r.m FROM reached r JOIN both_ways w ON w.a = r.v),
+  roots AS (SELECT v AS doc_id, min(m) AS root FROM reached GROUP BY v),
+  named AS (SELECT r.doc_id, r.root, 'similarity_' || substr(min(m.text_hash) OVER (PARTITION BY r.root), 1, 20) AS similarity_group FROM roots r JOIN members m ON m.doc_id = r.doc_id)"""
+
+
 def _docs(spark, sf_dir):
     return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
@@ -157,28 +188,28 @@ def mask_phone(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", _digest(T.mask_phone(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(f"SELECT doc_id, sha256({_on(IDENTIFIER_SQL, 'text')}) AS digest FROM documents")
 def mask_identifier(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", _digest(T.mask_identifier(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(f"WITH m AS (SELECT doc_id, {_on(MASKED_SQL, NORM)} AS t FROM documents) SELECT doc_id, length(t) > 100000 AS was_truncated, sha256({LIMITED_SQL}) AS digest FROM m")
 def prepare_text(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", T.prepare_text(F.col("text"), MAX_TEXT_CHARS).alias("p"))
     return rows.select("doc_id", "p.was_truncated", _digest(F.col("p.text")).alias("digest"))
 
 
-@query()
+@query(f"WITH {SHINGLED} SELECT doc_id, sha256(s) AS digest FROM viewed")
 def similarity_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", _digest(T.similarity_text(T.normalize_text(F.col("text")))).alias("digest"))
 
 
-@query()
+@query(f"SELECT page_id, {_on(URL_SQL, 'url')} AS url FROM pages")
 def url_canonical(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", T.canonical_urls(F.col("url")).alias("url"))
 
 
-@query()
+@query(f"WITH c AS (SELECT page_id, {_on(URL_SQL, 'url')} AS u FROM pages) SELECT page_id, {_on(MASKED_SQL, 'u')} AS url FROM c")
 def mask_full(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", T.canonicalize_identifiers(F.col("url")).alias("url"))
 
@@ -255,14 +286,21 @@ def _grouped_input(spark, sf_dir) -> DataFrame:
     return materialised(rows.withColumn("text_hash", T.text_hash(F.col("text"))))
 
 
-@query()
+@query(f"WITH {SHINGLED} SELECT doc_id, len(shingles)::INT AS n_shingles, sha256(array_to_string(shingles, chr(10))) AS digest FROM sets")
 def word_trigrams(spark, sf_dir):
     return G.shingled(_grouped_input(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.size("shingles").alias("n_shingles"), _digest(F.array_join(F.array_sort("shingles"), "\n")).alias("digest"))
 
 
-@query()
+@query(f"WITH {LINKED} SELECT a, b, overlap, round(similarity, 6) AS similarity FROM linked")
 def near_dup_pairs(spark, sf_dir):
-    return G.exact_pairs(G.shingled(_grouped_input(spark, sf_dir))).select("a", "b", "overlap", _r(F.col("similarity")).alias("similarity"))
+    """Pairs of different sets, each named by its smallest doc_id, and that row with each of its copies; no pairs of copies."""
+    shingles = G.shingled(_grouped_input(spark, sf_dir))
+    return _with_copies(shingles, *G.linked(shingles)).select("a", "b", "overlap", _r(F.col("similarity")).alias("similarity"))
+
+
+def _with_copies(shingles: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    copies = members.where("id > a").join(shingles.select("id", F.size("shingles").cast("long").alias("overlap")), "id")
+    return pairs.unionByName(copies.select("a", F.col("id").alias("b"), "overlap", F.lit(1.0).alias("similarity")))
 
 
 def _near_groups(spark, sf_dir) -> DataFrame:
@@ -270,20 +308,25 @@ def _near_groups(spark, sf_dir) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "similarity_group")
 
 
-@query()
+@query(f"WITH RECURSIVE {GROUPED} SELECT doc_id, similarity_group FROM named")
 def near_dup_groups(spark, sf_dir):
     return _near_groups(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH RECURSIVE {GROUPED}, sizes AS (SELECT root, count(*) AS n FROM named GROUP BY root), copies AS (SELECT rep, count(*) AS n FROM members GROUP BY rep)
+           SELECT (SELECT sum(n)::BIGINT FROM sizes) AS rows, (SELECT count(*) FROM sizes) AS groups, (SELECT max(n) FROM sizes) AS largest_group,
+           (SELECT (sum(n * (n - 1)) // 2)::BIGINT FROM copies) + (SELECT coalesce(sum(x.n * y.n), 0)::BIGINT FROM linked l JOIN copies x ON x.rep = l.a JOIN copies y ON y.rep = l.b) AS verified_pairs""")
 def near_dup_audit(spark, sf_dir):
     return G.near_duplicate_groups(_grouped_input(spark, sf_dir))[1]
 
 
-@query()
+@query(f"WITH {LINKED} SELECT a, b, overlap FROM linked")
 def minhash_candidates(spark, sf_dir):
+    """As near_dup_pairs, by banded signatures: a pair at 0.85 shares none of 32 bands of 4 with a chance of 6e-11."""
     shingles = G.shingled(_grouped_input(spark, sf_dir))
-    return G.verified(G.banded_pairs(shingles), shingles).select("a", "b", "overlap")
+    members = G.classes(shingles)
+    sets = shingles.join(members.where("id = a").select("id"), "id", "left_semi")
+    return _with_copies(shingles, G.verified(G.banded_pairs(sets), sets), members).select("a", "b", "overlap")
 
 
 TRIGRAMS = """
@@ -351,7 +394,8 @@ def fold_greedy_split(spark, sf_dir):
     return D.with_splits(materialised(rows)).select("doc_id", F.col("split_fold").cast("int").alias("split_fold"), "split")
 
 
-@query()
+@query(f"""WITH {FOLDED}, n AS (SELECT source, label, count(*) AS n FROM f GROUP BY ALL), s AS (SELECT unnest([0.05::DOUBLE, 0.1, 0.25, 0.5, 0.75, 1.0]) AS share)
+           SELECT share, source, label, greatest(1, round(n * share))::BIGINT AS rows FROM n, s""")
 def learning_curve_samples(spark, sf_dir):
     rows = _folded(spark, sf_dir).withColumn("row_id", F.col("doc_id").cast("string"))
     parts = [D.stratified_sample(rows, s).select(F.lit(s).alias("share"), "source", "label") for s in (0.05, 0.1, 0.25, 0.5, 0.75, 1.0)]
