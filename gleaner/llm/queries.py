@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.session import spread
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def op1_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.url_filter import judge_urls
 
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge_urls(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "page_id"))
 
 
 def op7_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:

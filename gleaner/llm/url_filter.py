@@ -28,7 +28,7 @@ from gleaner.llm._common import join_on_counted_key, stored
 #: Signs of the model; all others are `_`, and 0 stands for the ends.
 SIGNS = "abcdefghijklmnopqrstuvwxyz0./-_"
 ALPHABET = 32
-ORDER = 2
+ORDER = 3
 CALIBRATION_FOLDS = 5
 BIN = 0.005
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

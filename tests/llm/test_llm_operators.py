@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small tables with nulls, ties, repeats, empty and long texts."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -290,6 +291,36 @@ def test_op6_rules_win_and_the_model_judges_the_rest(spark):
     assert {x.verdict for x in judge_urls(df.where("page_id = 4")).collect()} == {"allow"}
 
 
+def test_op6_scores_equal_a_plain_markov_model(spark):
+    from gleaner.llm import url_filter as U
+
+    r = random.Random(6)
+    rows = [("allow", f"good{r.choice('abc')}.com/page/{r.randrange(99)}") for _ in range(60)] + [("block", f"win-bad{r.choice('xyz')}.net/es/{r.choice(['', 'A', 'ñ?'])}") for _ in range(40)]
+    codes = lambda a: [0] * U.ORDER + [U.SIGNS.find("0" if c.isascii() and c.isdigit() else c if c in U.SIGNS else "_") + 1 for c in "".join(c.lower() if c.isascii() else c for c in a)] + [0]
+    seen = {v: {} for v, _ in rows}
+    for v, a in rows:
+        c = codes(a)
+        for i in range(U.ORDER, len(c)):
+            for k in range(U.ORDER + 1):
+                seen[v].setdefault(tuple(c[i - k : i]), {}).setdefault(c[i], 0)
+                seen[v][tuple(c[i - k : i])][c[i]] += 1
+
+    def chance(model, context, sign):
+        after = model.get(context, {})
+        if not context:
+            return (after.get(sign, 0) + 1) / (sum(after.values()) + U.ALPHABET)
+        shorter = chance(model, context[1:], sign)
+        return (after.get(sign, 0) + len(after) * shorter) / (sum(after.values()) + len(after)) if after else shorter
+
+    ruled = spark.createDataFrame(rows, "verdict string, address string")
+    asked = [a for _, a in rows[::7]] + ["", "gooda.org/page/5", "www.nobody.example/%20/Q", "x" * 3000]
+    got = {x.address: x.score for x in U.scored(spark.createDataFrame([(a,) for a in asked], "address string"), U.ratio_table(ruled)).collect()}
+    for a in asked:
+        c = codes(a)
+        each = [math.log(chance(seen["allow"], tuple(c[i - U.ORDER : i]), c[i])) - math.log(chance(seen["block"], tuple(c[i - U.ORDER : i]), c[i])) for i in range(U.ORDER, len(c))]
+        assert got[a] == pytest.approx(sum(each) / len(each), abs=1e-9)
+
+
 def test_op7_finds_neighbours(spark):
     from gleaner.llm.ann import search_every
 
