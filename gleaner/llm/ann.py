@@ -1,15 +1,16 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
-Coarse centroids and the codebooks of the residuals are fitted on at most SAMPLE rows, drawn by a hash of vec_id.
-Every row is indexed: it gets the list of its nearest centroid and a code of SUBSPACES bytes for its residual. A
-query visits the lists of its `probes` nearest centroids. Lists are dealt into chunks of about CHUNK rows, so a list
+Coarse centroids and the codebooks of the residuals are fitted on a sample drawn by a hash of vec_id: SAMPLE rows, or
+ROWS_PER_CENTROID for each list where that is more, up to MAX_LISTS lists. Every row is indexed: it gets the list of its
+nearest centroid and a code of SUBSPACES bytes for its residual. A query visits the lists of its `probes` nearest
+centroids; by default as many as hold RECALL of the k nearest sampled rows, for sampled queries the fit hasn't seen. Lists are dealt into chunks of about CHUNK rows, so a list
 that holds a third of all rows is many chunks, and a query's copies meet each chunk of a list. Within a chunk the
 query's asymmetric distance tables rank the codes, and the best RERANK rows are measured exactly on the original vectors.
 The k-th of these is a limit; every other row whose rough distance, less the error of its own code, is within the limit
 is measured too. So a chunk gives its true nearest rows, however many rows share a code; these are merged by query.
 
-Bounds: sample, centroids and codebooks have fixed sizes and are broadcast; the number of lists is at most MAX_LISTS.
-Queries are shuffled, not broadcast. A task holds a chunk's rows and goes through its queries in blocks. The cost of
+Bounds: the sample has at most MAX_LISTS * ROWS_PER_CENTROID rows, a tenth more included; centroids and codebooks are
+broadcast. Beyond MAX_LISTS lists, these get longer. Queries are shuffled, not broadcast. A task holds a chunk's rows and goes through its queries in blocks. The cost of
 the search is queries x probes x list length, the usual one for inverted files.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take
@@ -33,13 +34,18 @@ from gleaner.llm._common import stored, use_small_arrow_batches
 
 SAMPLE = 20_000
 MAX_LISTS = 4096
+ROWS_PER_CENTROID = 16
+#: This share of the nearest sampled rows of held-out queries lies in the lists that are visited.
+RECALL = 0.975
+HELD_OUT = 8
+MEASURED = 256
 ROWS_PER_LIST = 256
 SUBSPACES = 16
 CODES = 256
 CHUNK = 4096
 RERANK = 128
 QUERY_BLOCK = 64
-MAX_PROBES = 256
+LEAST_PROBES = 8
 #: So many queries at most, about, meet one copy of a chunk.
 QUERIES_PER_CHUNK = 8192
 
@@ -78,7 +84,12 @@ def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> tuple[np.ndarray, np.
     for a in range(0, len(x), 2048):
         part = x[a : a + 2048].astype(np.float32)
         d = norm[None, :] - 2 * part @ centres.T
-        best = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(centres) else np.tile(np.arange(k), (len(part), 1))
+        if k == 1:
+            best = d.argmin(axis=1)[:, None]
+        elif k < len(centres):
+            best = np.argpartition(d, k - 1, axis=1)[:, :k]
+        else:
+            best = np.tile(np.arange(k), (len(part), 1))
         of = np.take_along_axis(d, best, axis=1)
         order = np.argsort(of, axis=1, kind="stable")
         found.append(np.take_along_axis(best, order, axis=1))
@@ -111,6 +122,23 @@ def fit_index(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES) -> Ind
     return Index(centroids, [kmeans(np.ascontiguousarray(residuals[:, a:b]), CODES, 8, 2) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
 
 
+def measured_probes(index: Index, sample: np.ndarray, unseen: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """How many lists to visit for this share of the k nearest rows of the sample, for queries the fit hasn't seen.
+
+    The sample's rows lie thinner than the table's, so their neighbours are farther and the number errs upwards.
+    """
+    lists = len(index.centroids)
+    rows, asked = np.unique(sample, axis=0), np.unique(unseen, axis=0)
+    if lists <= LEAST_PROBES or len(rows) < 2 or not len(asked):
+        return lists
+    asked = asked[np.random.default_rng(5).permutation(len(asked))[:MEASURED]]
+    to = nearest(rows, index.centroids, 1)[0][:, 0]
+    near = nearest(asked, rows, k + 1)[0][:, 1:]  # the first is the row itself
+    place = np.argsort(nearest(asked, index.centroids, lists)[0], axis=1)  # a list's place in the query's order
+    places = np.sort(np.take_along_axis(place, to[near], axis=1), axis=None)
+    return int(min(lists, max(LEAST_PROBES, 1 + places[int(np.ceil(recall * len(places))) - 1])))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -194,17 +222,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | No
     total = rows.count()
     if not total:
         return empty
-    drawn = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(9), "vec_id"), 33) < F.lit(min(1.0, SAMPLE / total) * float(1 << 31)))
-    sample = drawn.select("vec_id", "vector").orderBy("vec_id").limit(SAMPLE + SAMPLE // 10).toArrow()
-    lists = int(min(MAX_LISTS, max(1, total // ROWS_PER_LIST), max(1, sample.num_rows // 16)))
-    index = fit_index(_matrix(sample["vector"], length).astype(np.float32), lists)
+    lists = min(MAX_LISTS, max(1, total // ROWS_PER_LIST))
+    size = max(SAMPLE, lists * ROWS_PER_CENTROID)
+    drawn = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(9), "vec_id"), 33) < F.lit(min(1.0, size / total) * float(1 << 31)))
+    sample = _matrix(drawn.select("vec_id", "vector").orderBy("vec_id").limit(size + size // 10).toArrow()["vector"], length).astype(np.float32)
+    unseen = np.arange(len(sample)) % HELD_OUT == 0 if lists > LEAST_PROBES else np.zeros(len(sample), bool)
+    index = fit_index(sample[~unseen], int(min(lists, max(1, len(sample) // ROWS_PER_CENTROID))))
+    probes = probes or measured_probes(index, sample, sample[unseen], k)
+    del sample
     held = spark.sparkContext.broadcast(index)
-    probes = probes or min(MAX_PROBES, max(8, -(-lists // 4)))
-    indexed = stored(rows.select("vec_id", "vector").mapInArrow(_assign(held, length), "vec_id long, vector array<float>, list int, code binary"), "index")
+    vector = f"vector {rows.schema['vector'].dataType.simpleString()}"
+    indexed = stored(rows.select("vec_id", "vector").mapInArrow(_assign(held, length), f"vec_id long, {vector}, list int, code binary"), "index")
     chunks = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))  # MAX_LISTS rows at most
     dealt = indexed.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks")
     asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), length)).select("vec_id", "vector")
-    visits = asked.mapInArrow(_probe(held, length, probes), "vec_id long, vector array<float>, lists array<int>").select("vec_id", "vector", F.explode("lists").alias("list"))
+    visits = asked.mapInArrow(_probe(held, length, probes), f"vec_id long, {vector}, lists array<int>").select("vec_id", "vector", F.explode("lists").alias("list"))
     # a list that very many queries visit is held in several copies, each for a part of them
     parts = visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_CHUNK).cast("int").alias("parts"))  # MAX_LISTS rows at most
     plan = F.broadcast(chunks.join(parts, "list"))
@@ -218,5 +250,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | No
 
 def search_every(embeddings: DataFrame, step: int = 100, k: int = 10) -> DataFrame:
     """Queries: the rows of embeddings whose vec_id is divisible by step; candidates: all rows but the query's own."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    exact = kind if kind == "array<float>" else "array<double>"  # scores are measured on the vectors as they are
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(exact).alias("vector"))
     return search(rows, rows.where(F.col("vec_id") % step == 0), k)

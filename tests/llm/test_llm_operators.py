@@ -348,6 +348,36 @@ def test_op7_finds_neighbours(spark):
     assert search_every(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_op7_visits_as_many_lists_as_the_recall_takes(clusters):
+    from gleaner.llm import ann
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30_000, 32))
+    if clusters:
+        x = 4 * rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 30_000)] + x
+    x = x.astype(np.float32)
+    sample, unseen = x[:8000], np.arange(8000) % ann.HELD_OUT == 0
+    index = ann.Index(ann.kmeans(sample[~unseen], 200, 12, 1), [], np.zeros(1, int))
+    probes = ann.measured_probes(index, sample, sample[unseen], 10)
+    lists = ann.nearest(x, index.centroids, 1)[0][:, 0]
+    asked = x[8000:8100]
+    near = np.argsort(((asked[:, None, :].astype(np.float64) - x[None]) ** 2).sum(axis=2), axis=1)[:, 1:11]
+    visited = ann.nearest(asked, index.centroids, probes)[0]
+    hit = np.mean([np.isin(lists[n], v).mean() for n, v in zip(near, visited, strict=True)])
+    assert hit >= 0.95
+    assert probes < 200 and (not clusters or probes < 50)  # near vectors that share nothing need most lists
+
+
+def test_op7_measures_double_vectors_as_they_are(spark):
+    from gleaner.llm.ann import search_every
+
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 1.0 + 1e-12]), (2, [1.0, 1.0 - 3e-12])]
+    found = search_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == [1, 2]
+    assert all(r.score == abs(rows[r.vec_id][1][1] - 1.0) for r in found)
+
+
 def test_op7_measures_every_row_that_shares_a_code():
     from types import SimpleNamespace
 
