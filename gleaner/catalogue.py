@@ -278,6 +278,23 @@ def perturb_cta(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.perturb_call_to_action(F.col("text")).alias("text"))
 
 
+PERTURBED = """w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+  p AS (SELECT doc_id, 'whitespace' AS perturbation, array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND (i - 1) % 12 = 0 THEN x || chr(10) ELSE x END), ' ') AS changed, text FROM w
+    UNION ALL SELECT doc_id, 'call_to_action', text || chr(10) || 'Act now to confirm this request.', text FROM w),
+  s AS (SELECT perturbation, length(changed) % 1000 / 1000.0::DOUBLE AS score, length(text) % 1000 / 1000.0::DOUBLE AS baseline FROM p)"""
+
+
+@query(f"""WITH {PERTURBED} SELECT perturbation, round(avg(abs(score - baseline)), 6) AS mean_absolute_shift, round(avg(CASE WHEN (score >= 0.5) <> (baseline >= 0.5) THEN 1.0 ELSE 0.0 END), 6) AS flip_fraction FROM s GROUP BY perturbation""")
+def perturbed_texts(spark, sf_dir):
+    """Shift and flips of a made-up score, the last three digits of a text's length, when texts are perturbed."""
+    told = lambda c: F.length(c) % 1000 / F.lit(1000.0)
+    changes = {name: T.PERTURBATIONS[name] for name in ("whitespace", "call_to_action")}
+    made = F.array(*[F.struct(F.lit(name).alias("perturbation"), told(change(F.col("text"))).alias("score")) for name, change in changes.items()])
+    rows = _docs(spark, sf_dir).select(told(F.col("text")).alias("baseline"), F.explode(made).alias("p")).select("baseline", "p.*")
+    out = M.perturbation_shift(rows, THRESHOLD, ["perturbation"])
+    return out.select("perturbation", *[_r(F.col(c)).alias(c) for c in ("mean_absolute_shift", "flip_fraction")])
+
+
 # -- near duplicates -------------------------------------------------------------------------------------------------
 
 
@@ -550,12 +567,34 @@ def tolerance_select(spark, sf_dir):
     return M.select_with_tolerance(s, 0.5).select("candidate", _r(F.col("macro_f1")).alias("macro_f1"), _r(F.col("recall")).alias("recall"))
 
 
-@query(f"""WITH {SCORED}, e AS (SELECT w AS weight, label, CASE WHEN w * score + (1 - w) * second >= 0.5 THEN 1 ELSE 0 END AS predicted FROM scored, (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS w)),
-           c AS (SELECT weight, {CELLS} FROM e GROUP BY weight)
-           SELECT weight, round({_macro()}, 6) AS macro_f1, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall FROM c""")
+MEANS = f"""{SCORED}, grid AS (SELECT unnest({GRID}) AS threshold),
+  e AS (SELECT w AS weight, label, w * score + (1 - w) * second AS mean FROM scored, (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS w)),
+  c AS (SELECT weight, threshold, count_if(mean >= threshold AND label = 1) AS tp, count_if(mean >= threshold AND label = 0) AS fp,
+    count_if(mean < threshold AND label = 1) AS fn, count_if(mean < threshold AND label = 0) AS tn FROM grid, e GROUP BY weight, threshold),
+  m AS (SELECT weight, threshold, {_macro()} AS macro_f1, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c),
+  best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY weight ORDER BY macro_f1 DESC, recall DESC, abs(threshold - 0.5), threshold) = 1)"""
+
+
+def _pair(spark, sf_dir) -> DataFrame:
+    return scored(spark, sf_dir).select("label", F.col("score").alias("first"), "second")
+
+
+@query(f"WITH {MEANS} SELECT weight, round(threshold, 6) AS threshold, round(macro_f1, 6) AS macro_f1, round(recall, 6) AS recall FROM best WHERE weight IN (0.25, 0.5, 0.75)")
 def ensemble_grid(spark, sf_dir):
-    rows = scored(spark, sf_dir).select("label", F.col("score").alias("first"), "second")
-    return M.ensemble_grid(rows, THRESHOLD).select("weight", _r(F.col("macro_f1")).alias("macro_f1"), _r(F.col("recall")).alias("recall"))
+    out = M.ensemble_grid(_pair(spark, sf_dir))
+    return out.select("weight", *[_r(F.col(c)).alias(c) for c in ("threshold", "macro_f1", "recall")])
+
+
+@query(f"""WITH {MEANS}, single AS (SELECT * FROM best WHERE weight IN (0.0, 1.0) AND macro_f1 >= (SELECT max(macro_f1) FROM best WHERE weight IN (0.0, 1.0)) - 0.002 ORDER BY recall DESC, weight DESC LIMIT 1),
+           mixed AS (SELECT * FROM best WHERE weight IN (0.25, 0.5, 0.75) ORDER BY macro_f1 DESC, recall DESC, weight LIMIT 1)
+           SELECT g AS least_gain, (SELECT count(*) FROM mixed m, single s WHERE m.macro_f1 - s.macro_f1 >= g AND m.recall >= s.recall) = 1 AS accepted FROM (SELECT unnest([-1.0::DOUBLE, 0.0, 0.005, 0.05]) AS g)""")
+def ensemble_gate(spark, sf_dir):
+    rows = _pair(spark, sf_dir)
+    mixed = M.ensemble_grid(rows)
+    alone = M.ensemble_grid(rows, (0.0, 1.0)).withColumn("candidate", F.when(F.col("weight") == 1, "first").otherwise("second")).withColumn("simplicity", F.when(F.col("weight") == 1, 1).otherwise(2))
+    single = M.select_with_tolerance(alone, 0.002).first()
+    gains = [(g, M.ensemble_accepted(mixed, single.macro_f1, single.recall, g).count() == 1) for g in (-1.0, 0.0, 0.005, 0.05)]
+    return spark.createDataFrame(gains, "least_gain double, accepted boolean")
 
 
 @query(f"""WITH {SCORED}, p AS (SELECT 'urls' AS name, score, second FROM scored)
@@ -605,12 +644,18 @@ def monitor_baseline(spark, sf_dir):
     return MON.slice_fractions(_parts(spark, sf_dir)[1]).select("dimension", "value", _r(F.col("fraction")).alias("fraction"))
 
 
-@query()
+@query(f"""WITH {HIST}, {SHARES.removeprefix(EVENTS + ", ")}, psi AS (SELECT {PSI} AS v FROM x),
+           prevalence AS (SELECT abs(avg(CASE WHEN part = 'batch' THEN predicted_label END) - avg(CASE WHEN part = 'baseline' THEN predicted_label END)) AS v FROM records),
+           drift AS (SELECT dimension, max(abs(coalesce(a.fraction, 0) - coalesce(b.fraction, 0))) AS v FROM (SELECT * FROM f WHERE part = 'batch') a
+             FULL OUTER JOIN (SELECT * FROM f WHERE part = 'baseline') b USING (dimension, value) GROUP BY dimension),
+           told AS (SELECT 'score_distribution_drift' AS alert FROM psi WHERE v >= 0.2 UNION ALL SELECT 'predicted_prevalence_drift' FROM prevalence WHERE v >= 0.1
+             UNION ALL SELECT 'slice_drift:' || dimension FROM drift WHERE v >= 0.15)
+           SELECT (SELECT count(*) FROM records WHERE part = 'batch') AS rows, CASE WHEN count(*) > 0 THEN 'alert' ELSE 'ok' END AS status, coalesce(string_agg(alert, ',' ORDER BY alert), '') AS alerts FROM told""")
 def monitor_alerts(spark, sf_dir):
     batch, base = _parts(spark, sf_dir)
     rows = base.select(F.col("probability").alias("score"), F.col("slices")["event_type"].alias("event_type"), F.col("slices")["cohort"].alias("cohort"))
     report = MON.monitor(batch.withColumn("true_label", F.lit(None).cast("int")), MON.baseline_of(rows, THRESHOLD, ["event_type", "cohort"]))
-    return spark.createDataFrame([(report["rows"], report["status"], report["alerts"])], "rows long, status string, alerts array<string>")
+    return spark.createDataFrame([(report["rows"], report["status"], ",".join(report["alerts"]))], "rows long, status string, alerts string")
 
 
 @query("""SELECT event_id, CASE WHEN NOT json_valid(props) THEN 'not_an_object' WHEN json_type(props) <> 'OBJECT' THEN 'not_an_object' ELSE 'missing_fields' END AS error FROM events""")
@@ -619,6 +664,28 @@ def json_validate(spark, sf_dir):
     return MON.parsed(lines).select(F.col("line").alias("event_id"), "error")
 
 
+#: Lines that break each rule, alone and together; both engines make them from the event's number.
+LINE = """CASE WHEN event_id % 17 = 0 THEN '[1]' WHEN event_id % 19 = 0 THEN '{"timestamp": ' ELSE
+  concat('{"timestamp": "', CASE WHEN event_id % 5 = 0 THEN 'yesterday' ELSE '2024-01-15T10:20:30Z' END, '"',
+    CASE WHEN event_id % 13 = 0 THEN '' ELSE concat(', "probability": ', CASE event_id % 6 WHEN 0 THEN '2' WHEN 1 THEN '"high"' WHEN 2 THEN '0' WHEN 3 THEN '1' WHEN 4 THEN '"0.5"' ELSE '0.25' END) END,
+    ', "predicted_label": ', CASE event_id % 4 WHEN 0 THEN '0' WHEN 1 THEN '"phishing"' WHEN 2 THEN 'true' ELSE '"maybe"' END,
+    CASE WHEN event_id % 7 = 0 THEN ', "slices": 5' WHEN event_id % 7 = 1 THEN ', "slices": {"cohort": "c"}' ELSE '' END,
+    CASE WHEN event_id % 11 = 0 THEN ', "Text": "x"' ELSE '' END, '}') END"""
+
+
+@query(f"""WITH l AS (SELECT event_id, {LINE} AS line FROM events), j AS (SELECT event_id, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM l)
+           SELECT event_id, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'not_an_object'
+             WHEN len(list_filter(json_keys(j), lambda k: lower(k) IN ({", ".join(f"'{k}'" for k in MON.FORBIDDEN)}))) > 0 THEN 'forbidden_fields'
+             WHEN NOT list_has_all(json_keys(j), ['timestamp', 'probability', 'predicted_label']) THEN 'missing_fields'
+             WHEN try_cast(j->>'$.timestamp' AS TIMESTAMPTZ) IS NULL THEN 'bad_timestamp'
+             WHEN NOT coalesce(try_cast(j->>'$.probability' AS DOUBLE) BETWEEN 0 AND 1, false) THEN 'bad_probability'
+             WHEN j->>'$.predicted_label' NOT IN ('safe', '0', 'false', 'phishing', '1', 'true') THEN 'bad_predicted_label'
+             WHEN json_type(j, '$.slices') <> 'OBJECT' THEN 'bad_slices' END AS error FROM j""")
+def json_rules(spark, sf_dir):
+    lines = _table(spark, sf_dir, "events").select(F.col("event_id").alias("line"), F.expr(LINE).alias("value"))
+    return MON.parsed(lines).select(F.col("line").alias("event_id"), "error")
+
+
 @query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]{2,}@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}') AS e, regexp_extract_all(text, '[0-9]{9,}') AS d, text FROM documents)
            SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes, (SELECT count(DISTINCT x) FROM (SELECT unnest(e) AS x FROM m)) AS emails, (SELECT count(DISTINCT x) FROM (SELECT unnest(d) AS x FROM m)) AS numbers FROM m""")
 def privacy_scan_text(spark, sf_dir):

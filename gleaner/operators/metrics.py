@@ -146,8 +146,8 @@ def slice_report(rows: DataFrame, columns: Sequence[str], threshold: float, leas
     return evaluate(unpivoted(rows, columns), threshold, ["dimension", "value"], least_rows)
 
 
-def threshold_sweep(rows: DataFrame, grid: Sequence[float] = GRID) -> DataFrame:
-    """macro_f1 and recall at each threshold, from one count of rows by the thresholds that their score reaches.
+def threshold_sweep(rows: DataFrame, grid: Sequence[float] = GRID, keys: Sequence[str] = ()) -> DataFrame:
+    """macro_f1 and recall at each threshold, of each group, from one count of rows by the thresholds that their score reaches.
 
     The grid must be equally spaced.
     """
@@ -156,22 +156,23 @@ def threshold_sweep(rows: DataFrame, grid: Sequence[float] = GRID) -> DataFrame:
     table = F.array(*[F.lit(t) for t in grid])
     near = F.least(F.greatest(F.round((F.col("score") - grid[0]) / step), F.lit(0)), F.lit(len(grid) - 1)).cast("int")
     reached = near + (F.col("score") >= F.get(table, near)).cast("int")
-    counts = rows.groupBy(reached.alias("reached")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    counts = rows.groupBy(*keys, reached.alias("reached")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
     points = rows.sparkSession.createDataFrame([(i, t) for i, t in enumerate(grid)], "i int, threshold double")
     joined = F.broadcast(points).join(counts, F.lit(True))  # the grid with its bounded count table
-    sums = joined.groupBy("i", "threshold").agg(
+    sums = joined.groupBy(*keys, "i", "threshold").agg(
         F.sum(F.when(F.col("reached") > F.col("i"), F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(F.col("reached") > F.col("i"), F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(F.col("reached") > F.col("i"), 0).otherwise(F.col("pos"))).alias("fn"),
         F.sum(F.when(F.col("reached") > F.col("i"), 0).otherwise(F.col("neg"))).alias("tn"),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return sums.select("threshold", "tp", "fp", "fn", "tn", macro_f1(tp, fp, fn, tn).alias("macro_f1"), _ratio(tp, tp + fn).alias("recall"))
+    return sums.select(*keys, "threshold", "tp", "fp", "fn", "tn", macro_f1(tp, fp, fn, tn).alias("macro_f1"), _ratio(tp, tp + fn).alias("recall"))
 
 
-def best_threshold(sweep: DataFrame) -> DataFrame:
-    """One row: the threshold of the best macro F1, then recall, then nearness to 0.5, then the smallest."""
-    return sweep.orderBy(F.desc("macro_f1"), F.desc("recall"), F.abs(F.col("threshold") - 0.5), "threshold").limit(1).select("threshold", "macro_f1", "recall")
+def best_threshold(sweep: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (of each group): the threshold of the best macro F1, then recall, then nearness to 0.5, then the smallest."""
+    best = F.struct("macro_f1", "recall", (-F.abs(F.col("threshold") - 0.5)).alias("near"), (-F.col("threshold")).alias("low"), "threshold")
+    return sweep.groupBy(*keys).agg(F.max(best).alias("b")).where("b IS NOT NULL").select(*keys, "b.threshold", "b.macro_f1", "b.recall")
 
 
 def tune_threshold(rows: DataFrame) -> tuple[float, dict[str, float]]:
@@ -195,15 +196,17 @@ def select_with_tolerance(candidates: DataFrame, tolerance: float) -> DataFrame:
     return candidates.crossJoin(F.broadcast(best)).where(F.col("macro_f1") >= F.col("best") - tolerance).orderBy(F.desc("recall"), F.coalesce("simplicity", F.lit(100)), "candidate").limit(1).drop("best")
 
 
-def ensemble_grid(rows: DataFrame, threshold: float, weights: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """rows: label, first, second. Metrics of the weighted means, one row a weight, in one pass."""
-    each = rows.select("label", F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), (F.lit(w) * F.col("first") + F.lit(1 - w) * F.col("second")).alias("score")) for w in weights])).alias("e")).select("label", "e.*")
-    return rates(confusion(each, threshold, ["weight"])).select("weight", "macro_f1", "recall")
+def ensemble_grid(rows: DataFrame, weights: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """rows: label, first, second. Threshold and metrics of the weighted means, one row a weight, in one pass."""
+    means = [F.struct(F.lit(w).alias("weight"), (F.lit(w) * F.col("first") + F.lit(1 - w) * F.col("second")).alias("score")) for w in weights]
+    each = rows.select("label", F.explode(F.array(*means)).alias("e")).select("label", "e.*")
+    return best_threshold(threshold_sweep(each, keys=["weight"]), ["weight"])
 
 
 def ensemble_accepted(grid: DataFrame, single_f1: float, single_recall: float, least_gain: float) -> DataFrame:
-    """The weights whose F1 gains enough without loss of recall, the best first."""
-    return grid.where((F.col("macro_f1") - single_f1 >= least_gain) & (F.col("recall") >= single_recall)).orderBy(F.desc("macro_f1"), F.desc("recall"), "weight")
+    """The best weight, if its F1 gains enough without loss of recall."""
+    best = grid.orderBy(F.desc("macro_f1"), F.desc("recall"), "weight").limit(1)
+    return best.where((F.col("macro_f1") - single_f1 >= least_gain) & (F.col("recall") >= single_recall))
 
 
 def perturbation_shift(rows: DataFrame, threshold: float, keys: Sequence[str] = ()) -> DataFrame:

@@ -177,3 +177,16 @@ def test_streamed_windows_equal_a_batch(spark, tmp_path):
 def test_psi_of_equal_histograms_is_nothing(spark):
     r = spark.range(1).select(MON.psi(F.lit(0.2), F.lit(0.2)).alias("p"), MON.psi(F.lit(0.0), F.lit(0.0)).alias("q")).first()
     assert r.p == 0 and r.q == 0 and re.match(MON.ISO.replace(r"\d", "[0-9]"), "2026-01-01T10:00:00.5+01:00")
+
+
+def test_thresholds_by_group_and_the_ensemble_gate(spark):
+    rows = [(0, 0.1, 0.6), (0, 0.2, 0.3), (1, 0.4, 0.7), (1, 0.9, 0.2), (0, 0.45, 0.1), (1, 0.8, 0.9)]
+    df = spark.createDataFrame(rows, "label int, first double, second double")
+    grid = {r.weight: r for r in M.ensemble_grid(df, (0.0, 0.5, 1.0)).collect()}
+    for w, r in grid.items():
+        one = df.select("label", (F.lit(w) * F.col("first") + F.lit(1 - w) * F.col("second")).alias("score"))
+        assert M.tune_threshold(one) == (r.threshold, {"macro_f1": r.macro_f1, "recall": r.recall})
+    table = spark.createDataFrame([(0.25, 0.9, 0.6), (0.5, 0.8, 0.9), (0.75, 0.9, 0.7)], "weight double, macro_f1 double, recall double")
+    assert [r.weight for r in M.ensemble_accepted(table, 0.85, 0.7, 0.05).collect()] == [0.75]
+    assert M.ensemble_accepted(table, 0.85, 0.8, 0.0).count() == 0  # the best F1 loses recall; no other weight takes its place
+    assert M.best_threshold(M.threshold_sweep(df.select("label", F.col("first").alias("score")).limit(0))).count() == 0
