@@ -9,9 +9,13 @@ query's asymmetric distance tables rank the codes, and the best RERANK rows are
 The k-th of these is a limit; every other row whose rough distance, less the error of its own code, is within the limit
 is measured too. So a chunk gives its true nearest rows, however many rows share a code; these are merged by query.
 
+Short lists that follow each other share a bin of about CHUNK rows, so a query's vector is copied for each bin that
+holds some of its lists, and not for each list.
+
 Bounds: the sample has at most MAX_LISTS * ROWS_PER_CENTROID rows, a tenth more included; centroids and codebooks are
-broadcast. Beyond MAX_LISTS lists, these get longer. Queries are shuffled, not broadcast. A task holds a chunk's rows and goes through its queries in blocks. The cost of
-the search is queries x probes x list length, the usual one for inverted files.
+broadcast. Beyond MAX_LISTS lists, these get longer. Queries are shuffled, not broadcast. A task holds a bin's or a
+chunk's rows and goes through its queries in blocks. The cost of the search is queries x probes x list length, the
+usual one for inverted files.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take
 no part, neither as queries nor as candidates; rows with the query's own vec_id are the query's own and are no
@@ -157,54 +161,79 @@ def _assign(held, length: int):
     return run
 
 
-def _probe(held, length: int, probes: int):
+def _probe(held, places: dict[int, tuple[int, int]], length: int, probes: int):
+    """A row for each query and bin that holds some of its lists; places: list -> (bin, chunks)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = len(held.value.centroids)
+        bins, chunks = np.full(lists, -1, np.int32), np.zeros(lists, np.int32)
+        for n, (where, parts) in places.items():
+            bins[n], chunks[n] = where, parts
         for batch in batches:
-            x = _matrix(batch.column("vector"), length).astype(np.float32)
-            to = nearest(x, held.value.centroids, probes)[0]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(list(to.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "vector", "lists"])
+            to = nearest(_matrix(batch.column("vector"), length).astype(np.float32), held.value.centroids, probes)[0]
+            row, found = np.repeat(np.arange(len(to)), to.shape[1]), to.reshape(-1)
+            row, found = row[bins[found] >= 0], found[bins[found] >= 0]
+            order = np.lexsort((found, bins[found], row))
+            row, found = row[order], found[order]
+            first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(bins[found], prepend=-1))
+            visited = pa.ListArray.from_arrays(pa.array(np.append(first, len(found)), pa.int32()), pa.array(found, pa.int32()))
+            asked = batch.select(["vec_id", "vector"]).take(pa.array(row[first]))
+            yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(bins[found[first]]), pa.array(chunks[found[first]]), visited], names=["vec_id", "vector", "bin", "chunks", "lists"])
 
     return run
 
 
+def _nearest_in_list(index: Index, number: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, asked: np.ndarray, wanted: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: its number, and ids and distances of its k nearest rows in this list's part."""
+    centroid = index.centroids[number]
+    decoded = centroid.astype(np.float64) + np.concatenate([book[codes[:, s]] for s, book in enumerate(index.codebooks)], axis=1)
+    extent = max(1e-30, float((decoded**2).sum(axis=1).max()), float((vectors**2).sum(axis=1).max()), float((centroid.astype(np.float64) ** 2).sum()))
+    error = np.sqrt(((vectors - decoded) ** 2).sum(axis=1)) + 1e-5 * np.sqrt(extent)
+    for a in range(0, len(asked), QUERY_BLOCK):
+        q = wanted[a : a + QUERY_BLOCK]
+        tables = index.tables(q.astype(np.float32) - centroid)
+        rough = sum(t[:, codes[:, s]] for s, t in enumerate(tables))
+        # no row is nearer than this: its code's distance, less the code's error and what single precision loses
+        lost = 1e-5 * ((q**2).sum(axis=1) + extent)
+        least = np.sqrt(np.maximum(rough - lost[:, None], 0)) - error[None, :]
+        own = asked[a : a + QUERY_BLOCK, None] == ids[None, :]
+        rough[own] = least[own] = np.inf
+        for i in range(len(q)):
+            best = np.argpartition(rough[i], rerank - 1)[:rerank] if rerank < len(ids) else np.arange(len(ids))
+            best = best[np.isfinite(rough[i][best])]
+            exact = np.sqrt(((vectors[best] - q[i]) ** 2).sum(axis=1))
+            limit = np.partition(exact, k - 1)[k - 1] if len(exact) >= k else np.finfo(np.float64).max
+            more = least[i] <= limit
+            more[best] = False
+            more = np.flatnonzero(more)
+            best = np.concatenate([best, more])
+            exact = np.concatenate([exact, np.sqrt(((vectors[more] - q[i]) ** 2).sum(axis=1))])
+            first = np.lexsort((ids[best], exact))[:k]
+            yield np.full(len(first), asked[a + i]), ids[best][first], exact[first]
+
+
 def _search(held, length: int, k: int, rerank: int):
+    """Each query's k nearest rows of a bin, among the lists that it visits."""
+
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        index: Index = held.value
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        found = []
         if queries.num_rows and rows.num_rows:
-            order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
-            ids = rows["vec_id"].to_numpy()[order]
+            order = np.lexsort((rows["vec_id"].to_numpy(), rows["list"].to_numpy()))
+            ids, numbers = rows["vec_id"].to_numpy()[order], rows["list"].to_numpy()[order]
             vectors = _matrix(rows["vector"], length).astype(np.float64)[order]
             codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            centroid = index.centroids[rows["list"][0].as_py()]
-            decoded = centroid.astype(np.float64) + np.concatenate([book[codes[:, s]] for s, book in enumerate(index.codebooks)], axis=1)
-            extent = max(1e-30, float((decoded**2).sum(axis=1).max()), float((vectors**2).sum(axis=1).max()), float((centroid.astype(np.float64) ** 2).sum()))
-            error = np.sqrt(((vectors - decoded) ** 2).sum(axis=1)) + 1e-5 * np.sqrt(extent)
             asked, wanted = queries["vec_id"].to_numpy(), _matrix(queries["vector"], length).astype(np.float64)
-            for a in range(0, len(asked), QUERY_BLOCK):
-                q = wanted[a : a + QUERY_BLOCK]
-                tables = index.tables(q.astype(np.float32) - centroid)
-                rough = sum(t[:, codes[:, s]] for s, t in enumerate(tables))
-                # no row is nearer than this: its code's distance, less the code's error and what single precision loses
-                lost = 1e-5 * ((q**2).sum(axis=1) + extent)
-                least = np.sqrt(np.maximum(rough - lost[:, None], 0)) - error[None, :]
-                own = asked[a : a + QUERY_BLOCK, None] == ids[None, :]
-                rough[own] = least[own] = np.inf
-                for i in range(len(q)):
-                    best = np.argpartition(rough[i], rerank - 1)[:rerank] if rerank < len(ids) else np.arange(len(ids))
-                    best = best[np.isfinite(rough[i][best])]
-                    exact = np.sqrt(((vectors[best] - q[i]) ** 2).sum(axis=1))
-                    limit = np.partition(exact, k - 1)[k - 1] if len(exact) >= k else np.finfo(np.float64).max
-                    more = least[i] <= limit
-                    more[best] = False
-                    more = np.flatnonzero(more)
-                    best = np.concatenate([best, more])
-                    exact = np.concatenate([exact, np.sqrt(((vectors[more] - q[i]) ** 2).sum(axis=1))])
-                    first = np.lexsort((ids[best], exact))[:k]
-                    out["query_id"] += [int(asked[a + i])] * len(first)
-                    out["vec_id"] += ids[best][first].tolist()
-                    out["score"] += exact[first].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+            visited = queries["lists"].combine_chunks()
+            asks, lists = np.repeat(np.arange(len(asked)), visited.value_lengths().to_numpy()), visited.flatten().to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(numbers, prepend=-1)), len(ids))
+            for a, b in zip(edges, edges[1:], strict=False):
+                by = asks[lists == numbers[a]]
+                found += _nearest_in_list(held.value, numbers[a], ids[a:b], vectors[a:b], codes[a:b], asked[by], wanted[by], k, rerank)
+        query, near, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((near, score, query))
+        query, near, score = query[order], near[order], score[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return pa.table({"query_id": pa.array(query[kept], pa.int64()), "vec_id": pa.array(near[kept], pa.int64()), "score": pa.array(score[kept], pa.float64())})
 
     return run
 
@@ -233,16 +262,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | No
     held = spark.sparkContext.broadcast(index)
     vector = f"vector {rows.schema['vector'].dataType.simpleString()}"
     indexed = stored(rows.select("vec_id", "vector").mapInArrow(_assign(held, length), f"vec_id long, {vector}, list int, code binary"), "index")
-    chunks = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))  # MAX_LISTS rows at most
-    dealt = indexed.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks")
+    sizes = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).orderBy("list").collect()  # MAX_LISTS rows at most
+    places, before = {}, 0
+    for r in sizes:  # short lists share bins, a long one has chunks of its own
+        chunks = -(-r.n // CHUNK)
+        places[r.list] = (lists + r.list, chunks) if chunks > 1 else (before // CHUNK, 1)
+        before += r.n if chunks == 1 else 0
+    table = F.broadcast(spark.createDataFrame([(n, *p) for n, p in places.items()], "list int, bin int, chunks int"))
+    dealt = indexed.join(table, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks")
     asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), length)).select("vec_id", "vector")
-    visits = asked.mapInArrow(_probe(held, length, probes), f"vec_id long, {vector}, lists array<int>").select("vec_id", "vector", F.explode("lists").alias("list"))
-    # a list that very many queries visit is held in several copies, each for a part of them
-    parts = visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_CHUNK).cast("int").alias("parts"))  # MAX_LISTS rows at most
-    plan = F.broadcast(chunks.join(parts, "list"))
-    visits = visits.join(plan, "list").select("vec_id", "vector", "list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    dealt = dealt.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    keys = ["list", "chunk", "part"]
+    visits = asked.mapInArrow(_probe(held, places, length, probes), f"vec_id long, {vector}, bin int, chunks int, lists array<int>")
+    # a bin that very many queries visit is held in several copies, each for a part of them
+    parts = visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_CHUNK).cast("int").alias("parts"))  # 2 x MAX_LISTS rows at most
+    visits = visits.join(F.broadcast(parts), "bin").select("vec_id", "vector", "lists", "bin", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    dealt = dealt.join(F.broadcast(parts), "bin").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    keys = ["bin", "chunk", "part"]
     near = visits.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_search(held, length, k, rerank), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -393,7 +393,7 @@ def test_op7_measures_every_row_that_shares_a_code():
     vectors = pa.array(x.tolist(), pa.list_(pa.float32()))
     rows = pa.table({"vec_id": pa.array(range(3000), pa.int64()), "vector": vectors, "list": pa.array([0] * 3000, pa.int32()), "code": [c.tobytes() for c in codes]})
     asked = range(5, 3000, 300)
-    queries = rows.select(["vec_id", "vector"]).take(pa.array(asked))
+    queries = rows.select(["vec_id", "vector"]).take(pa.array(asked)).append_column("lists", pa.array([[0]] * len(asked), pa.list_(pa.int32())))
     found = ann._search(SimpleNamespace(value=index), 32, 10, ann.RERANK)(queries, rows).to_pandas()
     for q in asked:
         d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(axis=1))
