@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What counts as a finding, on bytes read as Latin-1.
@@ -25,13 +26,28 @@ def scan(files: DataFrame) -> DataFrame:
     return totals.crossJoin(kinds).select("files", "bytes", "emails", "numbers", "longest_run")
 
 
+def _passed(shown: DataFrame) -> dict[str, int | str]:
+    seen = scan(shown).first().asDict()
+    if seen["emails"] or seen["numbers"]:
+        raise PrivacyError(f"{seen['emails']} e-mail addresses and {seen['numbers']} long numbers found")
+    return seen | {"status": "passed"}
+
+
+def _with_name(name: Column, content: Column) -> Column:
+    """What is scanned of a file: its name below the folder, and its bytes as Latin-1."""
+    return F.concat(name, F.lit("\n"), F.decode(content, "ISO-8859-1")).alias("shown")
+
+
 def scan_folder(spark: SparkSession, folder: str) -> dict[str, int | str]:
-    """Scan every file below a folder but manifest.json and hidden ones; fails on any finding."""
+    """Scan every file below a folder, and its name, but manifest.json and hidden ones; fails on any finding."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     below = F.regexp_replace("path", "^[a-z]+:/+", "/")
     inside = F.substring(below, F.lit(len(folder.rstrip("/")) + 1), F.length(below))
     kept = raw.where(~inside.rlike(r"(^|/)\.") & ~inside.rlike(r"(^|/)manifest\.json$"))
-    seen = scan(kept.select("path", F.decode("content", "ISO-8859-1").alias("shown"), F.col("length").alias("size"))).first().asDict()
-    if seen["emails"] or seen["numbers"]:
-        raise PrivacyError(f"{seen['emails']} e-mail addresses and {seen['numbers']} long numbers found")
-    return seen | {"status": "passed"}
+    return _passed(kept.select("path", _with_name(inside, F.col("content")), F.col("length").alias("size")))
+
+
+def scan_bytes(spark: SparkSession, files: dict[str, bytes]) -> dict[str, int | str]:
+    """The same of small files that the driver holds, by name."""
+    rows = spark.createDataFrame(pa.table({"path": list(files), "content": pa.array(list(files.values()), pa.binary())}))
+    return _passed(rows.select("path", _with_name(F.col("path"), F.col("content")), F.octet_length("content").alias("size")))

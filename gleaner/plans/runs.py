@@ -11,7 +11,6 @@ import json
 import platform
 import shutil
 import sys
-import tempfile
 import time
 import zipfile
 from collections.abc import Sequence
@@ -30,7 +29,7 @@ from gleaner.operators import models as L
 from gleaner.operators import monitoring as MON
 from gleaner.plans import charts, files
 from gleaner.plans import training as R
-from gleaner.plans.privacy import scan_folder
+from gleaner.plans.privacy import scan_bytes
 from gleaner.plans.reports import load_csv, load_json, save_csv, save_json, save_whole, shown_name, shown_time
 from gleaner.plans.scratch import materialised
 from gleaner.sources.mail import message_text
@@ -48,36 +47,29 @@ def _now() -> str:
     return datetime.now(UTC).isoformat()
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
-    """Where driver and executors both see a folder of this machine's file system, for models on their way."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.removeprefix("file://") if root and root.startswith(("file:", "/")) else None
-
-
 def pack_model(spark: SparkSession, model: L.Fitted, to: Path) -> dict:
-    """Save a model as one file, after a scan of its parts for personal data; the scan's result."""
-    with tempfile.TemporaryDirectory(dir=_shared_folder(spark)) as folder:
-        L.save(model, f"file://{folder}/model")
-        for p in Path(folder).rglob("metadata/part-*"):
-            # when and with what settings a stage was fitted: long digits that a scan can't tell from personal numbers
-            told = json.loads(p.read_text(), parse_float=lambda x: float(f"{float(x):.6g}"))
-            p.write_text(json.dumps(told | {"timestamp": 0}))
-            p.with_name(f".{p.name}.crc").unlink(missing_ok=True)
-        scanned = scan_folder(spark, folder)
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(Path(folder).rglob("*")):
-                if p.is_file() and not p.name.startswith("."):
-                    z.writestr(zipfile.ZipInfo(p.relative_to(folder).as_posix()), p.read_bytes())
-        save_whole(to, out.getvalue())
+    """Save a model as one file, after a scan of its parts, their names and the file itself for personal data; the scan's result.
+
+    Members have fixed names and times, so equal models give equal files. A file that a later scan would refuse is never written.
+    """
+    files_of = L.to_files(model)
+    scanned = scan_bytes(spark, files_of)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in sorted(files_of):
+            z.writestr(zipfile.ZipInfo(name), files_of[name], zipfile.ZIP_DEFLATED)
+    scan_bytes(spark, {to.name: out.getvalue()})
+    save_whole(to, out.getvalue())
     return scanned
 
 
-def unpack_model(spark: SparkSession, path: Path) -> L.Fitted:
-    folder = tempfile.mkdtemp(dir=_shared_folder(spark))  # read lazily, so it stays until the session's folder goes
+def unpacked(path: Path) -> dict[str, bytes]:
     with zipfile.ZipFile(path) as z:
-        z.extractall(folder)
-    return L.load(spark, f"file://{folder}/model")
+        return {n: z.read(n) for n in z.namelist()}
+
+
+def unpack_model(spark: SparkSession, path: Path) -> L.Fitted:
+    return L.from_files(spark, unpacked(path))
 
 
 @dataclass(frozen=True)
@@ -160,7 +152,7 @@ def train(spark: SparkSession, config: Config, rows: DataFrame, audit: dict, *,
     best = M.select_with_tolerance(R.summarise(cv).select("candidate", F.col("mean_macro_f1").alias("macro_f1"), F.col("mean_recall").alias("recall"), "simplicity"), config.selection_tolerance).first().candidate
     table = R.holdout(train_rows, validation, candidates, key)
     chosen = next(r for r in table if r["candidate"] == best)
-    model = L.fit_candidate(best, train_rows.unionByName(validation), key=key)
+    model = L.fit_candidate(best, materialised(train_rows.unionByName(validation)), key=key)
     began = time.perf_counter()
     scored = materialised(L.score(model, test, key).drop("text"))
     seconds = time.perf_counter() - began
@@ -238,10 +230,7 @@ def recover(spark: SparkSession, config: Config, run: str, rows: DataFrame, audi
         raise files.ReleaseError(f"these metrics differ from those of the run: {off}")
     chosen = next(r for r in report["candidate_metrics"] if r["candidate"] == report["selected_model"])
     baseline = MON.baseline_of(scored, chosen["threshold"], [s for s in SLICES if s in scored.columns], config.calibration_bins, judged["macro_f1"])
-    with tempfile.TemporaryDirectory(dir=_shared_folder(spark)) as folder:
-        with zipfile.ZipFile(artifact / MODEL_FILE) as z:
-            z.extractall(folder)
-        scanned = scan_folder(spark, folder)
+    scanned = scan_bytes(spark, unpacked(artifact / MODEL_FILE))
     return publish(config, run, report["selected_model"], chosen, told, baseline, scanned, audit, load_json(reports / "split_summary.json"))
 
 
