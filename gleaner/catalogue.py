@@ -16,9 +16,10 @@ from gleaner.functions import text as T
 from gleaner.operators import audit as A
 from gleaner.operators import folds as D
 from gleaner.operators import grouping as G
+from gleaner.operators.links import NearIndex
 from gleaner.operators import metrics as M
 from gleaner.operators import monitoring as MON
-from gleaner.plans.scratch import materialised
+from gleaner.plans.scratch import materialised, scratch_dir
 from gleaner.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,18 +312,17 @@ def word_trigrams(spark, sf_dir):
 @query(f"WITH {LINKED} SELECT a, b, overlap, round(similarity, 6) AS similarity FROM linked")
 def near_dup_pairs(spark, sf_dir):
     """Pairs of different sets, each named by its smallest doc_id, and that row with each of its copies; no pairs of copies."""
-    shingles = G.shingled(_grouped_input(spark, sf_dir))
-    return _with_copies(shingles, *G.linked(shingles)).select("a", "b", "overlap", _r(F.col("similarity")).alias("similarity"))
+    sets = G.hashed(_grouped_input(spark, sf_dir))
+    return _with_copies(sets, *G.linked(sets)).select("a", "b", "overlap", _r(F.col("similarity")).alias("similarity"))
 
 
-def _with_copies(shingles: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    copies = members.where("id > a").join(shingles.select("id", F.size("shingles").cast("long").alias("overlap")), "id")
+def _with_copies(sets: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    copies = members.where("id > a").join(sets.select("id", F.col("n").cast("long").alias("overlap")), "id")
     return pairs.unionByName(copies.select("a", F.col("id").alias("b"), "overlap", F.lit(1.0).alias("similarity")))
 
 
 def _near_groups(spark, sf_dir) -> DataFrame:
-    groups, _ = G.near_duplicate_groups(_grouped_input(spark, sf_dir))
-    return groups.select(F.col("id").alias("doc_id"), "similarity_group")
+    return G.near_duplicate_groups(_grouped_input(spark, sf_dir)).select(F.col("id").alias("doc_id"), "similarity_group")
 
 
 @query(f"WITH RECURSIVE {GROUPED} SELECT doc_id, similarity_group FROM named")
@@ -334,16 +334,27 @@ def near_dup_groups(spark, sf_dir):
            SELECT (SELECT sum(n)::BIGINT FROM sizes) AS rows, (SELECT count(*) FROM sizes) AS groups, (SELECT max(n) FROM sizes) AS largest_group,
            (SELECT (sum(n * (n - 1)) // 2)::BIGINT FROM copies) + (SELECT coalesce(sum(x.n * y.n), 0)::BIGINT FROM linked l JOIN copies x ON x.rep = l.a JOIN copies y ON y.rep = l.b) AS verified_pairs""")
 def near_dup_audit(spark, sf_dir):
-    return G.near_duplicate_groups(_grouped_input(spark, sf_dir))[1]
+    rows = _grouped_input(spark, sf_dir)
+    return G.near_duplicate_counts(rows, G.near_duplicate_groups(rows))
 
 
 @query(f"WITH {LINKED} SELECT a, b, overlap FROM linked")
 def minhash_candidates(spark, sf_dir):
     """As near_dup_pairs, by banded signatures: a pair at 0.85 shares none of 32 bands of 4 with a chance of 6e-11."""
-    shingles = G.shingled(_grouped_input(spark, sf_dir))
-    members = G.classes(shingles)
-    sets = shingles.join(members.where("id = a").select("id"), "id", "left_semi")
-    return _with_copies(shingles, G.verified(G.banded_pairs(sets), sets), members).select("a", "b", "overlap")
+    every = G.hashed(_grouped_input(spark, sf_dir))
+    members = G.classes(every)
+    sets = every.join(members.where("id = a").select("id"), "id", "left_semi")
+    return _with_copies(every, G.verified(G.banded_pairs(sets), sets), members).select("a", "b", "overlap")
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT doc_id, root FROM named")
+def near_dup_index(spark, sf_dir):
+    """near_dup_groups by an index that takes the documents in four batches, one after the other; root: the smallest doc_id of the group."""
+    rows = _grouped_input(spark, sf_dir).select("id", "text")
+    index = NearIndex(spark, scratch_dir(spark))
+    for batch in range(4):
+        index.add(rows.where(F.pmod(F.xxhash64("id"), F.lit(4)) == batch))
+    return index.groups().select(F.col("id").alias("doc_id"), "root")
 
 
 TRIGRAMS = """

@@ -16,7 +16,7 @@ def clean_corpus(spark, config: Config):
     """Both corpora, audited, grouped, prepared: the canonical rows, and the audit."""
     from gleaner.functions import text as T
     from gleaner.operators import audit as A
-    from gleaner.operators.grouping import near_duplicate_groups
+    from gleaner.operators.grouping import near_duplicate_counts, near_duplicate_groups
     from gleaner.plans.scratch import materialised
     from gleaner.sources.corpora import corpora
 
@@ -26,7 +26,9 @@ def clean_corpus(spark, config: Config):
     audit = A.audit(held.withColumns(T.message_metadata(message, F.col("__found"))).drop("__found", "sender"))
     clean = materialised(audit.clean)
     A.check_labels(clean)
-    groups, counts = near_duplicate_groups(clean.select(F.col("row_id").alias("id"), "text", "text_hash"), config.near_duplicate_jaccard)
+    named = clean.select(F.col("row_id").alias("id"), "text", "text_hash")
+    groups = materialised(near_duplicate_groups(named, config.near_duplicate_jaccard))
+    counts = near_duplicate_counts(named, groups, config.near_duplicate_jaccard)
     prepared = clean.withColumn("__p", T.prepare_text(F.col("text"), config.max_text_chars)).withColumns({"text": F.col("__p.text"), "was_truncated": F.col("__p.was_truncated")})
     rows = prepared.join(groups.withColumnRenamed("id", "row_id"), "row_id")
     order = "text label source row_id text_hash similarity_group was_truncated timestamp length_slice has_html has_url has_obfuscation attachment_slice language_slice domain_group campaign_group".split()

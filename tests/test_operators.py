@@ -43,11 +43,12 @@ def test_groups_are_all_pairs_above_the_threshold_and_transitive(spark):
     df = spark.createDataFrame([(i, t, f"{i:064x}") for i, t in enumerate(texts)], "id long, text string, text_hash string")
     shingles = {r.id: set(r.shingles) for r in G.shingled(df).collect()}
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.85}
-    assert {(r.a, r.b) for r in G.exact_pairs(G.shingled(df)).collect()} == want
-    groups, counts = G.near_duplicate_groups(df)
+    assert {(r.a, r.b) for r in G.exact_pairs(G.hashed(df)).collect()} == want
+    groups = G.near_duplicate_groups(df)
+    counts = G.near_duplicate_counts(df, groups)
     named = {r.id: r.similarity_group for r in groups.collect()}
     assert all(named[a] == named[b] for a, b in want) and counts.first().verified_pairs == len(want)
-    assert {(r.a, r.b) for r in G.verified(G.banded_pairs(G.shingled(df)), G.shingled(df)).collect()} <= want
+    assert {(r.a, r.b) for r in G.verified(G.banded_pairs(G.hashed(df)), G.hashed(df)).collect()} <= want
 
 
 def test_url_variants_share_a_group(spark):
@@ -55,7 +56,7 @@ def test_url_variants_share_a_group(spark):
     texts = [body.format("http://a.com/x?id=1"), body.format("http://a.com/x?id=2"), "the quarterly report is attached for your review before monday"]
     digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
     df = spark.createDataFrame([(i, t, digests[i]) for i, t in enumerate(texts)], "id long, text string, text_hash string")
-    g = {r.id: r.similarity_group for r in G.near_duplicate_groups(df)[0].collect()}
+    g = {r.id: r.similarity_group for r in G.near_duplicate_groups(df).collect()}
     assert g[0] == g[1] != g[2] and g[0] == "similarity_" + min(digests[:2])[:20]
 
 
