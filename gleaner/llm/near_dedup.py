@@ -8,12 +8,13 @@ Documents with equal sets are one representative first. A bucket's members are n
 every member meets HUBS others at most: the heads of its buckets (members that meet most others) that it shares most
 buckets with. Those pairs are verified on full sets, and components of the verified links make families. Then buckets
 that still span several families are searched by signature, every member outside the largest family against all:
-small buckets whole, large ones in blocks, and if many are outside the largest family, first split by further bands of
-their members, as linked pairs share many. What this search allows (six standard errors below the threshold) and is
-in another family, a member asks: its LIKELIEST partners one by one, on full sets. Where a member has more allowed
-partners than these, the groups are searched once more with the families of then, and whoever is still apart meets
-there, full sets against full sets in one task, in the first band only that both share, without a row for a pair. So
-no link is lost to a bucket's size, and pairs stay near the number of members.
+small buckets whole, large ones in blocks of BLOCK rows and CELLS shingles at most. A pair meets in the first band only
+that both share. What this search allows (six standard errors below the threshold) and is in another family, a member
+asks: its LIKELIEST partner in a group, on full sets. Where a member has more allowed partners, the groups are searched
+once more with the families of then, and whoever is still apart meets there, full sets against full sets in one task,
+without a row for a pair. So no link is lost to a bucket's size, and rows stay near the number of members times the
+bands that they share, also of documents that share much but less than the threshold: these are compared, never written
+as pairs.
 
 Nothing unbounded reaches the driver or one task: buckets are counted by partial aggregation, a partner that very many
 members ask is dealt in parts, full sets of two rows at a time are intersected by a built-in function.
@@ -40,8 +41,9 @@ from gleaner.llm.components import connected_components
 
 ROWS, BANDS = 4, 32
 COORDINATES = ROWS * BANDS
-#: Members of a bucket that are searched in one group, at most.
-BLOCK = 512
+#: Members of a bucket that are searched in one group, at most, and shingles of all of them together, if a member hasn't more.
+BLOCK = 4_096
+CELLS = 1 << 23
 #: Rows of one search task by signature, and by full sets, about.
 PACK = 4_096
 SET_PACK = 1_024
@@ -51,9 +53,7 @@ HUBS = 2
 HUB_BUCKETS = 2
 PART = 1_024
 #: Partners that a member asks one by one in each group; if more are allowed, the group is searched again on full sets.
-LIKELIEST = 4
-#: So often a large bucket is split by further bands before it is searched in blocks.
-SPLITS = 2
+LIKELIEST = 1
 CACHE_WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,12 +193,14 @@ def _asking(percent: int):
     least = least_agreement(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        rep, family, n = (table[c].to_numpy() for c in ("rep", "family", "n_shingles"))
+        rep, family, n, band = (table[c].to_numpy() for c in ("rep", "family", "n_shingles", "band"))
         asks, sig = table["asks"].to_numpy(zero_copy_only=False).astype(bool), _signatures(table)
+        keys = band_keys(sig)
         a, b = [], []
         for some in _groups(table):
             for i in some[asks[some]]:
                 fit = some[(family[some] != family[i]) & (100 * np.minimum(n[some], n[i]) >= percent * np.maximum(n[some], n[i]))]
+                fit = fit[(keys[fit] == keys[i]).argmax(axis=1) == band[i]]  # a pair meets in the first band that it shares
                 agree = (sig[fit] == sig[i]).sum(axis=1)
                 fit, agree = fit[agree >= least], agree[agree >= least]
                 first = rep[fit[np.lexsort((rep[fit], -agree))][:LIKELIEST]].tolist() + [None] * (len(fit) > LIKELIEST)
@@ -217,18 +219,17 @@ def _meeting(percent: int):
         rep, family, band = (table[c].to_numpy() for c in ("rep", "family", "band"))
         asks, more = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "more"))
         sig, shingles = _signatures(table), table["shingles"].combine_chunks()
+        keys = band_keys(sig)
         n = shingles.value_lengths().to_numpy().astype(np.int64)  # rows with the same doc_id differ in it
         cells, starts = shingles.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
         a, b = [], []
         for some in _groups(table):
             merged = family.copy()
             for i in some[asks[some]]:
-                fit = some[(merged[some] != merged[i]) & (more[some] | more[i]) & (100 * np.minimum(n[some], n[i]) >= percent * np.maximum(n[some], n[i]))]
-                same = sig[fit] == sig[i]
-                enough = same.sum(axis=1) >= least
-                if band[i] >= 0:  # a pair meets in the first band only that it shares
-                    enough &= same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]
-                fit = fit[enough]
+                once = ~asks[some] | (rep[some] > rep[i])  # of two that ask, one does
+                fit = some[once & (merged[some] != merged[i]) & (more[some] | more[i]) & (100 * np.minimum(n[some], n[i]) >= percent * np.maximum(n[some], n[i]))]
+                fit = fit[(keys[fit] == keys[i]).argmax(axis=1) == band[i]]
+                fit = fit[(sig[fit] == sig[i]).sum(axis=1) >= least]
                 if not len(fit):
                     continue
                 own = np.sort(cells[starts[i] : starts[i + 1]])
@@ -244,49 +245,30 @@ def _meeting(percent: int):
     return run
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of large buckets under the keys of all later bands, below their bucket."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = band_keys(_signatures(batch))
-        last, bucket = batch.column("band").to_numpy(), batch.column("bucket").to_numpy().astype(np.uint64)
-        row, band = np.nonzero(np.arange(BANDS)[None, :] > last[:, None])
-        named = mix64(bucket[row] * _P + key[row, band].astype(np.uint64)).astype(np.int64)
-        kept_columns = [batch.column(c).take(pa.array(row)) for c in ("rep", "family", "n_shingles", "signature")]
-        yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(band.astype(np.int32)), *kept_columns], names=["bucket", "band", "rep", "family", "n_shingles", "signature"])
-
-
-def search_groups(rows: DataFrame, splits: int = SPLITS) -> DataFrame:
+def search_groups(rows: DataFrame, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
     """rows: bucket, band, rep, family, n_shingles, signature. The groups to search: group, band, asks, rep, family, n_shingles, signature.
 
-    band is -1 where a bucket was split.
-
-    Buckets of one family go. Every member outside a bucket's largest family asks all others of the bucket.
+    Buckets of one family go. Every member outside a bucket's largest family asks all others of the bucket: of a large
+    bucket in blocks, so that a member meets all blocks of others, and another all blocks of members.
     """
-    parts = rows.groupBy("bucket", "family").agg(F.count(F.lit(1)).alias("k"))
-    many = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "family")).alias("main")).where("parts > 1")
-    many = many.select("bucket", "n", F.col("main.family").alias("main"), (F.col("n") - F.col("main.k")).alias("others"))
+    size = F.sum("n_shingles")
+    parts = rows.groupBy("bucket", "family").agg(F.count(F.lit(1)).alias("k"), size.alias("cells"))
+    many = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), F.sum("cells").alias("cells"), F.max(F.struct("k", "family", "cells")).alias("main")).where("parts > 1")
+    blocks_of = lambda n, c: F.greatest(F.ceil(n / block), F.ceil(c / cells)).cast("int")
+    others, other_cells = F.col("n") - F.col("main.k"), F.col("cells") - F.col("main.cells")
+    many = many.select("bucket", "n", F.col("main.family").alias("main"), blocks_of(F.col("n"), F.col("cells")).alias("mb"), blocks_of(others, other_cells).alias("rb"))
     placed = stored(join_on_counted_key(rows, many, "bucket", "n", max(1, rows.count()), "inner"), "open")
     names = ["rep", "family", "n_shingles", "signature"]
-    of = F.when(F.lit(splits == SPLITS), F.col("band")).otherwise(-1).cast("int").alias("band")
     asks = F.col("family") != F.col("main")
-    out = placed.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("group"), of, asks.alias("asks"), *names)
-    large = placed.where(F.col("n") > BLOCK)
-    wide = F.col("others") > BLOCK
-    if splits and large.where(wide).limit(1).collect():
-        deeper = stored(large.where(wide).select("bucket", "band", *names).mapInArrow(_split, "bucket long, band int, rep long, family long, n_shingles long, signature binary"), "deeper")
-        out = out.unionByName(search_groups(deeper, splits - 1))
-        large = large.where(~wide)
-    # blocks: a member meets all blocks of others, another all blocks of members; others are few here, or couldn't be split
-    large = large.withColumns({"mb": F.ceil(F.col("n") / BLOCK).cast("int"), "rb": F.ceil(F.col("others") / BLOCK).cast("int"), "deal": F.xxhash64("rep")})
-    member = large.select("bucket", of, *names, F.pmod("deal", "mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("asks"))
-    other = large.where(asks).select("bucket", of, *names, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("deal", "rb").alias("r"), F.lit(True).alias("asks"))
+    out = placed.where("mb = 1").select(F.col("bucket").alias("group"), "band", asks.alias("asks"), *names)
+    large = placed.where("mb > 1").withColumn("deal", F.xxhash64("rep"))
+    member = large.select("bucket", "band", *names, F.pmod("deal", "mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("asks"))
+    other = large.where(asks).select("bucket", "band", *names, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("deal", "rb").alias("r"), F.lit(True).alias("asks"))
     blocks = member.unionByName(other).select(F.xxhash64("bucket", "m", "r").alias("group"), "band", "asks", *names)
     return out.unionByName(blocks)
 
 
-def verified_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+def verified_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, total: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that have the same components as all pairs that share a bucket and reach the similarity."""
 
     def open_groups(links: DataFrame) -> DataFrame:
@@ -296,10 +278,13 @@ def verified_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent
         spans = placed.groupBy("bucket").agg((F.min("family") != F.max("family")).alias("open"), F.first("n").alias("n_of")).where("open").select("bucket", "n_of")
         opened = join_on_counted_key(placed, spans, "bucket", "n_of", total, "inner").select("bucket", "band", "rep", "family")
         rows = opened.join(reps.select("rep", "n_shingles", "signature"), "rep").select("bucket", "band", "rep", "family", "n_shingles", "signature")
-        return stored(search_groups(stored(rows, "rows")), "groups")
+        return stored(search_groups(stored(rows, "rows"), block), "groups")
 
-    def in_packs(groups: DataFrame, rows: int):
-        return groups.groupBy(F.pmod(F.xxhash64("group"), F.lit(max(1, -(-groups.count() // rows)))))
+    def in_packs(groups: DataFrame, rows: int, cells: int | None = None):
+        """Groups dealt into tasks of about so many rows, and shingles if these travel."""
+        seen = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("cells")).first()
+        packs = max(1, -(-seen.n // rows), -(-seen.cells // cells) if cells else 1)
+        return groups.groupBy(F.pmod(F.xxhash64("group"), F.lit(packs)))
 
     links = stored(linked(hub_pairs(members, total), sets, percent), "links")
     groups = open_groups(links)
@@ -312,14 +297,14 @@ def verified_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent
     groups = open_groups(links).join(unsure.withColumn("more", F.lit(True)), "rep", "left").withColumn("more", F.coalesce("more", F.lit(False)))
     wanted = groups.where("more").groupBy("group").agg(F.count(F.lit(1)).alias("n_more"))
     groups = stored(join_on_counted_key(groups, wanted, "group", "n_more", max(1, groups.count()), "inner").drop("n_more"), "unsure_groups")
-    met = in_packs(stored(groups.join(sets, "rep"), "with_sets"), SET_PACK).applyInArrow(_meeting(percent), "a long, b long")
+    met = in_packs(stored(groups.join(sets, "rep"), "with_sets"), SET_PACK, CELLS).applyInArrow(_meeting(percent), "a long, b long")
     return stored(links.unionByName(met), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    width: words of a shingle; percent: the least similarity of linked documents, in hundredths.
+    width: words of a shingle; percent: the least similarity of linked documents, in hundredths; block: members of a search group, at most.
     """
     spark = docs.sparkSession
     use_small_arrow_batches(spark)
@@ -336,7 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         met = members.select("rep").distinct()
         held = met.join(texts.hint("merge"), F.col("rep") == F.col("doc_id")).select("rep", "text")
         sets = stored(held.mapInArrow(_sets(width), "rep long, shingles array<long>").where(F.size("shingles") > 0), "sets")
-        components = connected_components(verified_links(members, reps, sets, percent, total))
+        components = connected_components(verified_links(members, reps, sets, percent, total, block))
         of_set = reps.join(components, F.col("rep") == F.col("node"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
         named = join_on_counted_key(signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), of_set, "set_key", "copies", max(1, signed.count()))
         component = F.coalesce("component", "doc_id")

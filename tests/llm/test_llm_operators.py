@@ -430,17 +430,35 @@ def test_op8_components_equal_brute_force(spark, repeated):
     got = {x.doc_id: x for x in N.near_duplicates(table(spark, texts), width=4).collect()}
     assert [got[d].component_id for d in range(len(texts))] == want and [got[d].n_shingles for d in range(len(texts))] == n
     assert all(got[d].kept == (got[d].component_id == d) for d in got)
-    block, N.BLOCK = N.BLOCK, 16  # large families, block by block
-    try:
-        again = {x.doc_id: x.component_id for x in N.near_duplicates(table(spark, texts), width=4).collect()}
-    finally:
-        N.BLOCK = block
+    # large families, block by block
+    again = {x.doc_id: x.component_id for x in N.near_duplicates(table(spark, texts), width=4, block=16).collect()}
     assert [again[d] for d in range(len(texts))] == want
     assert N.near_duplicates(table(spark, [])).count() == 0
     kept = N.drop_near_duplicates(table(spark, texts), width=4).collect()
     assert sorted(x.doc_id for x in kept) == [d for d in range(len(texts)) if want[d] == d]
 
 
+@pytest.mark.parametrize("n", [150, 300, 600])
+def test_op8_pairs_below_the_threshold_never_become_rows(spark, monkeypatch, n):
+    """Texts of one template share 300 words and have 45 of their own: a similarity of 0.77, so none is linked."""
+    from gleaner.llm import near_dedup as N
+
+    base = [f"t{k}" for k in range(300)]
+    texts = [" ".join(base + [f"o{i}x{k}" for k in range(45)]) for i in range(n)]
+    rows, whole = {}, N.stored
+
+    def counting(df, name="t"):
+        out = whole(df, name)
+        rows[name] = rows.get(name, 0) + (out.count() if name in ("told", "groups", "open", "rows", "with_sets") else 0)
+        return out
+
+    monkeypatch.setattr(N, "stored", counting)
+    got = N.near_duplicates(table(spark, texts).repartition(4), width=4).collect()
+    assert all(x.kept and x.component_id == x.doc_id for x in got) and len(got) == n
+    # each name is stored twice, in the first search and in the one on full sets
+    assert rows["told"] <= 40 * n and all(rows[k] <= 2 * 40 * n for k in ("groups", "open", "rows")) and rows["with_sets"] <= 40 * n
+
+
 def test_op9_keeps_the_smallest_of_equal_texts(spark, repeated):
     from gleaner.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 
