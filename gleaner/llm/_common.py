@@ -1,133 +1,20 @@
-"""What the corpus operators share: shared scratch tables, skew-safe joins and gapless numbering."""
+"""What the corpus operators share: the tools for scratch tables and skewed keys, and the bounds of an Arrow batch."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from pyspark.sql import SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A key is hot if it holds more than this share of all rows; so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 0.001
-#: Never call a key with fewer rows hot.
-HOT_ROWS = 2_000
+from gleaner.plans.scratch import discard, kept, remove_folder, scratch, scratch_dir, stored
+from gleaner.plans.skew import join_on_counted_key, numbered_within
 
+__all__ = ["discard", "join_on_counted_key", "kept", "numbered_within", "remove_folder", "scratch", "scratch_dir", "stored", "use_small_arrow_batches"]
 
 #: Rows and bytes of a batch that travels to Python, at most; the same for all operators, as plans run when they are read.
 ARROW_ROWS = 1_024
 ARROW_BYTES = 8 << 20
 
-_local_root: str | None = None
-_folders: list[list[str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset (tests in local mode), one below a temporary folder."""
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        _local_root = _local_root or "file://" + tempfile.mkdtemp(prefix="gleaner-")
-        root = _local_root
-    folder = f"{root.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
-    if _folders:
-        _folders[-1].append(folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write the rows to the shared scratch folder and read them back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    folder = scratch_dir(spark)
-    df.write.parquet(f"{folder}/{name}")
-    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-    out.scratch_folder = folder
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove stored tables that nothing reads any more."""
-    for t in tables:
-        remove_folder(t.sparkSession, t.scratch_folder)
-
-
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Remove the scratch folders that were made inside, at the end: results that leave must be `kept`."""
-    _folders.append([])
-    try:
-        yield
-    finally:
-        for folder in _folders.pop():
-            remove_folder(spark, folder)
-
-
-def kept(df: DataFrame, name: str = "result") -> DataFrame:
-    """Like stored, in a folder that outlives the innermost `scratch`; whoever owns spark.checkpoint.dir empties it."""
-    own = _folders.pop() if _folders else None
-    try:
-        return stored(df, name)
-    finally:
-        if own is not None:
-            _folders.append(own)
-
 
 def use_small_arrow_batches(spark: SparkSession) -> None:
     """Whole texts travel to Python in batches of so many rows and bytes at most, which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
-def join_on_counted_key(rows: DataFrame, per_key: DataFrame, key: str, n_col: str, total: int, how: str = "left") -> DataFrame:
-    """Join rows with one row per key that carries the key's row count in n_col.
-
-    Keys above the hot threshold number at most 1 / HOT_SHARE whatever the input, so their rows are broadcast;
-    all other keys are shuffled, each holding a small share of a partition at most. Null keys match nothing.
-    """
-    limit = max(HOT_ROWS, int(total * HOT_SHARE))
-    names = [c for c in per_key.columns if c != key]
-    held = F.struct(*[F.col(c) for c in names])
-    hot = per_key.where(F.col(n_col) > limit).select(F.col(key).alias("__hot_key"), held.alias("__hot"))
-    cold = per_key.where(F.col(n_col) <= limit).select(F.col(key).alias("__cold_key"), held.alias("__cold"))
-    rows_with_hot = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
-    # a hot row is dealt by all its columns; it finds no partner on the cold side
-    deal = F.when(F.col("__hot_key").isNull() & F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*rows.columns))
-    joined = rows_with_hot.withColumn("__deal", deal).join(
-        cold.withColumn("__cold_deal", F.xxhash64("__cold_key")),
-        (F.col("__deal") == F.col("__cold_deal")) & (F.col(key) == F.col("__cold_key")),
-        "left",
-    )
-    out = joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in names])
-    return out.where(F.col(n_col).isNotNull()) if how == "inner" else out
-
-
-def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], out: str, total: int, spread: str, rows_per_bucket: int = 50_000) -> DataFrame:
-    """Add out, a gapless number from 0 within each group, without gathering a group in one task.
-
-    Each group is dealt into buckets by a hash of the column spread; bucket counts (a table of groups x buckets
-    rows) give each bucket's first number, and only buckets are sorted. The order is by bucket, then by order.
-    df must give the same rows each time it is read (a stored table).
-    """
-    from pyspark.sql import Window as W
-
-    buckets = max(8, -(-total // rows_per_bucket))
-    tagged = df.withColumn("__b", F.pmod(F.xxhash64(F.col(spread)), F.lit(buckets)).cast("int"))
-    counts = tagged.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    first = counts.withColumn("__first", F.sum("__n").over(W.partitionBy(*groups).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)))
-    first = first.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__b").alias("__gb"), F.coalesce("__first", F.lit(0)).alias("__first"))
-    ranked = tagged.withColumn("__r", F.row_number().over(W.partitionBy(*groups, "__b").orderBy(*order)))
-    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)] + [F.col("__b") == F.col("__gb")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = ranked.join(first, cond, "left")
-    return joined.select(*df.columns, (F.col("__r") - 1 + F.col("__first")).cast("long").alias(out))

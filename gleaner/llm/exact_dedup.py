@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,15 +96,27 @@ def _marker(slots: int, held):
     return run
 
 
-def mark_repeats(digests: DataFrame, total: int) -> DataFrame:
-    """Add marked, true for every row whose 32-byte digest occurs more than once, and for a few others."""
+def mark_repeats(digests: DataFrame, total: int) -> tuple[DataFrame, Broadcast]:
+    """Add marked, true for every row whose 32-byte digest occurs more than once, and for a few others. With it comes the filter, to be destroyed when the rows are read."""
     spark = digests.sparkSession
     slots = max(8192, min(MAX_FILTER_SLOTS, 1 << max(0, total * FILTER_BITS_PER_ROW - 1).bit_length()))
     parts = digests.select("digest").mapInArrow(_partial_filters(slots), "segment int, bits binary")
     merged = parts.groupBy("segment").applyInArrow(_merge_filters, "segment int, bits binary")
     held = spark.sparkContext.broadcast([(r.segment, bytes(r.bits)) for r in merged.collect()])  # at most MAX_FILTER_SLOTS / 8 bytes
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in digests.schema) + ", marked boolean"
-    return digests.mapInArrow(_marker(slots, held), schema)
+    return digests.mapInArrow(_marker(slots, held), schema), held
+
+
+def marked_in_turn(parts: list[DataFrame], total: int) -> DataFrame:
+    """The marked rows of all parts, stored: each part is written and its filter destroyed before the next one's is made, so one is alive at a time."""
+    spark = parts[0].sparkSession
+    folder, schema = scratch_dir(spark), None
+    for k, p in enumerate(parts):
+        marked, held = mark_repeats(p, total)
+        marked.write.parquet(f"{folder}/marked-{k}")
+        schema = marked.schema
+        held.destroy()
+    return spark.read.schema(schema).parquet(*[f"{folder}/marked-{k}" for k in range(len(parts))])
 
 
 def _in_ranges(digests: DataFrame, ranges: int) -> list[DataFrame]:
@@ -118,13 +130,13 @@ def _in_ranges(digests: DataFrame, ranges: int) -> list[DataFrame]:
     return [held.where(F.col("range") == r).drop("range") for r in range(ranges)]
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_duplicates(docs: DataFrame, filter_slots: int = MAX_FILTER_SLOTS) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. filter_slots: of one filter; of more rows than it serves, there are ranges."""
     digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)).alias("digest"))
     total = docs.count()
-    ranges = max(1, -(-total * FILTER_BITS_PER_ROW // MAX_FILTER_SLOTS))
+    ranges = max(1, -(-total * FILTER_BITS_PER_ROW // filter_slots))
     parts = _in_ranges(digests, ranges)
-    marked = stored(reduce(DataFrame.unionByName, [mark_repeats(p, -(-total // ranges)) for p in parts]), "marked") if total else digests.limit(0).withColumn("marked", F.lit(False))
+    marked = marked_in_turn(parts, -(-total // ranges)) if total else digests.limit(0).withColumn("marked", F.lit(False))
     alone = marked.where(~F.col("marked")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     rows = marked.where(F.col("marked")).select("doc_id", "digest")
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

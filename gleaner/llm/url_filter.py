@@ -11,8 +11,9 @@ whatever the input. The ratio table has 32^(ORDER + 1) rows, a fixed size, and i
 they are and summed there, so a row for each distinct address is all that is shuffled.
 
 Defined cases: a null URL or one without `://` has an empty host and path; what is empty after `://` fits no rule and
-is blocked, as nothing can be fetched from it. If the rules accept none or reject none, the others get the
-verdict of the only model there is; without any ruled URL, all are allowed. Repeated rows count repeatedly.
+is judged by the closing sign alone. If the rules accept none or reject none, the others get the verdict of the only
+model there is; without any ruled URL, all are allowed. Repeated rows count repeatedly; a null page_id is a page as any
+other; a very long URL is one row, its signs looked up where it is read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def threshold(left_out: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score (null where a rule or no address decides)."""
+    """One row per page: page_id, host, path, rule, verdict, score (null where a rule decides, or there is one model only)."""
     url = F.col("url")
     parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)://(.*)", 1).alias("address"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -151,10 +152,10 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rest = parts.where(F.col("verdict").isNull())
     if len(n) < 2:
         only = next(iter(n), "allow")
-        other = rest.select("page_id", "host", "path", "rule", F.when(F.col("address") == "", "block").otherwise(only).alias("verdict"), F.lit(None).cast("double").alias("score"))
+        other = rest.select("page_id", "host", "path", "rule", F.lit(only).alias("verdict"), F.lit(None).cast("double").alias("score"))
         return decided.unionByName(other)
     ratios = stored(ratio_table(ruled.where(~F.col("out"))), "ratios")
     cut = threshold(scored(ruled.where("out"), ratios)).scalar()
-    told = scored(rest, ratios).withColumn("score", F.when(F.col("address") != "", F.col("score")))
+    told = scored(rest, ratios)
     other = told.select("page_id", "host", "path", "rule", F.when(F.col("score") >= cut, "allow").otherwise("block").alias("verdict"), "score")
     return decided.unionByName(other)
