@@ -191,3 +191,22 @@ def test_thresholds_by_group_and_the_ensemble_gate(spark):
     assert [r.weight for r in M.ensemble_accepted(table, 0.85, 0.7, 0.05).collect()] == [0.75]
     assert M.ensemble_accepted(table, 0.85, 0.8, 0.0).count() == 0  # the best F1 loses recall; no other weight takes its place
     assert M.best_threshold(M.threshold_sweep(df.select("label", F.col("first").alias("score")).limit(0))).count() == 0
+
+
+def test_many_classes_are_placed_greedily_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(D, "PLAN_ROWS", 40)
+    r = random.Random(6)
+    # nearly every group is a class of its own
+    rows = [(f"g{g}", f"s{r.randrange(2)}", r.randrange(2)) for g in range(260) for _ in range(1 + r.randrange(40))]
+    df = spark.createDataFrame(rows, "similarity_group string, source string, label int")
+    classes = D.group_classes(df)
+    assert classes.select("class").distinct().count() > 100
+    fold = {x.similarity_group: x.split_fold for x in D.grouped_folds(df, 5, 1).collect()}
+    assert fold.keys() == {g for g, _, _ in rows} and set(fold.values()) == set(range(5))
+    total, held = {}, {}
+    for g, s, y in rows:
+        total[s, y] = total.get((s, y), 0) + 1
+        held[fold[g], s, y] = held.get((fold[g], s, y), 0) + 1
+    assert all(abs(held.get((f, *k), 0) / n - 0.2) < 0.06 for k, n in total.items() for f in range(5))
+    monkeypatch.setattr(D, "PLAN_ROWS", 10**6)  # the same in one part
+    assert {x.similarity_group: x.split_fold for x in D.grouped_folds(df, 5, 1).collect()} == fold
