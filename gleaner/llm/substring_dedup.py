@@ -72,6 +72,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def _power(x: np.uint64, k: int) -> np.uint64:
+    return np.uint64(pow(int(x), k, 1 << 64))
+
+
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -100,7 +104,7 @@ class Windows:
             self.fingerprint = self.a = self.b = np.zeros(0, np.uint64)
             self.starts = self.lengths = np.zeros(0, np.int64)
             return
-        p2, p4 = _P * _P, _P * _P * _P * _P
+        p2, p4 = _power(_P, 2), _power(_P, 4)
         two = _next(h, _P, h, 1)
         four = _next(two, p2, two, 2)
         grams = _scramble(_next(four, _P, h, 4))
@@ -112,7 +116,7 @@ class Windows:
         self.starts = np.flatnonzero(np.concatenate([[True], change]))
         self.lengths = np.diff(np.concatenate([self.starts, [len(self.position)]]))
         if keys:
-            q2, q4 = _Q * _Q, _Q * _Q * _Q * _Q
+            q2, q4 = _power(_Q, 2), _power(_Q, 4)
             other = _next(h, _Q, h, 1)
             other_four = _next(other, q2, other, 2)
             self.a, self.b = (_scramble(self._thirteen(h, f, x, x4)[self.position]) for f, x, x4 in ((_P, four, p4), (_Q, other_four, q4)))
