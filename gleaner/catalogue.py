@@ -113,6 +113,15 @@ def audit_conflicts_semi(spark, sf_dir):
     return A.conflicting_rows(rows).select("doc_id", "label", "text_hash")
 
 
+@query(f"""WITH t AS (SELECT doc_id, doc_id % 2 AS label, sha256(replace(lower({NORM}), 'ß', 'ss')) AS text_hash FROM documents)
+           SELECT doc_id, label, text_hash FROM t WHERE text_hash IN (SELECT text_hash FROM t GROUP BY text_hash HAVING count(DISTINCT label) > 1)""")
+def audit_conflicts_of_copies(spark, sf_dir):
+    """As audit_conflicts_semi, with labels in which copies differ: all documents, labelled by the parity of their numbers."""
+    docs = _docs(spark, sf_dir)
+    rows = materialised(docs.select("doc_id", (F.col("doc_id") % 2).alias("label"), T.text_hash(T.normalize_text(F.col("text"))).alias("text_hash")))
+    return A.conflicting_rows(rows).select("doc_id", "label", "text_hash")
+
+
 @query("SELECT source, toxic AS label, count(*) AS rows FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ROLLUP (source, toxic)")
 def source_label_rollup(spark, sf_dir):
     rows = corpus(spark, sf_dir).select("source", "label")
@@ -410,6 +419,21 @@ def split_leak_check(spark, sf_dir):
     return D.leaks(rows.withColumn("split", F.when(F.col("split_fold") < 14, "train").when(F.col("split_fold") < 17, "validation").otherwise("test")))
 
 
+@query(f"""WITH RECURSIVE {GROUPED}, s AS (
+             SELECT m.text_hash, n.similarity_group, CASE WHEN ('0x' || substr(sha256(m.text_hash), 1, 8))::BIGINT % 20 < 14 THEN 'train' WHEN ('0x' || substr(sha256(m.text_hash), 1, 8))::BIGINT % 20 < 17 THEN 'validation' ELSE 'test' END AS split
+             FROM named n JOIN members m ON m.doc_id = n.doc_id
+           ), k AS (SELECT 'text_hash' AS kind, text_hash AS key, split FROM s UNION ALL SELECT 'similarity_group', similarity_group, split FROM s),
+           g AS (SELECT kind, key, count(DISTINCT split) > 1 AS leaks FROM k GROUP BY kind, key)
+           SELECT kind, count(*) AS keys, count_if(leaks) AS leaking FROM g GROUP BY kind""")
+def split_leaks_of_near_copies(spark, sf_dir):
+    """What a split by equal texts alone leaks: near copies that it puts into different splits."""
+    rows = _grouped_input(spark, sf_dir)
+    by_text = D.hash_folds(rows.select("id", "text_hash", F.col("text_hash").alias("similarity_group")), 20)
+    split = F.when(F.col("split_fold") < 14, "train").when(F.col("split_fold") < 17, "validation").otherwise("test")
+    placed = by_text.select("id", "text_hash", split.alias("split")).join(G.near_duplicate_groups(rows), "id")
+    return D.leaks(placed)
+
+
 @query(f"WITH {FOLDED}, s AS (SELECT source || ':' || label AS stratum, count(DISTINCT text_hash) AS n FROM f GROUP BY 1) SELECT min(n) AS least_groups, count(*) AS strata FROM s")
 def strata_min_groups(spark, sf_dir):
     each = D.strata(_folded(spark, sf_dir)).groupBy("stratum").agg(F.count_distinct("similarity_group").alias("n"))

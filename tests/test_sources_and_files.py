@@ -124,9 +124,12 @@ def test_promotion_rollback_and_release(spark, tmp_path):
         assert f"{files.RELEASE_NAME}-v1.0.0/SHA256SUMS" in z.namelist() and z.namelist() == sorted(z.namelist())
     with pytest.raises(files.ReleaseError):
         files.lock_external(tmp_path / "reports" / "one", {})
+    assert [p["action"] for p in files.promotions(tmp_path / "artifacts")] == ["promote", "promote", "rollback"]
     (tmp_path / "reports/one/metrics.json").write_text("changed")
-    with pytest.raises(files.ReleaseError):
+    (tmp_path / "requirements.lock").unlink()
+    with pytest.raises(files.ReleaseError, match="dependency_lock is missing; files: report metrics.json has another digest"):  # all findings at once
         files.promote(*where, artifact="one")
+    assert len(files.promotions(tmp_path / "artifacts")) == 3
     (tmp_path / "artifacts/two/model.joblib").write_bytes(b"someone@example.com")
     with pytest.raises(PrivacyError):
         scan_folder(spark, str(tmp_path / "artifacts/two"))
