@@ -1,7 +1,7 @@
 """Cleaning a labelled corpus: empty texts, texts under both labels, repeated texts; and its distribution.
 
 Input rows have raw_text, label (0 or 1), source, row_id. Nothing here gathers a text's copies in one task: whole
-groups are judged by partial aggregation of narrow rows, and rows find the verdict by an equi-join.
+groups are judged by partial aggregation of narrow rows, and rows find the verdict by a join that splits hot texts.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.plans.scratch import materialised
+from gleaner.plans.skew import join_on_counted_key
 
 
 @dataclass(frozen=True)
@@ -46,16 +47,15 @@ def audit(corpus: DataFrame) -> Audit:
         .groupBy("text_hash")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("source", "row_id")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")  # most texts occur once and need no partner
-        .withColumnRenamed("text_hash", "__hash")
     )
-    joined = named.join(per_text, (F.col("text_hash") == F.col("__hash")) & (F.col("text") != ""), "left")
+    joined = join_on_counted_key(named, per_text, "text_hash", "n", max(1, named.count()))  # a text of very many copies is one of few
     fate = (
         F.when(F.col("text") == "", "empty")
         .when(F.col("low") != F.col("high"), "conflict")
         .when(F.col("first").isNotNull() & (F.struct("source", "row_id") != F.col("first")), "duplicate")
         .otherwise("kept")
     )
-    return Audit(joined.withColumn("fate", fate).drop("__hash", "low", "high", "first", "n"))
+    return Audit(joined.withColumn("fate", fate).drop("low", "high", "first", "n"))
 
 
 def conflicting_rows(rows: DataFrame) -> DataFrame:
