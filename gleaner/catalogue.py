@@ -20,7 +20,7 @@ from gleaner.operators.links import NearIndex
 from gleaner.operators import metrics as M
 from gleaner.operators import monitoring as MON
 from gleaner.plans.scratch import materialised, scratch_dir
-from gleaner.session import spread
+from gleaner.session import spread, use_small_arrow_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +50,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    use_small_arrow_batches(spark)  # a session that build_session hasn't made has batches of 10,000 texts
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

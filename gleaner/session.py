@@ -18,7 +18,20 @@ def build_session(app: str = "gleaner", master: str | None = None, **conf: str)
     }
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    use_small_arrow_batches(spark)
+    return spark
+
+
+#: Rows and bytes of a batch that travels to Python, at most.
+ARROW_ROWS = 1_024
+ARROW_BYTES = 8 << 20
+
+
+def use_small_arrow_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python in batches of so many rows and bytes at most, which bounds a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
