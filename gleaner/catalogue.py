@@ -748,6 +748,25 @@ def tfidf_word(spark, sf_dir):
     return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), _r(F.sqrt(F.sum(F.col("weight") ** 2))).alias("norm"), _r(F.sum("weight")).alias("total"))
 
 
+_BLANKS = r"[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+VOCABULARY = rf"""n AS (SELECT count(*) AS n FROM documents),
+    word AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{Nl}}\p{{M}}\p{{Nd}}\p{{Pc}}\x{{200c}}\x{{200d}}]{{2,}}') AS a FROM documents WHERE text IS NOT NULL),
+    part AS (SELECT doc_id, ' ' || unnest(list_filter(string_split_regex(lower(text), '{_BLANKS}'), lambda x: x <> '')) || ' ' AS p FROM documents WHERE text IS NOT NULL),
+    term AS (SELECT 'word' AS kind, doc_id, unnest(a || list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS term FROM word
+        UNION ALL SELECT 'char', doc_id, unnest(flatten(list_transform([3, 4, 5], lambda k: list_transform(range(1, length(p) - k + 2), lambda i: substring(p, i, k))))) FROM part),
+    seen AS (SELECT kind, term, count(*) AS total, count(DISTINCT doc_id) AS d FROM term GROUP BY kind, term HAVING d >= 2 AND d <= 0.995 * (SELECT n FROM n)),
+    top AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY total DESC, term) AS r FROM seen)"""
+
+
+@query(f"""WITH {VOCABULARY} SELECT kind, term, round(ln((1.0 + n) / (1 + d)) + 1, 6) AS idf, CAST(row_number() OVER (ORDER BY kind, term) - 1 AS INT) AS place
+           FROM top, n WHERE r <= CASE kind WHEN 'word' THEN 120000 ELSE 160000 END""")
+def vocabulary_fit(spark, sf_dir):
+    """The vocabulary that the models would have if all documents trained them."""
+    from gleaner.operators.features import fit_vocabulary
+
+    return fit_vocabulary(_docs(spark, sf_dir), key="doc_id").table.select("kind", "term", _r(F.col("idf")).alias("idf"), "place")
+
+
 def _modelled(spark, sf_dir) -> DataFrame:
     docs = _docs(spark, sf_dir)
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
