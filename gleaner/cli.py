@@ -22,7 +22,8 @@ def clean_corpus(spark, config: Config):
 
     raw = corpora(spark, str(config.phishing_dataset), str(config.ceas_dataset))
     message = F.concat(F.coalesce("sender", F.lit("")), F.lit("\n"), F.coalesce("raw_text", F.lit("")))
-    held = materialised(raw.withColumn("__found", T.domains(message)))
+    rules = T.suffix_rules((config.root / config.suffix_rules).read_text(encoding="utf-8").splitlines()) if config.suffix_rules else None
+    held = materialised(raw.withColumn("__found", T.domains(message, rules)))
     audit = A.audit(held.withColumns(T.message_metadata(message, F.col("__found"))).drop("__found", "sender"))
     clean = materialised(audit.clean)
     A.check_labels(clean)
