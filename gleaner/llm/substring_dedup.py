@@ -10,8 +10,8 @@ fingerprints that occur before. Beyond MAX_RUNS live runs, they are merged into
 `FingerprintIndex.clean` verifies what fingerprints only suggest, for any batches against all earlier ones, on all
 words, by keys of 96 bits apart from the fingerprint. Neighbouring windows of one fingerprint are a segment. Documents
 that share a fingerprint send their segments' keys and places, and all but the first document with a segment lose it.
-Where a fingerprint has different segments, the first document of each sends its windows' keys, and a window is
-removed where its key starts in an earlier document. Earlier is: in an earlier batch, or in the same one with a
+Where a fingerprint has different segments, the first document of each sends its windows' keys, from every place at
+which it has the segment, and a window is removed where its key starts in an earlier document. Earlier is: in an earlier batch, or in the same one with a
 smaller doc_id. The keys come from 64-bit hashes of words: two words of one hash would count as equal, which among a
 billion different words has a chance of 3 %, and then matters to windows alone that are equal elsewhere.
 
@@ -31,7 +31,6 @@ import functools
 import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,24 +51,22 @@ POSTING_BYTES = 20
 HOT_SHARE = 0.01
 MAX_HOT = 10_000
 HOT_SAMPLE = 16
-CACHE_WORDS = 400_000
+#: Bytes of text whose words are hashed at a time, about, and the longest word that is hashed by sums.
+HASH_BYTES = 1 << 20
+LONG_WORD = 256
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_CODES = np.random.default_rng(42).integers(0, 1 << 64, 256, dtype=np.uint64)
+_CODES[_BLANK] = 0
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
+def _bytes_of(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def words_of(text: str | None) -> list[bytes]:
     """Runs of signs other than space, tab, newline, vertical tab, form feed and carriage return."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    return _bytes_of(text).split()
 
 
 def _power(x: np.uint64, k: int) -> np.uint64:
@@ -88,15 +85,54 @@ def _next(x: np.ndarray, fx: np.uint64, y: np.ndarray, at: int) -> np.ndarray:
     return x[:n] * fx + y[at:]
 
 
+@functools.lru_cache(maxsize=4)
+def _powers(doublings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _P and of its inverse, 1 first."""
+    inverse = np.uint64(pow(int(_P), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full((1 << doublings) - 1, x)])) for x in (_P, inverse))
+
+
+def _piece_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, in sums over the texts' bytes, and the number of words of each text."""
+    if len(texts) == 1 and len(texts[0]) > 2 * HASH_BYTES:
+        words = texts[0].split()
+        step = HASH_BYTES // LONG_WORD  # long words are named by one sign, and hashed after that
+        told = [_piece_hashes([b" ".join([w if len(w) <= LONG_WORD else b"-" for w in words[i : i + step]])])[0] for i in range(0, len(words), step)]
+        h = np.concatenate([np.zeros(0, np.uint64), *told])
+        for i in [i for i, w in enumerate(words) if len(w) > LONG_WORD]:
+            h[i] = xxhash.xxh3_64_intdigest(words[i])
+        return h, np.array([len(words)])
+    data = b" ".join([b"", *texts, b""])
+    signs = np.frombuffer(data, np.uint8)
+    up, down = _powers(max(20, (len(data) - 1).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[signs] * up[: len(data)])])
+    blank = _BLANK[signs]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # the text begins and ends with a blank
+    starts, ends = edges[::2], edges[1::2]
+    h = _scramble((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _Q)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():  # sums modulo 2^64 are weak for long runs of a pattern
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    begin = np.cumsum([1, *[len(t) + 1 for t in texts]])
+    return h, np.diff(np.searchsorted(starts, begin))
+
+
+def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the number of words of each text."""
+    each = [_bytes_of(t) for t in texts]
+    n = np.array([len(t) for t in each], np.int64)
+    of, huge = (np.cumsum(n) - n) // HASH_BYTES, n > HASH_BYTES  # the piece in which a text begins; a huge one is its own
+    cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | huge[1:] | huge[:-1]) + 1).tolist(), len(each)] if each else [0]
+    told = [_piece_hashes(each[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    hashes, sizes = [np.zeros(0, np.uint64), *[h for h, _ in told]], [np.zeros(0, np.int64), *[n for _, n in told]]
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
 class Windows:
-    """The windows of several word lists, and their segments: neighbouring windows of one list and fingerprint."""
-
-    def __init__(self, lists: Sequence[list[bytes]], keys: bool = True):
-        sizes = np.array([len(w) for w in lists], np.int64)
-        total = int(sizes.sum())
-        self.lists = len(lists)
-        h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(lists)), np.uint64, total)
-        of = np.repeat(np.arange(len(lists)), sizes)
+    """The windows of several runs of words, given by the words' hashes, and their segments: neighbouring windows of one run and fingerprint."""
+
+    def __init__(self, h: np.ndarray, sizes: np.ndarray, keys: bool = True):
+        total = len(h)
+        of = np.repeat(np.arange(len(sizes)), sizes)
         self.position = np.flatnonzero(of[: max(0, total - WINDOW + 1)] == of[WINDOW - 1 :]) if total >= WINDOW else np.zeros(0, np.int64)
         self.list = of[self.position]
         self.place = self.position - (np.cumsum(sizes) - sizes)[self.list]  # a window's first word in its list
@@ -141,15 +177,16 @@ assert WINDOW == 13 and GRAM == 5  # what the sums of Windows are made for
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = [words_of(t) for t in batch.column("text").to_pylist()]
-        w = Windows(lists, keys=False)
+        texts = batch.column("text").to_pylist()
+        h, sizes = word_hashes(texts)
+        w = Windows(h, sizes, keys=False)
         of, found = w.list[w.starts], w.fingerprint[w.starts]
         order = np.lexsort((found, of))
         of, found = of[order], found[order]
         once = np.concatenate([[True], (of[1:] != of[:-1]) | (found[1:] != found[:-1])]) if len(of) else np.zeros(0, bool)
-        edges = np.concatenate([[0], np.cumsum(np.bincount(of[once], minlength=len(lists)))]).astype(np.int32)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(of[once], minlength=len(texts)))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(b" ".join(x)).digest() for x in lists], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(found[once].astype(np.int64)))],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(b" ".join(words_of(t))).digest() for t in texts], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(found[once].astype(np.int64)))],
             names=["doc_id", "n_words", "words_sha", "fingerprints"],
         )
 
@@ -170,7 +207,7 @@ def _mixed(of: np.ndarray, value: np.ndarray) -> np.ndarray:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The segments whose fingerprint is shared, with their keys and places."""
     for batch in batches:
-        w = Windows([words_of(t) for t in batch.column("text").to_pylist()])
+        w = Windows(*word_hashes(batch.column("text").to_pylist()))
         of, found = w.list[w.starts], w.fingerprint[w.starts]
         shared = batch.column("shared")
         asked = _mixed(np.repeat(np.arange(batch.num_rows), shared.value_lengths().to_numpy()), shared.flatten().to_numpy(zero_copy_only=False))
@@ -193,12 +230,12 @@ def _ranges(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The keys and places of the windows of the asked segments."""
     for batch in batches:
-        parts, of, first = [], [], []
-        for k, (text, (starts, lengths)) in enumerate(zip(batch.column("text").to_pylist(), _ranges(batch.column("asked")), strict=True)):
-            words = words_of(text)
+        h, sizes = word_hashes(batch.column("text").to_pylist())
+        parts, of, first = [h[:0]], [], []
+        for k, (begin, (starts, lengths)) in enumerate(zip((np.cumsum(sizes) - sizes).tolist(), _ranges(batch.column("asked")), strict=True)):
             for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-                parts.append(words[s : s + n + WINDOW - 1]), of.append(k), first.append(s)
-        w = Windows(parts)
+                parts.append(h[begin + s : begin + s + n + WINDOW - 1]), of.append(k), first.append(s)
+        w = Windows(np.concatenate(parts), np.array([len(p) for p in parts[1:]], np.int64))
         a, b = w.window_keys()
         columns = {c: batch.column(c).take(pa.array(np.array(of, np.int64)[w.list])) for c in PLACE}
         columns |= {"a": pa.array(a), "b": pa.array(b), "span": _packed(np.array(first, np.int64)[w.list] + w.place, np.ones(len(w.list), np.int64))}
@@ -354,24 +391,28 @@ class FingerprintIndex:
         per_segment = stored(segments.groupBy("a", "b").agg(F.min(F.struct(age, "doc_id", "tag", "span")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("fingerprint")), "per_segment")
         total = max(1, segments.count())
 
-        def later(rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
-            """The spans of these batches whose key (a, b) is in an earlier document."""
+        def met(rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+            """The rows whose key (a, b) is there more than once, and whether they are of a later document than the first one."""
             named = firsts.where("n > 1").select(F.struct("a", "b").alias("key"), F.col("first.age").alias("first_age"), F.col("first.doc_id").alias("first_id"), "n")
-            asked = rows.where(age.isin(ages)).select(*PLACE, "span", F.struct("a", "b").alias("key"))
-            return join_on_counted_key(asked, named, "key", "n", total, "inner").where(F.struct(age, "doc_id") > F.struct("first_age", "first_id")).select(*PLACE, "span")
+            asked = rows.withColumn("key", F.struct("a", "b")).drop("a", "b")
+            is_later = F.struct(age, "doc_id") > F.struct("first_age", "first_id")
+            return join_on_counted_key(asked, named, "key", "n", total, "inner").withColumn("later", is_later).drop("key", "first_age", "first_id", "n")
 
-        gone = stored(later(segments, per_segment, total), "gone")
+        judged = stored(met(segments, per_segment, total).where(~F.col("later") | age.isin(ages)), "judged")
+        gone = judged.where("later").select(*PLACE, "span")
         discard(segments)
-        # then single windows, where a fingerprint has different segments: each segment's first document speaks for all
+        # then single windows, where a fingerprint has different segments: each segment's first document speaks for all,
+        # with all places at which it has the segment
         mixed = per_segment.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        asked = join_on_counted_key(per_segment.select("fingerprint", "first"), mixed, "fingerprint", "m", total, "inner")
-        asked = asked.select("first.*").groupBy(*PLACE).agg(F.collect_list("span").alias("asked"))
+        speak = per_segment.where("n = 1").select("fingerprint", "first.doc_id", "first.tag", "first.span").unionByName(judged.where("NOT later").drop("later"))
+        asked = join_on_counted_key(speak, mixed, "fingerprint", "m", total, "inner")
+        asked = asked.groupBy(*PLACE).agg(F.collect_list("span").alias("asked"))
         keys = stored(suspects.select(*PLACE, "text").hint("merge").join(asked, PLACE).mapInArrow(_windows, "doc_id long, tag long, a long, b int, span long"), "keys")
         discard(per_segment)
         firsts = keys.groupBy("a", "b").agg(F.min(F.struct(age, "doc_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-        repeated = later(keys, firsts, max(1, keys.count()))
+        repeated = met(keys.where(age.isin(ages)), firsts, max(1, keys.count())).where("later").select(*PLACE, "span")
         removed = stored(gone.union(repeated).groupBy(*PLACE).agg(F.collect_list("span").alias("ranges")), "removed")
-        discard(gone, keys)
+        discard(judged, keys)
         schema = "doc_id long, tag long, words_sha binary, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
         cut = suspects.select(*PLACE, "text").hint("merge").join(removed, PLACE).mapInArrow(functools.partial(_cut, with_text), schema)
 

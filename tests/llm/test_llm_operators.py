@@ -61,6 +61,26 @@ def test_op1_removes_what_starts_earlier(spark, repeated):
     assert remove_repeats(table(spark, [])).count() == 0
 
 
+def test_op1_a_passage_that_a_text_repeats_goes_everywhere(spark):
+    from gleaner.llm import substring_dedup as S
+
+    passage = words(40, 5)
+    texts = [" ".join(passage[:30] + words(20, 6)), " ".join(passage + words(20, 7) + passage + words(20, 8) + passage), " ".join(words(20, 9))]
+    got = {r.doc_id: r.n_removed for r in S.remove_repeats(table(spark, texts)).collect()}
+    assert got == {0: 0, 1: 90, 2: 0}
+
+
+def test_op1_word_hashes():
+    from gleaner.llm import substring_dedup as S
+
+    texts = ["a b  c", "", None, " \t\x0bx\x0c y\r\n", "é ü 日本 a", "x" * 300 + " b " + "x" * 300, "a" * 256 + " " + "a" * 257, " ".join(f"w{i % 99_991}" for i in range(400_000)) + " " + "q" * 999 + " b", "z " * 1_500_000, "end a"]
+    h, sizes = S.word_hashes(texts)
+    every = [w for t in texts for w in S.words_of(t)]
+    assert sizes.tolist() == [len(S.words_of(t)) for t in texts] and len(h) == len(every)
+    found = dict(zip(every, h.tolist()))
+    assert all(found[w] == x for w, x in zip(every, h.tolist())) and len({*found.values()}) == len(found)
+
+
 def test_op1_batches_one_at_a_time_equal_one_go(spark, repeated):
     from gleaner.llm import substring_dedup as S
 
