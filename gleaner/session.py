@@ -25,7 +25,7 @@ def build_session(app: str = "gleaner", master: str | None = None, **conf: str)
 
 #: Rows and bytes of a batch that travels to Python, at most.
 ARROW_ROWS = 1_024
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def use_small_arrow_batches(spark: SparkSession) -> None:
